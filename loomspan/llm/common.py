@@ -7,10 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What separates words, in a lower-cased text and in a raw one.
+#: What separates words, in a lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -50,3 +49,14 @@ def row_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
 def without(df: DataFrame, *prefixes: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.startswith(prefixes)])
+
+
+#: Maps every separator to a blank and A-Z to a-z; bytes of other characters stay.
+_BYTES = bytes(
+    b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
+)
+
+
+def word_bytes(text: str | None) -> list[bytes]:
+    """The words of a text in Python, as UTF-8: lower-cased A-Z, split at separators."""
+    return (text or "").encode("utf-8", "replace").translate(_BYTES).split()

@@ -379,10 +379,13 @@ def digest(found: DataFrame) -> DataFrame:
     def joined(spans):  # noqa: ANN001, ANN202
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def count(kind: str):  # noqa: ANN202
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     base = F.filter("found", lambda s: s["kind"].isin(*KINDS))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[count(kind) for kind in KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )

@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, exact_dedup, pii, sharding
+from loomspan.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, sharding
 
 #: The vocabulary file that op10 and the pipeline use.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,10 +22,24 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_boilerplate(_read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = decontaminate.find_matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return decontaminate.digest(matches).drop("n_near_items")
+
+
 def op6_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = pii.train(pii.labelled_table(spark))
     return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents"), field))
@@ -39,13 +54,46 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_index": op1_license_index,
     "op2_kd_shards": op2_kd_shards,
+    "op4_site_spread": op4_site_spread,
+    "op5_positional_index": op5_positional_index,
     "op6_pii_field": op6_pii_field,
     "op8_chunk_recipes": op8_chunk_recipes,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_site_spread": """
+        WITH l AS (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line,
+                          unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+             b AS (SELECT trim(line, ' ') AS line, arg_min(doc_id, (doc_id, pos)) AS first_doc, arg_min(pos, (doc_id, pos)) AS first_pos
+                   FROM l WHERE length(trim(line, ' ')) >= 8 GROUP BY trim(line, ' ') HAVING count(DISTINCT site) >= 8),
+             k AS (SELECT l.doc_id, l.pos, l.line, b.line IS NOT NULL AND (l.doc_id, l.pos) <> (b.first_doc, b.first_pos) AS gone
+                   FROM l LEFT JOIN b ON trim(l.line, ' ') = b.line),
+             r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM k GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS text_sha256
+        FROM documents d LEFT JOIN r USING (doc_id)
+    """,
+    "op5_positional_index": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+             b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+             bk AS (SELECT item_id, ws, least(10, len(ws)) AS k FROM b WHERE len(ws) > 0),
+             bw AS (SELECT DISTINCT item_id, k, array_to_string(ws[i + 1:i + k], ' ') AS win
+                    FROM (SELECT item_id, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM bk)),
+             dw AS (SELECT doc_id, k, i, array_to_string(ws[i + 1:i + k], ' ') AS win
+                    FROM (SELECT doc_id, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k)),
+             h AS (SELECT doc_id, item_id, i, dw.k AS k FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+             n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM h) GROUP BY doc_id),
+             s AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+                   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+    """,
     "op8_chunk_recipes": """
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
              g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
