@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, sharding
+from loomspan.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, quality, sharding, toxicity
 
 #: The vocabulary file that op10 and the pipeline use.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,10 +45,20 @@ def op6_pii_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents"), field))
 
 
+def op7_factorization_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -59,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_site_spread": op4_site_spread,
     "op5_positional_index": op5_positional_index,
     "op6_pii_field": op6_pii_field,
+    "op7_factorization_machine": op7_factorization_machine,
     "op8_chunk_recipes": op8_chunk_recipes,
+    "op9_boosted_trees": op9_boosted_trees,
     "op10_bpe_transducer": op10_bpe_transducer,
 }
 
