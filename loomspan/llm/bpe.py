@@ -18,7 +18,7 @@ from __future__ import annotations
 import codecs
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -48,7 +48,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Merges:
-    """Tables derived from a merge list: a trie of tokens, and which tokens may stand together."""
+    """Tables derived from a merge list: tokens by their bytes, and which tokens may stand together."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -67,14 +67,11 @@ class Merges:
             self.parts.setdefault(vocab[a + b], (left, right, rank))
         self.special_pattern = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
         self.longest = max((len(self.bytes_of[t]) for t in self.parts), default=1)
-        self.trie: dict[int, list] = {}  # byte -> [token or -1, the next level]
-        for token in vocab.values():
-            below, found = self.trie, None
-            for b in self.bytes_of[token]:
-                found = below.setdefault(b, [-1, {}])
-                below = found[1]
-            if found:
-                found[0] = token
+        self.reach = [1] * 256  # the longest token that ends in a byte
+        for t in vocab.values():
+            end = self.bytes_of[t][-1]
+            self.reach[end] = max(self.reach[end], len(self.bytes_of[t]))
+        self.token_of = {self.bytes_of[t]: t for t in vocab.values()}.get
         self._apart: dict[int, bool] = {}
         self.known = self._apart.get
 
@@ -114,72 +111,62 @@ class Merges:
 class Transducer:
     """Bytes in, tokens out, for one run of bytes: ``feed`` pieces of it, then ``finish``.
 
-    Positions are walked in order. From each, the trie gives the tokens that
-    begin there; such a token is the last one at its end if it may follow the
-    last one here. A position is walked once ``lookahead`` bytes after it are
-    known, as no token reaches further.
+    The last token of the encoding up to a position is the one token that ends
+    there and may follow the last token where it begins. It is looked for when
+    asked for, longest first, and then remembered.
     """
 
     def __init__(self, merges: Merges) -> None:
         self.merges = merges
         self.data = b""
-        self.at = 0  # walked so far
-        self.last, self.began = [-1], [0]  # per position: last token, where it began
-
-    def _walk(self, stop: int) -> None:
-        trie, known, apart = self.merges.trie, self.merges.known, self.merges.apart
-        data, last, began = self.data, self.last, self.began
-        n = len(data)
-        last += [-1] * (n + 1 - len(last))
-        began += [-1] * (n + 1 - len(began))
-        for i in range(self.at, stop):
-            before, below = last[i], trie
-            for j in range(i, n):
-                found = below.get(data[j])
-                if found is None:
-                    break
-                token, below = found
-                if token >= 0 and began[j + 1] < 0:
-                    fits = before < 0 or known(before << 20 | token)
-                    if fits is None:
-                        fits = apart(before, token)
-                    if fits:
-                        last[j + 1], began[j + 1] = token, i
-        self.at = stop
+        self.known: dict[int, tuple[int, int]] = {0: (-1, 0)}  # position -> last token, where it began
+
+    def _last(self, at: int) -> tuple[int, int]:
+        found = self.known.get(at)
+        if found is not None:
+            return found
+        data, token_of, known, apart = self.data, self.merges.token_of, self.merges.known, self.merges.apart
+        for begin in range(max(0, at - self.merges.reach[data[at - 1]]), at):
+            token = token_of(data[begin:at])
+            if token is not None:
+                before = self._last(begin)[0]
+                fits = before < 0 or known(before << 20 | token)
+                if fits is None:
+                    fits = apart(before, token)
+                if fits:
+                    found = self.known[at] = (token, begin)
+                    return found
+        raise ValueError("the vocabulary lacks a byte")
 
     def feed(self, data: bytes) -> list[int]:
-        """The tokens that are stable now."""
+        """The tokens that are stable now: no token that is still to come begins before them."""
         self.data += data
-        stop = len(self.data) - self.merges.lookahead
-        if stop <= self.at:
-            return []
-        self._walk(stop)
-        # A later token begins where the walk stands, or at a position already reached beyond it.
-        live = {p for p in range(stop, len(self.data) + 1) if self.began[p] >= 0}
+        for at in range(max(self.known) if len(self.known) > 1 else 1, len(self.data) + 1):
+            self._last(at)  # in order, so that no search goes deep
+        live = set(range(max(0, len(self.data) - self.merges.lookahead), len(self.data) + 1))
         while len(live) > 1:
             furthest = max(live)
             live.discard(furthest)
-            live.add(self.began[furthest])
+            live.add(self.known[furthest][1])
         meeting = live.pop()
         out = self._back(meeting)
         if meeting:
-            kept = self.last[meeting]
-            self.data, self.at = self.data[meeting:], stop - meeting
-            self.last = [kept, *self.last[meeting + 1 :]]
-            self.began = [0, *[p - meeting if p >= 0 else -1 for p in self.began[meeting + 1 :]]]
+            token = self.known[meeting][0]
+            self.data = self.data[meeting:]
+            self.known = {p - meeting: (t, b - meeting) for p, (t, b) in self.known.items() if p > meeting}
+            self.known[0] = (token, 0)
         return out
 
     def _back(self, at: int) -> list[int]:
         out = []
         while at:
-            out.append(self.last[at])
-            at = self.began[at]
+            token, at = self._last(at)
+            out.append(token)
         out.reverse()
         return out
 
     def finish(self) -> list[int]:
         """The run is over, so all its tokens are stable."""
-        self._walk(len(self.data))
         return self._back(len(self.data))
 
 
@@ -204,8 +191,11 @@ class Pieces(dict):
 
     def _encode(self, piece: str) -> tuple[int, ...]:
         machine, data, out = Transducer(self.merges), piece.encode("utf-8", "replace"), []
-        for i in range(0, len(data), FEED):
-            out += machine.feed(data[i : i + FEED])
+        if len(data) > FEED:
+            for i in range(0, len(data), FEED):
+                out += machine.feed(data[i : i + FEED])
+        else:
+            machine.data = data
         return tuple(out + machine.finish())
 
 
@@ -245,9 +235,8 @@ class Tokenizer:
                 at = m.end()
         return out
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         machine = TextMachine(self.table)
-        ids = list(ids)
         return "".join([machine.feed(ids[i : i + SLICE]) for i in range(0, len(ids), SLICE)]) + machine.finish()
 
 
@@ -308,14 +297,19 @@ def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", to: str
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
-                texts = [tool.decode(ids or ()) for ids in batch.column(ids_column).to_pylist()]
+                lists = batch.column(ids_column)
+                flat = lists.flatten().to_pylist() if lists.null_count else lists.flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = np.cumsum([0, *[n or 0 for n in lists.value_lengths().to_pylist()]]).tolist()
+                texts = [tool.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, number of tokens, and digests of its ids and of the decoded text."""
+def round_trip(
+    docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False
+) -> DataFrame:
+    """Per row: id, number of tokens, and digests of its ids and of the decoded text; the ids too if asked for."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
     encoded = encode(narrow, vocabulary).drop("text")
     return decode(encoded, vocabulary).select(
@@ -323,4 +317,5 @@ def round_trip(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *(["ids"] if keep_ids else []),
     )

@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, pii, quality, sharding, toxicity
+from loomspan.llm import bpe, decontaminate, exact_dedup, license_scan, line_dedup, near_dup, pii, quality, sharding, toxicity
 
 #: The vocabulary file that op10 and the pipeline use.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,10 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_read(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op4_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.remove_boilerplate(_read(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -66,6 +70,7 @@ def op10_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_index": op1_license_index,
     "op2_kd_shards": op2_kd_shards,
+    "op3_order_minhash": op3_order_minhash,
     "op4_site_spread": op4_site_spread,
     "op5_positional_index": op5_positional_index,
     "op6_pii_field": op6_pii_field,
