@@ -47,8 +47,13 @@ def row_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     )
 
 
-def without(df: DataFrame, *prefixes: str) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(prefixes)])
+def packed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Whole rows in one column ``_row`` beside their key, so that no name of theirs can clash."""
+    keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    a, b = F.col(f"_row.`{id_column}`"), F.col(f"_row.`{text_column}`")
+    return keyed.withColumns(
+        {"_k1": F.coalesce(a.cast("long"), F.lit(-(2**63))), "_k2": F.xxhash64(a, b)}
+    )
 
 
 #: Maps every separator to a blank and A-Z to a-z; bytes of other characters stay.

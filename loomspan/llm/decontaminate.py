@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import row_key, word_bytes
+from loomspan.llm.common import packed, row_key, word_bytes
 from loomspan.session import materialize
 
 #: Consecutive words that make a window, and positions by which a proximity match may be off.
@@ -243,7 +243,7 @@ def find_matches(
     return every.join(merged, ["_k1", "_k2"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HIT_SQL)))
 
 
-def digest(matches: DataFrame) -> DataFrame:
+def digest(matches: DataFrame, *keys: str) -> DataFrame:
     """Per document: words hit by exact matches, and the items that occur."""
     exact = F.filter("hits", lambda h: h["exact"])
     spans = F.array_sort(F.transform(exact, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
@@ -260,6 +260,7 @@ def digest(matches: DataFrame) -> DataFrame:
     items = F.array_sort(F.array_distinct(F.transform(exact, lambda h: h["item"])))
     near = F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: ~h["exact"]), lambda h: h["item"])))
     return matches.select(
+        *keys,
         "doc_id",
         "n_words",
         covered.alias("n_hit"),
@@ -271,13 +272,6 @@ def digest(matches: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without those in which ``least_words`` or more words are hit."""
-    hit = digest_keyed(find_matches(docs, benchmark)).filter(F.col("n_hit") >= least_words).select("_k1", "_k2").distinct()
-    return row_key(docs).join(hit, ["_k1", "_k2"], "left_anti").select(*docs.columns)
-
-
-def digest_keyed(matches: DataFrame) -> DataFrame:
-    """Row keys and the number of words hit."""
-    exact = F.filter("hits", lambda h: h["exact"])
-    words = F.transform(exact, lambda h: F.sequence(h["start"], h["end"] - 1))
-    return matches.select("_k1", "_k2", F.size(F.array_distinct(F.flatten(words))).alias("n_hit"))
+    """The rows of ``docs``, with all columns, in which fewer than ``least_words`` words are hit."""
+    hit = digest(find_matches(docs, benchmark), "_k1", "_k2").filter(F.col("n_hit") >= least_words)
+    return packed(docs).join(hit.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select("_row.*")

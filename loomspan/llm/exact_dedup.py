@@ -95,8 +95,8 @@ def _with_variants(
         parts.join(variants, ["_h", "_chunk"], "left")
         .groupBy("_row")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "_h", F.coalesce("_variant", F.lit(0)).alias("_v")))).alias("_l"))
-        .select("_row", F.flatten(F.transform("_l", lambda x: F.array(x["_h"], x["_v"]))).alias("_recipe"))
+        .select(F.col("_row").alias("_of"), F.flatten(F.transform("_l", lambda x: F.array(x["_h"], x["_v"]))).alias("_recipe"))
     )
-    return keyed.join(numbered, keyed["_row"].eqNullSafe(numbered["_row"]), "left").select(
-        "doc_id", keyed["_row"]["sha"].alias("text_sha256"), "_recipe"
+    return keyed.join(numbered, F.col("_row").eqNullSafe(F.col("_of")), "left").select(
+        "doc_id", F.col("_row.sha").alias("text_sha256"), "_recipe"
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import row_key, text_or_empty
+from loomspan.llm.common import packed, row_key, text_or_empty
 from loomspan.session import materialize
 
 #: Sites from which on a line is boilerplate; estimates within this share of it are counted exactly.
@@ -81,30 +81,29 @@ def remove_boilerplate(
     lines; repeated rows are treated alike, so a line that stands first in one
     of them stays in all. An empty table gives an empty result.
     """
-    for name in ("n_lines", "n_removed"):
-        docs = docs.drop(name)
+    docs = docs.drop("n_lines", "n_removed")
     lines = _lines(docs, site_column, text_column)
     known = boilerplate(lines, min_sites)
     few = known.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
     where = lines.select("_k1", "_k2", "_pos", "_key").join(F.broadcast(known) if few else known, "_key")
     later = where.filter(F.struct("_k1", "_k2", "_pos") != F.col("_first"))
     removed = later.groupBy("_k1", "_k2").agg(F.array_sort(F.collect_set("_pos")).alias("_gone"))
-    all_lines = F.split(F.col(text_column), "\n")
-    gone = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_all")))
+    edges = F.concat(F.array(F.lit(-1)), F.col("_gone"), F.array(F.size("_all")))
     kept = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.size("_edges") - 1),
             lambda i: F.slice("_all", F.get("_edges", i - 1) + 2, F.get("_edges", i) - F.get("_edges", i - 1) - 1),
         )
     )
-    cut = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(kept, "\n"))
+    text = F.col(f"_row.`{text_column}`")
+    cut = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return (
-        row_key(docs, text_column=text_column)
+        packed(docs, text_column=text_column)
         .join(removed, ["_k1", "_k2"], "left")
-        .withColumn("_all", all_lines)
-        .withColumn("_edges", F.when(F.col("_gone").isNotNull(), gone))
+        .withColumn("_all", F.split(text, "\n"))
+        .withColumn("_edges", F.when(F.col("_gone").isNotNull(), edges))
         .select(
-            *[cut.alias(c) if c == text_column else F.col(c) for c in docs.columns],
+            *[(cut if c == text_column else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns],
             F.coalesce(F.size("_all"), F.lit(0)).cast("long").alias("n_lines"),
             F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
         )
