@@ -61,6 +61,8 @@ _CANDIDATES = f"""
 """
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+_HEADING = r"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')"
 _SHORT = r"""coalesce(CASE WHEN length(s) > 120 THEN substr(s, 1, 120) || '…' ELSE s END, '—')"""
 _NOISE = (
     r"^\s*[-–—]?\s*\d{1,4}\s*[-–—]?\s*$",
@@ -186,10 +188,8 @@ ORACLES: dict[str, str] = {
                    OR contains(lower(text), 'para') AS needs_graph
         FROM conversations
     """,
-    "page_title": rf"""
-        SELECT page_id, coalesce(nullif({_STRIP.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, ''),
-               nullif({_STRIP.format("regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')")}, ''), url) AS title
-        FROM pages
+    "page_title": f"""
+        SELECT page_id, coalesce(nullif({_STRIP.format(_TITLE)}, ''), nullif({_STRIP.format(_HEADING)}, ''), url) AS title FROM pages
     """,
     "page_slug": r"""
         WITH n AS (SELECT page_id, trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS p, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM pages),
