@@ -197,6 +197,11 @@ def upper_median(values: Column) -> Column:
     return F.coalesce(F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")), F.lit(10.0))
 
 
+def upper_median_of(column: str) -> Column:
+    """The same as an aggregate; its state is a count per distinct value."""
+    return F.coalesce(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)"), F.lit(10.0))
+
+
 def heading_mark(line: Column, size: Column, median: Column) -> Column:
     """The heading mark that a line's mean font size and capitals suggest; null for none."""
     text = strings.strip(line)

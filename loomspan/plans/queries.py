@@ -309,7 +309,7 @@ def font_median_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as lines whose font is their size, headings by their brand's median."""
     parts = table(spark, sf_dir, "part")
     shown = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
-    medians = parts.groupBy("p_brand").agg(text.upper_median(F.collect_list(F.col("p_size").cast("double"))).alias("median"))
+    medians = parts.groupBy("p_brand").agg(text.upper_median_of("p_size").alias("median"))
     rows = parts.join(medians, "p_brand")
     return rows.select("p_partkey", "median", F.coalesce(text.heading_mark(shown, F.col("p_size").cast("double"), F.col("median")), F.lit("")).alias("mark"))
 

@@ -44,6 +44,8 @@ def test_tables_medians_headings(spark):
     assert one(spark, text.table_rows(table)) == "| a |  |\n| --- | --- |\n| b c | d |"
     assert one(spark, text.upper_median(F.array(*map(F.lit, [4.0, 1.0, 3.0, 2.0])))) == 3.0
     assert one(spark, text.upper_median(F.array().cast("array<double>"))) == 10.0
+    sizes = spark.createDataFrame([("a", float(x)) for x in (4, 1, 3, 2)] + [("b", 5.0), ("b", 7.0), ("b", 6.0), ("c", None)], "k string, size double")
+    assert {r.k: r.m for r in sizes.groupBy("k").agg(text.upper_median_of("size").alias("m")).collect()} == {"a": 3.0, "b": 6.0, "c": 10.0}
     mark = lambda line, ratio: one(spark, text.heading_mark(F.lit(line), F.lit(ratio * 10.0), F.lit(10.0)))
     assert [mark("Mixed", r) for r in (1.6, 1.3, 1.15, 1.0)] == ["#", "##", "###", None]
     assert [mark("CAPS", r) for r in (1.2, 1.0)] == ["#", "###"] and mark("x" * 151, 2.0) is None
