@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import text_or_empty
+from loomspan.llm.common import map_arrow, text_or_empty
 
 #: The pattern that splits text before merging.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -37,7 +37,7 @@ PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\
 #: Characters of a text split at a time, bytes fed at a time, rows of an output batch.
 SLICE, FEED, ROWS = 1 << 16, 1 << 10, 256
 #: Pieces whose encoding a worker remembers, and their longest size in characters.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 48
+REMEMBERED, REMEMBERED_LENGTH = 100_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -283,7 +283,7 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", to: str
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
@@ -303,7 +303,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", to: str
                 texts = [tool.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
 
-    return encoded.mapInArrow(run, schema)
+    return map_arrow(encoded, run, schema)
 
 
 def round_trip(

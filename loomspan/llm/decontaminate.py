@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import packed, row_key, word_bytes
+from loomspan.llm.common import map_arrow, packed, row_key, word_bytes
 from loomspan.session import materialize
 
 #: Consecutive words that make a window, and positions by which a proximity match may be off.
@@ -90,7 +90,7 @@ def term_rows(docs: DataFrame, vocabulary: dict[bytes, int], text_column: str) -
                     names=["doc_id", "_k1", "_k2", "n_words", "_terms"],
                 )
 
-    return narrow.mapInArrow(run, "doc_id long, _k1 long, _k2 long, n_words long, _terms array<int>")
+    return map_arrow(narrow, run, "doc_id long, _k1 long, _k2 long, n_words long, _terms array<int>")
 
 
 def term_counts(rows: DataFrame, n_terms: int) -> np.ndarray:
@@ -104,7 +104,7 @@ def term_counts(rows: DataFrame, n_terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(total[terms])], names=["term", "n"])
 
     counts = np.zeros(n_terms + 1, np.int64)
-    for r in rows.select("_terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(rows.select("_terms"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         counts[r["term"]] = r["n"]
     return counts
 
@@ -126,7 +126,7 @@ def postings(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
                 names=["term", "_k1", "_k2", "pos"],
             )
 
-    return rows.select("_k1", "_k2", "_terms").mapInArrow(run, "term int, _k1 long, _k2 long, pos int")
+    return map_arrow(rows.select("_k1", "_k2", "_terms"), run, "term int, _k1 long, _k2 long, pos int")
 
 
 def _candidates(index: DataFrame, block: Block, counts: np.ndarray, slop: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _verified(rows: DataFrame, candidates: DataFrame, block: Block) -> DataFrame
                 )
 
     joined = rows.join(grouped, ["_k1", "_k2"], "left").select("doc_id", "_k1", "_k2", "n_words", "_terms", "_places")
-    return joined.mapInArrow(run, f"doc_id long, _k1 long, _k2 long, n_words long, hits {_HIT_SQL}")
+    return map_arrow(joined, run, f"doc_id long, _k1 long, _k2 long, n_words long, hits {_HIT_SQL}")
 
 
 def find_matches(

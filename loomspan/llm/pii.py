@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import text_or_empty
+from loomspan.llm.common import map_arrow, text_or_empty
 
 #: The kinds of the patterns, in the order of their listing.
 KINDS = ("email", "ip", "card", "phone")
@@ -370,7 +370,7 @@ def find_pii(docs: DataFrame, field: Field, id_column: str = "doc_id", text_colu
                 found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in a + b] for a, b in zip(base, more, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(kind))], names=["doc_id", "found"])
 
-    return narrow.mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
+    return map_arrow(narrow, run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.llm.common import map_arrow
 from loomspan.llm.labels import held_out, training_rows
 
 #: Statistics of a text, in the order of their columns.
@@ -143,7 +144,7 @@ def _measured(rows: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                 x = [statistics(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "x array<double>"]))
+    return map_arrow(rows, run, ", ".join([*fields, "x array<double>"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, at_most: int = TRAINING_ROWS) -> Forest:
@@ -173,7 +174,7 @@ def score(docs: DataFrame, forest: Forest, id_column: str = "doc_id", text_colum
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(narrow, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _scores(batch: pa.RecordBatch, text_column: str, forest: Forest) -> np.ndarray:
@@ -190,4 +191,4 @@ def keep_good(docs: DataFrame, forest: Forest, least: float = GOOD, text_column:
                 batch = whole.slice(i, ROWS)
                 yield batch.filter(pa.array(_scores(batch, text_column, forest) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import word_bytes
+from loomspan.llm.common import map_arrow, word_bytes
 from loomspan.llm.labels import held_out, training_rows
 
 #: Hash buckets of terms, length of a vector, bytes of a word's beginnings.
@@ -92,7 +92,7 @@ def train(rows: DataFrame, rounds: int = 12, rate: float = 0.2, decay: float = 1
             buckets = [terms.of(t).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.list_(pa.int32())), batch.column("label")], names=["terms", "label"])
 
-    data = sorted((tuple(r["terms"]), r["label"]) for r in rows.mapInArrow(run, "terms array<int>, label int").collect())
+    data = sorted((tuple(r["terms"]), r["label"]) for r in map_arrow(rows, run, "terms array<int>, label int").collect())
     if not data or len({y for _, y in data}) < 2:
         share = float(np.mean([y for _, y in data])) if data else 0.0
         bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
@@ -162,4 +162,4 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
                     names=["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return map_arrow(narrow, run, "doc_id long, held_out boolean, score double, predicted int")
