@@ -9,9 +9,11 @@ diagonals that a similarity of 0.8 allows.
 
 Equal texts are one node. Within a bucket first every node is compared with the
 bucket's hub, another one for every sketch, and classes are formed; then, in buckets that still hold several
-classes, nodes of different classes are compared: all of them in small buckets;
-large buckets are first split by a second shared sketch, and by salt where even
-that agrees. So a bucket of n nodes costs some multiple of n, never its square.
+classes, nodes of different classes are compared: all of them in small buckets.
+The nodes of large ones go through an exact prefix-filter join: any two that are
+similar have one of their rarest pairs of words in common, at places that an
+alignment allows. Only what shares such a pair of words and is still in different
+classes after a pass with hubs is compared, and none of that is left out.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from loomspan.session import materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
-#: Nodes of a bucket that are compared in all pairs; in large ones, further large buckets that a node pairs each with, and the factor between steps of lengths.
-SMALL, FURTHER, LENGTHS = 16, 2, 2.0
+#: Nodes of a bucket that are compared in all pairs; in larger ones, passes with hubs before the exact join, and bins of its histogram.
+SMALL, HUB_ROUNDS, BINS = 16, 1, 1 << 18
 #: Words a worker remembers, rows of an output batch.
 REMEMBERED, ROWS = 300_000, 256
 
@@ -243,7 +245,7 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 
 def links(printed: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts, a < b."""
+    """Verified links (a, b, similarity) between different texts, a < b, that join all similar texts which share a sketch."""
     nodes = materialize(
         printed.filter("n_words > 0").select("node", "n_words", "sketches").dropDuplicates(["node"]), "nodes"
     )
@@ -269,31 +271,86 @@ def links(printed: DataFrame) -> DataFrame:
     roots = components(linked)
     rest = shared.select("node", "n_words", *bucket).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     second, large = _pairs_within(rest, bucket)
-    found = [second]
-    large = materialize(large.drop("_n"), "large")
-    if not large.isEmpty():
-        # Nodes that share two large buckets and are of about one length: lengths go in steps of a
-        # factor, and each pair of buckets shifts the steps its own way, so that similar lengths
-        # that one pair of buckets parts are together in the next.
-        own = large.groupBy("node", "n_words", "root").agg(F.array_sort(F.collect_list(F.struct("band", "h"))).alias("_own"))
-        two = F.flatten(F.transform("_own", lambda x, i: F.transform(F.slice("_own", i + 2, FURTHER), lambda y: F.struct(x.alias("_x"), y.alias("_y")))))
-        paired = own.select("node", "n_words", "root", F.explode(two).alias("_two")).select("node", "n_words", "root", "_two._x", "_two._y")
-        shift = F.pmod(F.xxhash64("_x", "_y"), F.lit(1024)) / 1024
-        finer = paired.withColumn("_len", F.floor(F.log("n_words") / F.lit(float(np.log(LENGTHS))) + shift).cast("int"))
-        both = ["_x", "_y", "_len"]
-        pairs, larger = _pairs_within(finer, both)
-        found.append(pairs)
-        salted = larger.withColumn("_salt", F.pmod(F.xxhash64("node", "_x.band", "_y.band"), F.greatest(F.lit(1), (F.col("_n") / (SMALL // 2)).cast("int"))))
-        pairs, rare = _pairs_within(salted.drop("_n"), [*both, "_salt"])
-        hub = rare.groupBy(*both, "_salt").agg(F.min(F.struct("node", "n_words")).alias("_hub"))
-        # A salted group that came out large by chance is compared with its own hub.
-        chance = rare.join(hub, [*both, "_salt"]).filter((F.col("node") != F.col("_hub.node")) & _long_enough(F.col("n_words"), F.col("_hub.n_words")))
-        found += [pairs, chance.select(F.col("_hub.node").alias("a"), F.col("node").alias("b"))]
-    candidates = found[0]
-    for more in found[1:]:
-        candidates = candidates.unionByName(more)
-    candidates = materialize(candidates.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    return materialize(linked.unionByName(_verified(candidates, unique_terms)), "links")
+    second = materialize(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    linked = materialize(linked.unionByName(_verified(second, unique_terms)), "links")
+    crowded = materialize(large.select("node", "n_words", *bucket), "large")
+    if crowded.isEmpty():
+        return linked
+    tried = materialize(first.unionByName(second), "tried")
+    crowded_nodes = crowded.select("node", "n_words").distinct()
+    rare = _rare_grams(crowded_nodes.join(unique_terms, "node"))
+    # Hubs join most of what belongs together, so that few pairs of different classes are left.
+    for k in range(HUB_ROUNDS):
+        rooted = _rooted(rare, linked)
+        hubs = rooted.groupBy("gram").agg(
+            F.min("root").alias("_low"), F.max("root").alias("_high"), F.min(F.struct(F.xxhash64("node", "gram", F.lit(k)).alias("_by"), "node", "n_words", "at", "root")).alias("_hub")
+        )
+        beside = rooted.join(hubs.filter("_low < _high"), "gram").filter((F.col("root") != F.col("_hub.root")) & _may_align("n_words", "at", "_hub.n_words", "_hub.at"))
+        pairs = beside.select(F.least("_hub.node", "node").alias("a"), F.greatest("_hub.node", "node").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        linked = materialize(linked.unionByName(_verified(pairs, unique_terms)), "links")
+        tried = materialize(tried.unionByName(pairs), "tried")
+    rooted = _rooted(rare, linked)
+    mixed = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
+    rooted = materialize(rooted.join(mixed, "gram"), "grams")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    pairs = rooted.alias("x").join(rooted.alias("y"), on & _may_align("x.n_words", "x.at", "y.n_words", "y.at"))
+    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    return materialize(linked.unionByName(_verified(pairs, unique_terms)), "links")
+
+
+def _may_align(words_a: str, at_a: str, words_b: str, at_b: str) -> Column:
+    """Whether texts of these lengths can be similar with a pair of words at both places."""
+    a, b = F.col(words_a), F.col(words_b)
+    return _long_enough(a, b) & (F.abs(F.col(at_a) - F.col(at_b)) <= (1 - SIMILAR) * F.greatest(a, b) + 1e-9)
+
+
+def _rooted(rare: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rare grams with the class of their text."""
+    return rare.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _rare_grams(texts: DataFrame) -> DataFrame:
+    """``node``, ``n_words``, and as many of its rarest pairs of words (``gram``, ``at``) that two similar texts have one in common.
+
+    Texts of n words or more that differ by d words have n - 1 - 2 d of their pairs of words
+    in common, which is 0.6 n - 1 at the least similarity. So in any order that
+    is the same for all texts, the first 0.4 n + 1 of both have one in common. The
+    order is by a histogram of all pairs' hashes.
+    """
+
+    def grams_of(terms: pa.ListScalar) -> np.ndarray:
+        return labelled_kmers(terms.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), 2)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(BINS, np.int64)
+        for batch in batches:
+            for terms in batch.column("terms"):
+                totals += np.bincount((grams_of(terms) % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        used = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["bin", "n"])
+
+    texts = materialize(texts.select("node", "n_words", "terms"), "texts")
+    totals = np.zeros(BINS, np.int64)
+    for bin_, n in map_arrow(texts.select("terms"), count, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect():
+        totals[bin_] = n
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(i, ROWS)
+                picked = []
+                for terms in batch.column("terms"):
+                    grams = grams_of(terms)
+                    order = np.lexsort((grams, totals[(grams % np.uint64(BINS)).astype(np.int64)]))
+                    first = order[: int(2 * (1 - SIMILAR) * len(terms.values) + 1 + 1e-9)]
+                    picked.append((grams[first].view(np.int64), first.astype(np.int32)))
+                owner = pa.array(np.repeat(np.arange(len(picked)), [len(at) for _, at in picked]))
+                grams, at = (pa.array(np.concatenate(x)) for x in zip(*picked, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), batch.column("n_words").take(owner), grams, at], names=["node", "n_words", "gram", "at"])
+
+    return materialize(map_arrow(texts, pick, "node string, n_words int, gram long, at int"), "grams")
 
 
 def keep_one(docs: DataFrame, text_column: str = "text") -> DataFrame:

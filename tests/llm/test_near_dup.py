@@ -81,6 +81,25 @@ def test_classes_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+def test_large_bucket_of_distinct_classes_links_all_similar_texts(spark):
+    """Forty pairs of near copies about a common passage that share one large bucket and nothing else."""
+    r = np.random.default_rng(11)
+    passage = r.integers(0, 2**31, 60)
+    texts = {}
+    for i in range(40):
+        own = np.concatenate([r.integers(0, 2**31, int(r.integers(30, 160))), passage])
+        other = own.copy()
+        spots = r.choice(len(own) - 60, int(0.15 * len(own)), replace=False)
+        other[spots] = r.integers(0, 2**31, len(spots))
+        texts[f"{i}a"], texts[f"{i}b"] = own, other
+    rows = [(i, name, len(t), [77], t.astype(int).tolist()) for i, (name, t) in enumerate(texts.items())]
+    printed = spark.createDataFrame(rows, "doc_id long, node string, n_words int, sketches array<long>, terms array<int>")
+    found = {(x.a, x.b) for x in near_dup.links(printed).collect()}
+    names = sorted(texts)
+    assert found == {(a, b) for a in names for b in names if a < b and near_dup.similar(texts[a], texts[b]) is not None}
+    assert len(found) == 40
+
+
 def test_awkward_rows(awkward, empty):
     got = near_dup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
