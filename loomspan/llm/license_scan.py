@@ -1,7 +1,8 @@
 """Licence scan by a positional index of rare tokens.
 
 The templates' words are indexed by template and position, all but the most
-common ones. A file looks up only its highest-IDF licence words; every posting
+common ones. A file looks up every indexed word it holds, at most as many as the
+templates have; every posting
 votes for a template at the place where the template would have to begin, so
 votes that agree on a place show the template's words standing in the template's
 order and spacing. A template that gathers enough of its weight at one place
@@ -48,8 +49,8 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
 
 #: Words too common in any text to be worth a posting.
 COMMON = frozenset("a and any are be by for form from in is it may met no of on or part that the this to use with 0 2 3 4".split())
-#: A file looks up so many of its licence words, the rarest first; a template needs this share of its weight at one place.
-LOOKED_UP, ENOUGH = 24, 0.6
+#: A template needs this share of its weight at one place.
+ENOUGH = 0.6
 
 
 def template_index(templates: dict[str, tuple[str, tuple[str, ...]]]) -> tuple[list[tuple[str, str, int, float]], dict[str, float]]:
@@ -133,10 +134,10 @@ def scan(
 
 
 def _looked_up(keyed: DataFrame, templates: dict, postings: list[tuple[str, str, int, float]]) -> DataFrame:
-    """One pass over the texts: counts, base phrases, and where the rarest licence words stand."""
-    rarest_first = list(dict.fromkeys(w for w, _, _, weight in sorted(postings, key=lambda p: (-p[3], p[0]))))
-    lookup = F.array(*map(F.lit, rarest_first))
-    telling = F.array(*map(F.lit, sorted({*rarest_first, *(phrase.rsplit(" ", 1)[1] for phrase, _ in BASE)})))
+    """One pass over the texts: counts, base phrases, and where the licence words stand."""
+    indexed = sorted({w for w, _, _, _ in postings})
+    lookup = F.array(*map(F.lit, indexed))
+    telling = F.array(*map(F.lit, sorted({*indexed, *(phrase.rsplit(" ", 1)[1] for phrase, _ in BASE)})))
     none = F.array().cast("array<int>")
     split = keyed.select("doc_id", "_k1", "_k2", words(lower_ascii(text_or_empty("_text"))).alias("_words"))
     hinted = split.withColumn("_hint", F.arrays_overlap("_words", telling))
@@ -144,7 +145,7 @@ def _looked_up(keyed: DataFrame, templates: dict, postings: list[tuple[str, str,
     flat = hinted.withColumns(
         {
             "_flat": F.when(F.col("_hint"), joined),
-            "_looked": F.when(F.col("_hint"), F.slice(F.array_intersect(lookup, "_words"), 1, LOOKED_UP)),
+            "_looked": F.when(F.col("_hint"), F.array_intersect(lookup, "_words")),
             **{f"_b{i}": F.when(F.col("_hint"), phrase_starts(F.col("_words"), p)).otherwise(none) for i, (p, _) in enumerate(BASE)},
         }
     )

@@ -38,3 +38,14 @@ def test_places_labels_and_scores(spark):
     assert "gpl-3" in got[4].labels.split(",") and "gpl-2" not in got[4].labels.split(",")
     assert got[5].labels == "cc-by,cc-by-nc-4.0" and got[6].labels == "apache-2.0" and got[6].score >= 0.6
     assert got[7].labels == "" and got[8].labels == ""
+
+
+def test_a_file_that_joins_several_licences_has_all_their_labels(spark):
+    """The labels of a text don't depend on how many licence words stand before."""
+    joined = ". ".join(opening for opening, _ in license_scan.TEMPLATES.values())
+    first = ". ".join(license_scan.TEMPLATES[k][0] for k in ("mit", "bsd"))
+    texts = [joined, first + ". All rights reserved. This work is licensed under the GNU General Public License version 3"]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    alone = {k: license_scan.TEMPLATES[k] for k in license_scan.TEMPLATES}
+    assert {k for k, (opening, phrases) in alone.items() if all(f" {p} " in f" {opening} " for p in phrases)} <= set(got[0])
+    assert {"mit", "bsd", "gpl-3"} <= set(got[1])
