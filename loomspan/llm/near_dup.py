@@ -3,8 +3,9 @@
 A document's five-word k-mers are numbered by occurrence, so that repeated ones
 differ. A sketch takes the two least of them under a random order of all k-mers,
 and keeps them in the order of the text; two documents share it if they have the
-k-mers in common and in the same order. Documents that share any of sixteen sketches
-are candidates, and candidates are aligned word by word within the band of
+k-mers in common and in the same order. As scattered changes leave few k-mers of
+five words, sixteen further sketches take one k-mer of three words each. Documents that share
+any of these sketches are candidates, and candidates are aligned word by word within the band of
 diagonals that a similarity of 0.8 allows.
 
 Equal texts are one node. Within a bucket first every node is compared with the
@@ -33,12 +34,15 @@ from loomspan.session import materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
+#: Further sketches of one shorter k-mer each, and its words: scattered changes leave few k-mers of five words.
+SINGLES, SHORT = 16, 3
 #: Nodes of a bucket that are compared in all pairs; in larger ones, passes with hubs before the exact join, and bins of its histogram.
 SMALL, HUB_ROUNDS, BINS = 16, 1, 1 << 18
 #: Words a worker remembers, rows of an output batch.
 REMEMBERED, ROWS = 300_000, 256
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
+_SINGLE_SEEDS = np.random.default_rng(31).integers(1, 2**63, (SINGLES, 2), dtype=np.uint64) | np.uint64(1)
 _STEP = np.random.default_rng(7).integers(1, 2**63, 32, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -91,6 +95,14 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
     return _mix(out).view(np.int64)
 
 
+def single_sketches(hashes: np.ndarray) -> np.ndarray:
+    """Sketches of a single short k-mer: the least one under each of the random orders."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    kmers = labelled_kmers(hashes, SHORT)
+    return np.array([_mix((kmers ^ add) * times).min() for add, times in _SINGLE_SEEDS], np.uint64).view(np.int64)
+
+
 def alignment_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Words to insert, delete or replace to turn ``a`` into ``b``; None if more than ``limit``.
 
@@ -162,7 +174,7 @@ def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
                     hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
                     nodes.append(hashlib.md5(b" ".join(found), usedforsecurity=False).hexdigest())
                     counts.append(len(found))
-                    prints_.append(sketches(hashes))
+                    prints_.append(np.concatenate([sketches(hashes), single_sketches(hashes)]))
                     terms.append((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prints_, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int32()))],

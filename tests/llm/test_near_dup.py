@@ -81,6 +81,20 @@ def test_classes_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got.values())
 
 
+@pytest.mark.parametrize(("length", "changed"), [(300, 60), (300, 45), (300, 30), (100, 20), (10, 1)])
+def test_recall_of_scattered_changes(length, changed):
+    """Of texts at the least alignment, 0.8, and above, nearly all pairs share a sketch."""
+    r = np.random.default_rng(6)
+    met = 0
+    for _ in range(200):
+        a = r.integers(1, 2**63, length).astype(np.uint64)
+        b = a.copy()
+        b[r.choice(length, changed, replace=False)] = r.integers(1, 2**63, changed)
+        one, two = (np.concatenate([near_dup.sketches(x), near_dup.single_sketches(x)]) for x in (a, b))
+        met += bool((one == two).any())
+    assert met >= 194
+
+
 def test_large_bucket_of_distinct_classes_links_all_similar_texts(spark):
     """Forty pairs of near copies about a common passage that share one large bucket and nothing else."""
     r = np.random.default_rng(11)
