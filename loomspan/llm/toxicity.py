@@ -22,9 +22,12 @@ from loomspan.llm.labels import held_out, training_rows
 
 #: Hash buckets of terms, length of a vector, bytes of a word's beginnings.
 BUCKETS, FACTORS, BEGINNINGS = 1 << 20, 4, (4, 5, 6)
-#: Labelled rows learned from at most (a documented bound); the rows a term must be in, and
-#: the standard errors by which its share of toxic rows must differ from the whole's.
-TRAINING_ROWS, LEAST_ROWS, LEAST_ERRORS = 12_000, 4, 5.0
+#: Labelled rows learned from at most (a documented bound), and the rows a term must be in.
+TRAINING_ROWS, LEAST_ROWS = 12_000, 4
+#: Terms whose share of toxic rows is so many standard errors off the whole's are fitted first; then all are.
+FIRST_ERRORS = 5.0
+#: Step, before it is divided by the root of a row's terms, and decay of the fit of all terms.
+REST_RATE, REST_DECAY = 0.05, 0.5
 #: Labels are learned only from rows whose crc32 modulo 3 is not 1.
 MODULUS, REMAINDER = 3, 1
 #: Score from which a row is predicted toxic.
@@ -82,35 +85,51 @@ class Machine:
 def train(rows: DataFrame, rounds: int = 12, rate: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Machine:
     """Fit a machine to ``text`` and ``label`` rows, of which there must be boundedly many.
 
-    Executors turn texts into buckets. The driver keeps terms whose share of
-    toxic rows stands out, and fits them by adaptive gradient steps.
+    Executors turn texts into buckets. The driver keeps all terms that stand in
+    ``LEAST_ROWS`` rows, whatever their labels, as some count only in pairs. The terms
+    whose share of toxic rows stands out are fitted first, so that all the others
+    have only what these leave unexplained to learn, in smaller steps and against decay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
         for batch in batches:
-            buckets = [terms.of(t).astype(np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.list_(pa.int32())), batch.column("label")], names=["terms", "label"])
+            buckets = [terms.of(t).astype(np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.binary()), batch.column("label")], names=["terms", "label"])
 
-    data = sorted((tuple(r["terms"]), r["label"]) for r in map_arrow(rows, run, "terms array<int>, label int").collect())
+    data = sorted((bytes(r["terms"]), r["label"]) for r in map_arrow(rows, run, "terms binary, label int").collect())
     if not data or len({y for _, y in data}) < 2:
         share = float(np.mean([y for _, y in data])) if data else 0.0
         bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return Machine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, FACTORS)))
-    y = np.array([v for _, v in data], float)
-    flat = np.concatenate([np.array(t, np.int64) for t, _ in data])
-    counts = np.bincount(flat, minlength=BUCKETS)
-    toxic = np.bincount(flat, np.repeat(y, [len(t) for t, _ in data]), BUCKETS)
+    return learn([np.frombuffer(t, np.int32) for t, _ in data], np.array([v for _, v in data], float), rounds, rate, decay, seed)
+
+
+def learn(x: list[np.ndarray], y: np.ndarray, rounds: int = 12, rate: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Machine:
+    """The machine of rows of distinct buckets and their labels, of both kinds."""
+    counts = np.bincount(np.concatenate(x), minlength=BUCKETS)
     share = y.mean()
-    errors = np.abs(toxic - counts * share) / np.sqrt(np.maximum(counts, 1) * share * (1 - share))
-    kept = np.flatnonzero((counts >= LEAST_ROWS) & (errors >= LEAST_ERRORS))
-    number = np.full(BUCKETS, -1)
+    kept = np.flatnonzero(counts >= LEAST_ROWS)
+    toxic = np.bincount(np.concatenate(x), np.repeat(y, [len(t) for t in x]), BUCKETS)[kept]
+    stands_out = np.abs(toxic - counts[kept] * share) >= FIRST_ERRORS * np.sqrt(counts[kept] * share * (1 - share))
+    number = np.full(BUCKETS, -1, np.int32)
     number[kept] = np.arange(len(kept))
-    x = [(n := number[np.array(t, np.int64)])[n >= 0] for t, _ in data]
+    x = [(n := number[t])[n >= 0] for t in x]
     r = np.random.default_rng(seed)
     machine = Machine(kept, float(np.log(share / (1 - share))), np.zeros(len(kept)), r.normal(0, 0.02, (len(kept), FACTORS)))
-    square_w, square_v, square_b = np.full(len(kept), 1e-4), np.full((len(kept), FACTORS), 1e-4), 1e-4
-    for _ in range(rounds if len(kept) else 0):
+    if len(kept):
+        if stands_out.any():
+            _descend(machine, [t[stands_out[t]] for t in x], y, r, rounds, rate, 0.1 * rate, 1e-4, decay)
+        smaller = 1 / np.sqrt(max(1.0, np.mean([len(t) for t in x])))
+        _descend(machine, x, y, r, rounds, REST_RATE * smaller, 2.5 * REST_RATE * smaller, 1.0, REST_DECAY)
+    return machine
+
+
+def _descend(machine: Machine, x: list[np.ndarray], y: np.ndarray, r: np.random.Generator, rounds: int, rate_w: float, rate_v: float, start: float, decay: float) -> None:
+    """Adaptive gradient steps over batches of rows ``x``; ``decay`` draws back to where they began."""
+    kept, first_w, first_v = machine.kept, machine.weights.copy(), machine.vectors.copy()
+    square_w, square_v, square_b = np.full(len(kept), start), np.full((len(kept), FACTORS), start), start
+    for _ in range(rounds):
         order = r.permutation(len(x))
         for k in range(0, len(order), 64):
             part = order[k : k + 64]
@@ -122,16 +141,15 @@ def train(rows: DataFrame, rounds: int = 12, rate: float = 0.2, decay: float = 1
             v = machine.vectors[ids]
             sums = np.stack([np.bincount(owner, v[:, f], len(part)) for f in range(FACTORS)], 1)
             e = error[owner]
-            grad_w = np.bincount(inverse, e, len(used)) + decay * machine.weights[used]
+            grad_w = np.bincount(inverse, e, len(used))
             pull = (sums[owner] - v) * e[:, None]
-            grad_v = np.stack([np.bincount(inverse, pull[:, f], len(used)) for f in range(FACTORS)], 1) + decay * machine.vectors[used]
+            grad_v = np.stack([np.bincount(inverse, pull[:, f], len(used)) for f in range(FACTORS)], 1)
             square_w[used] += grad_w**2
             square_v[used] += grad_v**2
             square_b += error.sum() ** 2
-            machine.weights[used] -= rate * grad_w / np.sqrt(square_w[used])
-            machine.vectors[used] -= 0.1 * rate * grad_v / np.sqrt(square_v[used])
-            machine.bias -= rate * error.sum() / np.sqrt(square_b)
-    return machine
+            machine.weights[used] -= rate_w * (grad_w + decay * (machine.weights[used] - first_w[used])) / np.sqrt(square_w[used])
+            machine.vectors[used] -= rate_v * (grad_v + decay * (machine.vectors[used] - first_v[used])) / np.sqrt(square_v[used])
+            machine.bias -= rate_w * error.sum() / np.sqrt(square_b)
 
 
 def fit(docs: DataFrame, labels: DataFrame, at_most: int = TRAINING_ROWS) -> Machine:

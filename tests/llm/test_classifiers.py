@@ -66,6 +66,20 @@ def test_machine_learns_a_pair_that_no_sum_can(spark):
     assert both == pytest.approx(1 / (1 + np.exp(-direct)))
 
 
+def test_training_learns_a_pair_whose_terms_are_balanced(spark):
+    """Toxic where both of two words stand or neither; each alone says nothing."""
+    r = np.random.default_rng(0)
+    rows = []
+    for i in range(2000):
+        a, b = i % 2, i // 2 % 2
+        filler = [f"f{k}" for k in r.choice(40, 8, replace=False)]
+        rows.append((" ".join([*filler, *["ab"] * a, *["cd"] * b]), int(a == b)))
+    machine = toxicity.train(spark.createDataFrame(rows[:1600], "text string, label int"))
+    terms = toxicity.Terms(machine.kept)
+    scores = machine.score([terms.of(t) for t, _ in rows[1600:]])
+    assert np.mean([(s >= toxicity.TOXIC) == y for s, (_, y) in zip(scores, rows[1600:], strict=True)]) > 0.95
+
+
 def test_forest_equals_walking_each_row():
     r = np.random.default_rng(1)
     x = r.normal(size=(400, len(quality.STATISTICS)))
