@@ -224,12 +224,15 @@ def _pairs_within(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 
 
 def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, n_links, kept.
+    """One row per input row: doc_id, class_id, class_size, n_found, kept.
 
     Rows are in one class if a chain of links joins them; a link is an alignment
     similarity of 0.8 or more between texts that share a sketch. ``class_id`` is
     the least doc_id of the class and ``kept`` marks the rows that have it;
-    ``n_links`` counts the linked texts that differ from the row's own. Texts
+    ``n_found`` counts
+    the links found from the row's text to others, which join the class; as pairs that
+    already are in one class aren't compared further, it isn't the number of similar
+    texts. Texts
     with the same words are equal. Texts without words, null ones too, are never
     duplicates: each is its own class. A text of fewer than five words is one
     k-mer. Repeated rows are copies like any others. Other columns are not kept,
@@ -237,13 +240,13 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """
     printed = materialize(prints(docs, text_column), "prints")
     found = links(printed)
-    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_found"))
     roots = components(found)
     placed = (
         printed.select("doc_id", "node", "n_words")
         .join(roots, "node", "left")
         .join(degree, "node", "left")
-        .select("doc_id", F.when(F.col("n_words") > 0, F.coalesce("root", "node")).alias("_root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("doc_id", F.when(F.col("n_words") > 0, F.coalesce("root", "node")).alias("_root"), F.coalesce("n_found", F.lit(0)).alias("n_found"))
     )
     classes = placed.filter(F.col("_root").isNotNull()).groupBy("_root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = F.col("_root").isNull()
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
-        F.col("n_links").cast("long").alias("n_links"),
+        F.col("n_found").cast("long").alias("n_found"),
         (alone | F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"),
     )
 

@@ -114,6 +114,17 @@ def test_large_bucket_of_distinct_classes_links_all_similar_texts(spark):
     assert len(found) == 40
 
 
+def test_found_links_span_their_class(spark):
+    """``n_found`` counts found links only: of a class of m texts at least m - 1 have been found."""
+    base = [f"w{i}" for i in range(100)]
+    docs = [(i, " ".join([*base[:i], f"x{i}", *base[i + 1 :]])) for i in range(40)]
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got.columns == ["doc_id", "class_id", "class_size", "n_found", "kept"]
+    rows = got.collect()
+    assert {r.class_size for r in rows} == {40}
+    assert sum(r.n_found for r in rows) >= 2 * 39 and all(1 <= r.n_found <= 39 for r in rows)
+
+
 def test_awkward_rows(awkward, empty):
     got = near_dup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
