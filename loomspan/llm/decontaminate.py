@@ -271,7 +271,7 @@ def digest(matches: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = WINDOW) -> DataFrame:
-    """The rows of ``docs``, with all columns, in which fewer than ``least_words`` words are hit."""
-    hit = digest(find_matches(docs, benchmark), "_k1", "_k2").filter(F.col("n_hit") >= least_words)
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all columns, in which no word is hit; a whole item shorter than a window is a hit too."""
+    hit = digest(find_matches(docs, benchmark), "_k1", "_k2").filter("contaminated")
     return packed(docs).join(hit.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select("_row.*")

@@ -70,3 +70,9 @@ def test_awkward_rows(spark, awkward, empty):
     assert decontaminate.remove_contaminated(awkward, none).columns == awkward.columns
     own = spark.createDataFrame([(1, "longish text with 7 numbers word8 longish text with 8 numbers")], "item_id long, text string")
     assert decontaminate.remove_contaminated(awkward, own).count() == awkward.count() - 2
+
+
+def test_documents_with_a_whole_short_item_are_removed(spark):
+    items = spark.createDataFrame([(1, "zeta kappa omega"), (2, "one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x zeta kappa omega y"), (2, "zeta kappa"), (3, "and one more"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.remove_contaminated(docs, items).collect()} == {2, 4}
