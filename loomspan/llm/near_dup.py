@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import map_arrow, word_bytes
+from loomspan.llm.common import map_arrow, packed, row_key, word_bytes
 from loomspan.llm.components import components
 from loomspan.session import materialize
 
@@ -160,8 +160,8 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | Non
 
 
 def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Per row: doc_id, node (digest of its words), word count, sketches, and words as numbers."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_column).alias("_text"))
+    """Per row with its key: doc_id, node (digest of its words), word count, sketches, and words as numbers."""
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_k1", "_k2", F.col(text_column).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -177,11 +177,11 @@ def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
                     prints_.append(np.concatenate([sketches(hashes), single_sketches(hashes)]))
                     terms.append((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prints_, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int32()))],
-                    names=["doc_id", "node", "n_words", "sketches", "terms"],
+                    [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prints_, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int32()))],
+                    names=["doc_id", "_k1", "_k2", "node", "n_words", "sketches", "terms"],
                 )
 
-    return map_arrow(narrow, run, "doc_id long, node string, n_words int, sketches array<long>, terms array<int>")
+    return map_arrow(narrow, run, "doc_id long, _k1 long, _k2 long, node string, n_words int, sketches array<long>, terms array<int>")
 
 
 def _verified(pairs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -238,20 +238,27 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     k-mer. Repeated rows are copies like any others. Other columns are not kept,
     and an empty table gives an empty result.
     """
+    return _placed(row_key(docs.select("doc_id", F.col(text_column).alias("_text")), "doc_id", "_text"), "_text").drop("_k1", "_k2")
+
+
+def _placed(docs: DataFrame, text_column: str) -> DataFrame:
+    """The rows of ``near_duplicates`` with their keys."""
     printed = materialize(prints(docs, text_column), "prints")
     found = links(printed)
     degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_found"))
     roots = components(found)
     placed = (
-        printed.select("doc_id", "node", "n_words")
+        printed.select("doc_id", "_k1", "_k2", "node", "n_words")
         .join(roots, "node", "left")
         .join(degree, "node", "left")
-        .select("doc_id", F.when(F.col("n_words") > 0, F.coalesce("root", "node")).alias("_root"), F.coalesce("n_found", F.lit(0)).alias("n_found"))
+        .select("doc_id", "_k1", "_k2", F.when(F.col("n_words") > 0, F.coalesce("root", "node")).alias("_root"), F.coalesce("n_found", F.lit(0)).alias("n_found"))
     )
     classes = placed.filter(F.col("_root").isNotNull()).groupBy("_root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = F.col("_root").isNull()
     return placed.join(classes, "_root", "left").select(
         "doc_id",
+        "_k1",
+        "_k2",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
         F.col("n_found").cast("long").alias("n_found"),
@@ -371,7 +378,10 @@ def _rare_grams(texts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """One row of each class, with all columns of ``docs``: the one with the least doc_id.
 
-    Where the least id of a class is null or repeated, all rows that have it stay.
+    Rows go by their id and text, so a row of another class that repeats an id stays.
+    Null ids come after all others. Where the least id of a class is repeated in it, all
+    rows that have it stay, and so they do where all ids of a class are null.
     """
-    gone = near_duplicates(docs, text_column).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    narrow = row_key(docs.select(F.col("doc_id"), F.col(f"`{text_column}`").alias("_text")), "doc_id", "_text")
+    gone = _placed(narrow, "_text").filter(~F.col("kept")).select("_k1", "_k2").distinct()
+    return packed(docs, "doc_id", text_column).join(gone, ["_k1", "_k2"], "left_anti").select("_row.*")

@@ -125,6 +125,12 @@ def test_found_links_span_their_class(spark):
     assert sum(r.n_found for r in rows) >= 2 * 39 and all(1 <= r.n_found <= 39 for r in rows)
 
 
+def test_repeated_and_null_ids_lose_no_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(5, a), (5, b), (1, a), (None, c), (None, c), (0, c)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in near_dup.keep_one(docs).collect()) == [(0, c), (1, a), (5, b)]
+
+
 def test_awkward_rows(awkward, empty):
     got = near_dup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
