@@ -122,28 +122,42 @@ class Transducer:
         self.known: dict[int, tuple[int, int]] = {0: (-1, 0)}  # position -> last token, where it began
 
     def _last(self, at: int) -> tuple[int, int]:
+        """Looked up, or found with a stack of the positions that wait for an earlier one."""
         found = self.known.get(at)
         if found is not None:
             return found
-        data, token_of, known, apart = self.data, self.merges.token_of, self.merges.known, self.merges.apart
-        for begin in range(max(0, at - self.merges.reach[data[at - 1]]), at):
-            token = token_of(data[begin:at])
+        data, token_of, known, apart, reach = self.data, self.merges.token_of, self.merges.known, self.merges.apart, self.merges.reach
+        here, begin, waiting = at, max(0, at - reach[data[at - 1]]), []
+        while True:
+            if begin == here:
+                raise ValueError("the vocabulary lacks a byte")
+            token = token_of(data[begin:here])
             if token is not None:
-                before = self._last(begin)[0]
+                earlier = self.known.get(begin)
+                if earlier is None:
+                    waiting.append((here, begin))
+                    here, begin = begin, max(0, begin - reach[data[begin - 1]])
+                    continue
+                before = earlier[0]
                 fits = before < 0 or known(before << 20 | token)
                 if fits is None:
                     fits = apart(before, token)
                 if fits:
-                    found = self.known[at] = (token, begin)
-                    return found
-        raise ValueError("the vocabulary lacks a byte")
+                    found = self.known[here] = (token, begin)
+                    if not waiting:
+                        return found
+                    here, begin = waiting.pop()
+                    continue
+            begin += 1
 
     def feed(self, data: bytes) -> list[int]:
         """The tokens that are stable now: no token that is still to come begins before them."""
         self.data += data
-        for at in range(max(self.known) if len(self.known) > 1 else 1, len(self.data) + 1):
-            self._last(at)  # in order, so that no search goes deep
-        live = set(range(max(0, len(self.data) - self.merges.lookahead), len(self.data) + 1))
+        if len(self.data) <= self.merges.lookahead:
+            return []  # a token still to come may begin at the first byte
+        for at in range(max(self.known) + 1, len(self.data) + 1):
+            self._last(at)
+        live = set(range(len(self.data) - self.merges.lookahead, len(self.data) + 1))
         while len(live) > 1:
             furthest = max(live)
             live.discard(furthest)
@@ -191,11 +205,8 @@ class Pieces(dict):
 
     def _encode(self, piece: str) -> tuple[int, ...]:
         machine, data, out = Transducer(self.merges), piece.encode("utf-8", "replace"), []
-        if len(data) > FEED:
-            for i in range(0, len(data), FEED):
-                out += machine.feed(data[i : i + FEED])
-        else:
-            machine.data = data
+        for i in range(0, len(data), FEED):
+            out += machine.feed(data[i : i + FEED])
         return tuple(out + machine.finish())
 
 
@@ -309,7 +320,13 @@ def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", to: str
 def round_trip(
     docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False
 ) -> DataFrame:
-    """Per row: id, number of tokens, and digests of its ids and of the decoded text; the ids too if asked for."""
+    """Per row: id, number of tokens, and digests of its ids and of the decoded text; the ids too if asked for.
+
+    A null text counts as empty: no tokens. Repeated rows are encoded alike, null ids stay
+    null, other columns are not kept (so none can clash), and an empty table gives an empty
+    result. A text of any length and a piece of any length are encoded whole, in memory that
+    beyond the text and its ids doesn't grow with them.
+    """
     narrow = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
     encoded = encode(narrow, vocabulary).drop("text")
     return decode(encoded, vocabulary).select(

@@ -34,6 +34,16 @@ def test_long_runs_and_slices(tools):
         assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_that_hardly_merge(tools):
+    own, library = tools
+    r = random.Random(5)
+    texts = ["\x01" * 1000, "xqzj" * 255, "\u1e9e\u0250" * 200, "\x01" * 5000, "q" * 1023 + "\u0250"]
+    for n in [*range(1, 4096, 173), *range(900, 1030, 13), 127, 128, 129, 1023, 1024, 1025, 2048]:
+        texts.append("".join(r.choice(["\x01\x02\x7f", "xqzjvkw", "\u1e9e\u0250\u4e2d\u05d0", "\u4e2d\u6587\u0439"][n % 4]) for _ in range(n)))
+    for text in texts:
+        assert list(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_streaming_holds_a_bounded_state(tools):
     own, _ = tools
     machine, most, out = bpe.Transducer(own.merges), 0, []
