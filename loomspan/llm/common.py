@@ -43,7 +43,7 @@ def row_key(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     """
     return df.withColumns(
         {
-            "_k1": F.coalesce(F.col(id_column).cast("long"), F.lit(-(2**63))),
+            "_k1": F.coalesce(F.col(id_column).try_cast("long"), F.lit(-(2**63))),
             "_k2": F.xxhash64(F.col(id_column), F.col(text_column)),
         }
     )
@@ -54,7 +54,7 @@ def packed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     keyed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
     a, b = F.col(f"_row.`{id_column}`"), F.col(f"_row.`{text_column}`")
     return keyed.withColumns(
-        {"_k1": F.coalesce(a.cast("long"), F.lit(-(2**63))), "_k2": F.xxhash64(a, b)}
+        {"_k1": F.coalesce(a.try_cast("long"), F.lit(-(2**63))), "_k2": F.xxhash64(a, b)}
     )
 
 

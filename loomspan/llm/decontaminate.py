@@ -1,26 +1,26 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-Training texts become rows of term numbers, and from these come the postings:
-term, document, position. A test phrase is looked up by its rarest terms: each
-posting of the rarest one says where the phrase would begin, the lists of the
-next ones, adjusted by their offsets in the phrase, must agree on that place,
-and places that survive are compared word by word. Agreement within a few
+Training texts become rows of term numbers (64-bit hashes of words), once, whatever the
+benchmark's size, and from these come the postings: term, document, position. A test phrase is
+looked up by its rarest terms: each posting of the rarest one says where the phrase would begin, the
+lists of the next ones, adjusted by their offsets in the phrase, must agree on that
+place, and places that survive are compared word by word. Agreement within a few
 positions gives a proximity match, agreement in all words an exact one.
 
-Joins are on document, term and position, so neither a hot passage nor a hot
-term gathers in one task. A benchmark of any size is taken in blocks whose words
-fit a worker; every block runs against all documents.
+The benchmark, its windows and their terms are tables like the postings, and joins are on
+document, term and position, so neither a hot passage nor a hot term gathers in one task. Only a
+bit set of fixed size goes to the executors: words that stand in no test are 0 from the start,
+and terms that are not looked up have no postings.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import map_arrow, packed, row_key, word_bytes
@@ -30,117 +30,115 @@ from loomspan.session import materialize
 WINDOW, SLOP = 10, 4
 #: Test terms of a window that are looked up, rarest first.
 ANCHORS = 3
-#: Words of the benchmark in a block.
-BLOCK_WORDS = 200_000
-#: Rows of an output batch.
-ROWS = 512
+#: Bits of a bit set of terms, which may let other terms pass but loses none; bits of one row of it.
+SET_BITS, ROW_BITS = 1 << 24, 1 << 15
+#: Rows of an output batch, and words a worker remembers.
+ROWS, REMEMBERED = 512, 300_000
 
 _HIT = pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())])
 _HIT_SQL = "array<struct<item:string,start:int,end:int,exact:boolean>>"
 
 
-@dataclass
-class Block:
-    """A block of the benchmark: its vocabulary, and its distinct windows with their items."""
+class Terms(dict):
+    """Word -> 64-bit hash, 0 if a bit set rules it out; remembers up to a bound."""
 
-    vocabulary: dict[bytes, int]
-    windows: list[tuple[int, ...]]
-    items: list[list[str]]
+    def __init__(self, bits: np.ndarray | None) -> None:
+        super().__init__()
+        self.bits = bits
 
-    @classmethod
-    def of(cls, rows: list[tuple[str, str]], window: int) -> Block:
-        vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
-        for item, text in rows:
-            terms = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in word_bytes(text)]
-            size = min(window, len(terms))
-            for i in range(len(terms) - size + 1 if size else 0):
-                owners.setdefault(tuple(terms[i : i + size]), set()).add(item)
-        return cls(vocabulary, list(owners), [sorted(x) for x in owners.values()])
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word) or 1
+        if self.bits is not None and not self.bits[found % len(self.bits)]:
+            found = 0
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found
+        return found
 
 
-def _blocks(benchmark: DataFrame, id_column: str, text_column: str, window: int) -> Iterator[Block]:
-    items = benchmark.select(F.col(id_column).cast("string").alias("item"), F.col(text_column).alias("text")).filter(
-        F.col("item").isNotNull() & F.col("text").isNotNull()
-    )
-    size = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    n = max(1, -(-int(size) // BLOCK_WORDS))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    for i in range(n):
-        yield Block.of([tuple(r) for r in items.filter(part == i).collect()], window)
+def bit_set(terms: DataFrame) -> np.ndarray:
+    """The places of ``term`` among ``SET_BITS`` bits. At most SET_BITS / ROW_BITS short rows reach the driver."""
+    place = F.col("term").bitwiseAND(SET_BITS - 1)
+    rows = terms.groupBy((F.floor(place / ROW_BITS)).alias("row")).agg(F.bitmap_construct_agg(place % ROW_BITS).alias("bits"))
+    out = np.zeros(SET_BITS, bool)
+    for row, bits in rows.collect():
+        found = np.unpackbits(np.frombuffer(bytes(bits), np.uint8), bitorder="little")[:SET_BITS]
+        out[row * ROW_BITS : row * ROW_BITS + len(found)] = found
+    return out
 
 
-def term_rows(docs: DataFrame, vocabulary: dict[bytes, int], text_column: str) -> DataFrame:
-    """Documents as arrays of term numbers by position, 0 for words that no test has."""
-    narrow = row_key(docs, text_column=text_column).select("doc_id", "_k1", "_k2", F.col(text_column).alias("_text"))
+def term_rows(keyed: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """``_text`` of each row as an array of terms by position, beside the number of its words and its other columns."""
+    names = [*[c for c in keyed.columns if c != "_text"], "n_words", "_terms"]
+    schema = ", ".join([*[f"{c} {t}" for c, t in keyed.dtypes if c != "_text"], "n_words long", "_terms array<long>"])
+    packed_bits = None if bits is None else np.packbits(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Terms(None if packed_bits is None else np.unpackbits(packed_bits).astype(bool))
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
                 terms, ends = [], [0]
                 for text in batch.column("_text").to_pylist():
-                    terms.append(np.fromiter(map(vocabulary.get, found := word_bytes(text), repeat(0)), np.int32, len(found)))
+                    found = word_bytes(text)
+                    terms.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)))
                     ends.append(ends[-1] + len(found))
-                flat = np.concatenate(terms) if terms else np.zeros(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                counts = pa.array(np.diff(ends), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("doc_id", "_k1", "_k2")), counts, column],
-                    names=["doc_id", "_k1", "_k2", "n_words", "_terms"],
-                )
+                flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+                kept = [batch.column(c) for c in names[:-2]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.diff(ends), pa.int64()), column], names=names)
 
-    return map_arrow(narrow, run, "doc_id long, _k1 long, _k2 long, n_words long, _terms array<int>")
+    return map_arrow(keyed, run, schema)
 
 
-def term_counts(rows: DataFrame, n_terms: int) -> np.ndarray:
-    """Postings per term over all documents; partitions send one number per term."""
+def test_windows(items: DataFrame, window: int) -> DataFrame:
+    """``win`` (the window's terms) and ``items`` (which have it, sorted) of every distinct window of the test items."""
+    size = F.least(F.lit(window), F.size("_terms"))
+    places = F.sequence(F.lit(1), F.size("_terms") - size + 1)
+    listed = items.filter(F.size("_terms") > 0).select("item", F.explode(F.transform(places, lambda i: F.slice("_terms", i, size))).alias("win"))
+    return listed.groupBy("win").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms + 1, np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy(zero_copy_only=False), minlength=n_terms + 1)
-        terms = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array(total[terms])], names=["term", "n"])
 
-    counts = np.zeros(n_terms + 1, np.int64)
-    for r in map_arrow(rows.select("_terms"), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        counts[r["term"]] = r["n"]
-    return counts
+def looked_up(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Windows all of whose terms stand in the corpus, with their ``ANCHORS`` rarest terms (t0, t1, ...) and offsets (o0, ...)."""
+    listed = windows.select("win", F.posexplode("win").alias("o", "term")).join(counts, "term", "left")
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct("n", "o", "term"))), 1, ANCHORS)  # a window's terms: at most ``window``
+    rarest = listed.groupBy("win").agg(ranked.alias("r"), F.count("n").alias("known")).filter(F.col("known") == F.size("win"))
+
+    def anchor(i: int, name: str) -> Column:
+        return F.coalesce(F.get("r", F.lit(i))[name], F.get("r", F.lit(0))[name])
+
+    columns = [anchor(i, name).alias(f"{short}{i}") for i in range(ANCHORS) for name, short in (("term", "t"), ("o", "o"))]
+    return rarest.select("win", *columns).join(windows, "win")
 
 
 def postings(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """The positional index: one row per occurrence of a wanted term."""
+    """The positional index: one row per occurrence of a term that the bit set ``wanted`` lets pass."""
+    packed_bits = np.packbits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(packed_bits).astype(bool)
         for batch in batches:
             lists = batch.column("_terms")
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             lengths = np.array(lists.value_lengths().to_numpy(zero_copy_only=False), np.int64)
             begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            at = np.flatnonzero(wanted[flat])
+            at = np.flatnonzero(passes[flat & (len(passes) - 1)] & (flat != 0))
             take = pa.array(owner[at])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat[at]), batch.column("_k1").take(take), batch.column("_k2").take(take), pa.array((at - begin[at]).astype(np.int32))],
                 names=["term", "_k1", "_k2", "pos"],
             )
 
-    return map_arrow(rows.select("_k1", "_k2", "_terms"), run, "term int, _k1 long, _k2 long, pos int")
+    return map_arrow(rows.select("_k1", "_k2", "_terms"), run, "term long, _k1 long, _k2 long, pos int")
 
 
-def _candidates(index: DataFrame, block: Block, counts: np.ndarray, slop: int) -> DataFrame:
+def _candidates(index: DataFrame, windows: DataFrame, slop: int) -> DataFrame:
     """Places where the looked-up terms of a window stand together, with how far they are off."""
-    looked = []
-    for w, terms in enumerate(block.windows):
-        rarest = sorted(range(len(terms)), key=lambda o: (counts[terms[o]], o))[:ANCHORS]
-        rarest += [rarest[0]] * (ANCHORS - len(rarest))
-        looked.append((w, *[x for o in rarest for x in (terms[o], o)]))
-    columns = ", ".join(f"t{i} int, o{i} int" for i in range(ANCHORS))
-    table = index.sparkSession.createDataFrame(looked, f"window int, {columns}")
-    # The table has one row per distinct window of a block, so its size is bounded by BLOCK_WORDS.
-    found = index.join(F.broadcast(table), F.col("term") == F.col("t0")).select(
-        "_k1", "_k2", "window", (F.col("pos") - F.col("o0")).alias("start"), F.lit(0).alias("off"), *[f"{c}{i}" for i in range(1, ANCHORS) for c in "to"]
+    anchors = [f"{c}{i}" for i in range(1, ANCHORS) for c in "to"]
+    found = index.join(windows, F.col("term") == F.col("t0")).select(
+        "_k1", "_k2", "window", (F.col("pos") - F.col("o0")).alias("start"), F.lit(0).alias("off"), *anchors
     )
     width = slop + 1
     listed = index.select(F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2"), F.col("term").alias("_t"), F.col("pos").alias("_p"), F.floor(F.col("pos") / width).alias("_b"))
@@ -160,47 +158,46 @@ def _candidates(index: DataFrame, block: Block, counts: np.ndarray, slop: int) -
     return found.select("_k1", "_k2", "window", "start", "off")
 
 
-def _verified(rows: DataFrame, candidates: DataFrame, block: Block) -> DataFrame:
-    """Every document with its matches: candidates compared word by word."""
-    grouped = candidates.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("window", "start", "off")).alias("_places"))
-    windows, items = block.windows, block.items
-
-    def matches(terms: np.ndarray, places: list[dict]) -> list[dict]:
-        exact: dict[str, set[tuple[int, int]]] = {}
-        near: dict[str, set[tuple[int, int]]] = {}
-        for p in places:
-            window, start = windows[p["window"]], p["start"]
-            same = p["off"] == 0 and start >= 0 and tuple(terms[start : start + len(window)].tolist()) == window
-            for item in items[p["window"]]:
-                (exact if same else near).setdefault(item, set()).add((max(0, start), min(len(terms), start + len(window))))
-        out = []
-        for found, is_exact in ((exact, True), (near, False)):
-            for item in sorted(found):
-                if not is_exact and item in exact:
+def _matches(terms: np.ndarray, places: list[dict]) -> list[dict]:
+    """Merged spans of the windows of each item at the places, exact ones, or else proximity ones."""
+    exact: dict[str, set[tuple[int, int]]] = {}
+    near: dict[str, set[tuple[int, int]]] = {}
+    for p in places:
+        window, start = p["win"], p["start"]
+        same = p["off"] == 0 and start >= 0 and terms[start : start + len(window)].tolist() == window
+        for item in p["items"]:
+            (exact if same else near).setdefault(item, set()).add((max(0, start), min(len(terms), start + len(window))))
+    out = []
+    for found, is_exact in ((exact, True), (near, False)):
+        for item in sorted(found):
+            if not is_exact and item in exact:
+                continue
+            begin = until = None
+            for a, b in sorted(found[item]):  # one span for windows that overlap or touch
+                if until is not None and a <= until:
+                    until = max(until, b)
                     continue
-                begin = until = None
-                for a, b in sorted(found[item]):  # one span for windows that overlap or touch
-                    if until is not None and a <= until:
-                        until = max(until, b)
-                        continue
-                    if until is not None:
-                        out.append({"item": item, "start": begin, "end": until, "exact": is_exact})
-                    begin, until = a, b
-                out.append({"item": item, "start": begin, "end": until, "exact": is_exact})
-        return out
+                if until is not None:
+                    out.append({"item": item, "start": begin, "end": until, "exact": is_exact})
+                begin, until = a, b
+            out.append({"item": item, "start": begin, "end": until, "exact": is_exact})
+    return out
+
+
+def _verified(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Every document with its matches: candidates compared word by word."""
+    grouped = candidates.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("win", "items", "start", "off")).alias("_places"))
+    names = ["doc_id", "_k1", "_k2", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
-                terms, places = batch.column("_terms"), batch.column("_places").to_pylist()
-                hits = [matches(terms[k].values.to_numpy(zero_copy_only=False), p) if p else [] for k, p in enumerate(places)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in ("doc_id", "_k1", "_k2", "n_words")), pa.array(hits, pa.list_(_HIT))],
-                    names=["doc_id", "_k1", "_k2", "n_words", "hits"],
-                )
-
-    joined = rows.join(grouped, ["_k1", "_k2"], "left").select("doc_id", "_k1", "_k2", "n_words", "_terms", "_places")
+                terms, places = batch.column("_terms"), batch.column("_places")
+                hits = [_matches(terms[k].values.to_numpy(zero_copy_only=False), places[k].as_py()) if places[k].is_valid else [] for k in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(hits, pa.list_(_HIT))], names=[*names, "hits"])
+
+    joined = rows.join(grouped, ["_k1", "_k2"], "left").select(*names, F.when(F.col("_places").isNotNull(), F.col("_terms")).alias("_terms"), "_places")
     return map_arrow(joined, run, f"doc_id long, _k1 long, _k2 long, n_words long, hits {_HIT_SQL}")
 
 
@@ -219,28 +216,23 @@ def find_matches(
     windows of an item. Proximity hits are given for items without an exact one.
     Null and empty texts have no words and no hits; null items are ignored; an
     item shorter than the window is one window; copies of a row get equal
-    results; an empty benchmark gives rows without hits; other columns of either
-    table are not kept.
+    results; an id that is no number is null; texts of any length are read whole; an empty benchmark
+    gives rows without hits, an empty table no rows; other columns of either table are not kept,
+    so no names clash.
     """
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    found = []
-    for block in _blocks(benchmark, item_column, item_text_column, window):
-        rows = materialize(term_rows(docs, block.vocabulary, text_column), "terms")
-        counts = term_counts(rows, len(block.vocabulary))
-        wanted = np.zeros(len(block.vocabulary) + 1, bool)
-        for terms in block.windows:
-            wanted[sorted(terms, key=lambda t: counts[t])[:ANCHORS]] = True
-        index = materialize(postings(rows, wanted), "postings")
-        found.append(_verified(rows, _candidates(index, block, counts, slop), block))
-    if len(found) == 1:
-        return found[0]
-    every = found[0].drop("hits")
-    hits = None
-    for part in found:
-        one = part.select("_k1", "_k2", F.explode("hits").alias("_hit"))
-        hits = one if hits is None else hits.unionByName(one)
-    merged = hits.groupBy("_k1", "_k2").agg(F.collect_set("_hit").alias("hits"))
-    return every.join(merged, ["_k1", "_k2"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HIT_SQL)))
+    texts = benchmark.select(F.col(f"`{item_column}`").cast("string").alias("item"), F.col(f"`{item_text_column}`").alias("_text"))
+    items = materialize(term_rows(texts.filter(F.col("item").isNotNull() & F.col("_text").isNotNull())), "items")
+    narrow = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col(f"`{text_column}`").alias("_text"))
+    keyed = row_key(narrow, "doc_id", "_text").select("doc_id", "_k1", "_k2", "_text")
+    rows = materialize(term_rows(keyed, bit_set(items.select(F.explode("_terms").alias("term")))), "terms")
+
+    counts = rows.select(F.explode("_terms").alias("term")).filter("term <> 0").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    windows = materialize(looked_up(test_windows(items, window), counts).withColumn("window", F.xxhash64("win")), "windows")
+    wanted = windows.select(F.explode(F.array(*[f"t{i}" for i in range(ANCHORS)])).alias("term"))
+    index = materialize(postings(rows, bit_set(wanted)), "postings")
+    lookups = windows.select("window", *[f"{c}{i}" for i in range(ANCHORS) for c in "to"])
+    places = _candidates(index, lookups, slop).join(windows.select("window", "win", "items"), "window")
+    return _verified(rows, places)
 
 
 def digest(matches: DataFrame, *keys: str) -> DataFrame:
@@ -272,6 +264,11 @@ def digest(matches: DataFrame, *keys: str) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, in which no word is hit; a whole item shorter than a window is a hit too."""
+    """The rows of ``docs``, with all columns, in which no word is hit; a whole item shorter than a window is a hit too.
+
+    Null and empty texts stay. Rows go by id and text, so copies of a row go together and a
+    row that repeats an id with another text is judged by its own. Columns of any name are kept as they are.
+    An empty table stays empty, and with an empty benchmark all rows stay.
+    """
     hit = digest(find_matches(docs, benchmark), "_k1", "_k2").filter("contaminated")
     return packed(docs).join(hit.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select("_row.*")

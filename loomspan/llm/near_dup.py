@@ -161,7 +161,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | Non
 
 def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Per row with its key: doc_id, node (digest of its words), word count, sketches, and words as numbers."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "_k1", "_k2", F.col(text_column).alias("_text"))
+    narrow = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "_k1", "_k2", F.col(text_column).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()

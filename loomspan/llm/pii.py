@@ -484,7 +484,7 @@ def find_pii(docs: DataFrame, field: Field, id_column: str = "doc_id", text_colu
     are labelled whole. Rows that repeat are treated alike, a null id stays null, other columns
     are not kept (so none can clash), and an empty table gives an empty result.
     """
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+    narrow = docs.select(F.col(id_column).try_cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     names, weights, moves = field.names, field.weights, field.moves
     kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 

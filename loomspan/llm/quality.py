@@ -162,7 +162,7 @@ def score(docs: DataFrame, forest: Forest, id_column: str = "doc_id", text_colum
     statistics zero. Null ids aren't held out; repeated rows are scored alike;
     other columns are not kept; an empty table gives an empty result.
     """
-    narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), held_out(F.col(id_column), MODULUS, REMAINDER).alias("held_out"), F.col(text_column).alias("text"))
+    narrow = docs.select(F.col(id_column).try_cast("long").alias("doc_id"), held_out(F.col(id_column), MODULUS, REMAINDER).alias("held_out"), F.col(text_column).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -165,7 +165,7 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
     other columns are not kept; an empty table gives an empty result.
     """
     narrow = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), held_out(F.col(id_column), MODULUS, REMAINDER).alias("held_out"), F.col(text_column).alias("text")
+        F.col(id_column).try_cast("long").alias("doc_id"), held_out(F.col(id_column), MODULUS, REMAINDER).alias("held_out"), F.col(text_column).alias("text")
     )
     kept, bias, weights, vectors = machine.kept, machine.bias, machine.weights, machine.vectors
 

@@ -47,9 +47,9 @@ def test_equals_brute_force(spark):
     assert digests(decontaminate.find_matches(d, b)) == brute(docs, [x for x in items if x[0] is not None])
 
 
-def test_blocks_give_the_same(spark, monkeypatch):
+def test_a_crowded_bit_set_gives_the_same(spark, monkeypatch):
     docs, items, d, b = tables(spark)
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(decontaminate, "SET_BITS", 16)
     assert digests(decontaminate.find_matches(d, b)) == brute(docs, [x for x in items if x[0] is not None])
 
 
