@@ -227,6 +227,7 @@ def find_matches(
     rows = materialize(term_rows(keyed, bit_set(items.select(F.explode("_terms").alias("term")))), "terms")
 
     counts = rows.select(F.explode("_terms").alias("term")).filter("term <> 0").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "counts")  # so that a join can split a term of very many windows
     windows = materialize(looked_up(test_windows(items, window), counts).withColumn("window", F.xxhash64("win")), "windows")
     wanted = windows.select(F.explode(F.array(*[f"t{i}" for i in range(ANCHORS)])).alias("term"))
     index = materialize(postings(rows, bit_set(wanted)), "postings")
