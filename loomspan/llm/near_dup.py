@@ -4,11 +4,11 @@ A document's five-word k-mers are numbered by occurrence, so that repeated ones
 differ. A sketch takes the two least of them under a random order of all k-mers,
 and keeps them in the order of the text; two documents share it if they have the
 k-mers in common and in the same order. As scattered changes leave few k-mers of
-five words, sixteen further sketches take one k-mer of three words each. Documents that share
+five words in common, the least k-mer of each order is a further sketch on its own. Documents that share
 any of these sketches are candidates, and candidates are aligned word by word within the band of
 diagonals that a similarity of 0.8 allows.
 
-Equal texts are one node. Within a bucket first every node is compared with the
+Equal texts are one node with a number. Within a bucket first every node is compared with the
 bucket's hub, another one for every sketch, and classes are formed; then, in buckets that still hold several
 classes, nodes of different classes are compared: all of them in small buckets.
 The nodes of large ones go through an exact prefix-filter join: any two that are
@@ -34,15 +34,12 @@ from loomspan.session import materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
-#: Further sketches of one shorter k-mer each, and its words: scattered changes leave few k-mers of five words.
-SINGLES, SHORT = 16, 3
-#: Nodes of a bucket that are compared in all pairs; in larger ones, passes with hubs before the exact join, and bins of its histogram.
-SMALL, HUB_ROUNDS, BINS = 16, 1, 1 << 18
+#: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
+SMALL, BINS = 16, 1 << 18
 #: Words a worker remembers, rows of an output batch.
 REMEMBERED, ROWS = 300_000, 256
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
-_SINGLE_SEEDS = np.random.default_rng(31).integers(1, 2**63, (SINGLES, 2), dtype=np.uint64) | np.uint64(1)
 _STEP = np.random.default_rng(7).integers(1, 2**63, 32, dtype=np.uint64) | np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,24 +80,17 @@ def labelled_kmers(hashes: np.ndarray, k: int = KMER) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray) -> np.ndarray:
-    """The order-preserving sketches of a document, given its words' hashes."""
+    """The sketches of a document, given its words' hashes: per order first of the least k-mers as they stand in the text, then of the least alone."""
     if not len(hashes):
         return np.zeros(0, np.int64)
     kmers = labelled_kmers(hashes)
-    out = np.empty(SKETCHES, np.uint64)
+    out = np.empty((2, SKETCHES), np.uint64)
     for i, (add, times) in enumerate(_SEEDS):
         order = _mix((kmers ^ add) * times)
-        picked = np.sort(np.argpartition(order, PICKED - 1)[:PICKED]) if len(kmers) > PICKED else np.arange(len(kmers))
-        out[i] = (kmers[picked] * _STEP[: len(picked)]).sum(dtype=np.uint64)
-    return _mix(out).view(np.int64)
-
-
-def single_sketches(hashes: np.ndarray) -> np.ndarray:
-    """Sketches of a single short k-mer: the least one under each of the random orders."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    kmers = labelled_kmers(hashes, SHORT)
-    return np.array([_mix((kmers ^ add) * times).min() for add, times in _SINGLE_SEEDS], np.uint64).view(np.int64)
+        picked = np.argpartition(order, PICKED - 1)[:PICKED] if len(kmers) > PICKED else np.arange(len(kmers))
+        out[1, i] = kmers[picked[order[picked].argmin()]]
+        out[0, i] = (kmers[np.sort(picked)] * _STEP[: len(picked)]).sum(dtype=np.uint64)
+    return _mix(out).view(np.int64).ravel()
 
 
 def alignment_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
@@ -174,7 +164,7 @@ def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
                     hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
                     nodes.append(hashlib.md5(b" ".join(found), usedforsecurity=False).hexdigest())
                     counts.append(len(found))
-                    prints_.append(np.concatenate([sketches(hashes), single_sketches(hashes)]))
+                    prints_.append(sketches(hashes))
                     terms.append((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prints_, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int32()))],
@@ -184,10 +174,10 @@ def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return map_arrow(narrow, run, "doc_id long, _k1 long, _k2 long, node string, n_words int, sketches array<long>, terms array<int>")
 
 
-def _verified(pairs: DataFrame, terms: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose alignment is similar enough, with the similarity."""
-    left = terms.select(F.col("node").alias("a"), F.col("terms").alias("_ta"))
-    right = terms.select(F.col("node").alias("b"), F.col("terms").alias("_tb"))
+    left = texts.select(F.col("id").alias("a"), F.col("terms").alias("_ta"))
+    right = texts.select(F.col("id").alias("b"), F.col("terms").alias("_tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,31 +185,37 @@ def _verified(pairs: DataFrame, terms: DataFrame) -> DataFrame:
             found = [
                 similar(a[i].values.to_numpy(zero_copy_only=False), b[i].values.to_numpy(zero_copy_only=False)) for i in range(batch.num_rows)
             ]
-            kept = pa.array([x is not None for x in found])
+            kept = pa.array([x is not None for x in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(kept), batch.column("b").filter(kept), pa.array([x for x in found if x is not None], pa.float64())],
                 names=["a", "b", "similarity"],
             )
 
-    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb"), run, "a string, b string, similarity double")
+    return map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb"), run, "a long, b long, similarity double")
 
 
 def _long_enough(a: Column, b: Column) -> Column:
     return F.least(a, b) >= SIMILAR * F.greatest(a, b) - 1e-9
 
 
+def _pair(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def _hub(of: str, *columns: str) -> list[Column]:
+    """The columns of a group's node that comes first by a hash of its words and ``of``."""
+    by = F.xxhash64("by", of)
+    return [F.min_by(c, by).alias(f"hub_{c}") for c in columns]
+
+
 def _pairs_within(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Pairs of different classes in small groups, and the rows of large groups with their size."""
     groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-    groups = groups.filter("_low < _high").select(*keys, "_n")
-    sized = rows.join(groups, keys)
+    sized = rows.join(groups.filter("_low < _high").select(*keys, "_n"), keys)
     small = sized.filter(F.col("_n") <= SMALL)
-    a, b = small.alias("x"), small.alias("y")
     on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    pairs = (
-        a.join(b, [*on, F.col("x.node") < F.col("y.node"), F.col("x.root") != F.col("y.root"), _long_enough(F.col("x.n_words"), F.col("y.n_words"))])
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    )
+    on += [F.col("x.id") < F.col("y.id"), F.col("x.root") != F.col("y.root"), _long_enough(F.col("x.n_words"), F.col("y.n_words"))]
+    pairs = small.alias("x").join(small.alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     return pairs, sized.filter(F.col("_n") > SMALL)
 
 
@@ -244,14 +240,17 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
 def _placed(docs: DataFrame, text_column: str) -> DataFrame:
     """The rows of ``near_duplicates`` with their keys."""
     printed = materialize(prints(docs, text_column), "prints")
-    found = links(printed)
-    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_found"))
-    roots = components(found)
+    nodes = materialize(
+        printed.filter("n_words > 0").select("node", "n_words", "sketches").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes"
+    )
+    found = links(printed, nodes)
+    degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_found"))
+    roots = components(found).withColumnRenamed("node", "id")
+    of_node = nodes.select("id", "node").join(roots, "id", "left").join(degree, "id", "left")
     placed = (
         printed.select("doc_id", "_k1", "_k2", "node", "n_words")
-        .join(roots, "node", "left")
-        .join(degree, "node", "left")
-        .select("doc_id", "_k1", "_k2", F.when(F.col("n_words") > 0, F.coalesce("root", "node")).alias("_root"), F.coalesce("n_found", F.lit(0)).alias("n_found"))
+        .join(materialize(of_node.select("node", F.coalesce("root", "id").alias("_root"), F.coalesce("n_found", F.lit(0)).alias("n_found")), "classes"), "node", "left")
+        .select("doc_id", "_k1", "_k2", "_root", F.coalesce("n_found", F.lit(0)).alias("n_found"))
     )
     classes = placed.filter(F.col("_root").isNotNull()).groupBy("_root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     alone = F.col("_root").isNull()
@@ -266,60 +265,43 @@ def _placed(docs: DataFrame, text_column: str) -> DataFrame:
     )
 
 
-def links(printed: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between different texts, a < b, that join all similar texts which share a sketch."""
-    nodes = materialize(
-        printed.filter("n_words > 0").select("node", "n_words", "sketches").dropDuplicates(["node"]), "nodes"
-    )
-    terms = printed.filter("n_words > 0").select("node", "terms")
-    banded = nodes.select("node", "n_words", F.posexplode("sketches").alias("band", "h"))
+def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Verified links (a, b, similarity) between ids of ``nodes``, a < b, that join all similar texts which share a sketch."""
     bucket = ["band", "h"]
-    hubs = (
-        banded.groupBy(*bucket)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.xxhash64("node", "band").alias("_by"), "node", "n_words")).alias("_hub"))
-        .filter("_n > 1")
-    )
+    banded = nodes.select("id", F.xxhash64("node").alias("by"), "n_words", F.posexplode("sketches").alias(*bucket))
+    hubs = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *_hub("band", "id", "n_words")).filter("_n > 1").drop("_n")
     shared = materialize(banded.join(hubs, bucket), "buckets")
-    first = materialize(
-        shared.filter((F.col("node") != F.col("_hub.node")) & _long_enough(F.col("n_words"), F.col("_hub.n_words")))
-        .select(F.least("_hub.node", "node").alias("a"), F.greatest("_hub.node", "node").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    unique_terms = terms.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    unique_terms = materialize(unique_terms, "texts")
-    linked = materialize(_verified(first, unique_terms), "links")
-
-    roots = components(linked)
-    rest = shared.select("node", "n_words", *bucket).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    beside = shared.filter((F.col("id") != F.col("hub_id")) & _long_enough(F.col("n_words"), F.col("hub_n_words")))
+    first = materialize(beside.select(*_pair("hub_id", "id")).distinct(), "pairs")
+    wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "node")
+    texts = materialize(printed.select("node", "terms").join(wanted, "node").select("id", "terms").dropDuplicates(["id"]), "texts")
+    linked = materialize(_verified(first, texts), "links")
+
+    roots = materialize(components(linked).withColumnRenamed("node", "id"), "roots")
+    rest = shared.select("id", "by", "n_words", *bucket).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     second, large = _pairs_within(rest, bucket)
     second = materialize(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    linked = materialize(linked.unionByName(_verified(second, unique_terms)), "links")
-    crowded = materialize(large.select("node", "n_words", *bucket), "large")
+    linked = materialize(linked.unionByName(_verified(second, texts)), "links")
+    crowded = materialize(large.select("id", "by", "n_words").distinct(), "large")
     if crowded.isEmpty():
         return linked
-    tried = materialize(first.unionByName(second), "tried")
-    crowded_nodes = crowded.select("node", "n_words").distinct()
-    rare = _rare_grams(crowded_nodes.join(unique_terms, "node"))
+    tried = first.unionByName(second)
+    rare = _rare_grams(_rooted(crowded.join(texts, "id"), linked))
+    mixed = rare.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), *_hub("gram", "id", "n_words", "at", "root"))
+    mixed = materialize(mixed.filter("_low < _high").drop("_low", "_high"), "mixed")
+    shared_grams = materialize(rare.join(mixed, "gram"), "grams")
     # Hubs join most of what belongs together, so that few pairs of different classes are left.
-    for k in range(HUB_ROUNDS):
-        rooted = _rooted(rare, linked)
-        hubs = rooted.groupBy("gram").agg(
-            F.min("root").alias("_low"), F.max("root").alias("_high"), F.min(F.struct(F.xxhash64("node", "gram", F.lit(k)).alias("_by"), "node", "n_words", "at", "root")).alias("_hub")
-        )
-        beside = rooted.join(hubs.filter("_low < _high"), "gram").filter((F.col("root") != F.col("_hub.root")) & _may_align("n_words", "at", "_hub.n_words", "_hub.at"))
-        pairs = beside.select(F.least("_hub.node", "node").alias("a"), F.greatest("_hub.node", "node").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        linked = materialize(linked.unionByName(_verified(pairs, unique_terms)), "links")
-        tried = materialize(tried.unionByName(pairs), "tried")
-    rooted = _rooted(rare, linked)
-    mixed = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
-    rooted = materialize(rooted.join(mixed, "gram"), "grams")
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root"))
+    beside = shared_grams.filter((F.col("root") != F.col("hub_root")) & _may_align("n_words", "at", "hub_n_words", "hub_at"))
+    third = materialize(beside.select(*_pair("hub_id", "id")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    linked = materialize(linked.unionByName(_verified(third, texts)), "links")
+    rooted = materialize(_rooted(shared_grams.select("id", "n_words", "gram", "at"), linked), "grams")
+    still = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
+    rooted = materialize(rooted.join(still, "gram"), "grams")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
     pairs = rooted.alias("x").join(rooted.alias("y"), on & _may_align("x.n_words", "x.at", "y.n_words", "y.at"))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-    return materialize(linked.unionByName(_verified(pairs, unique_terms)), "links")
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = materialize(pairs.join(tried.unionByName(third), ["a", "b"], "left_anti"), "pairs")
+    return materialize(linked.unionByName(_verified(pairs, texts)), "links")
 
 
 def _may_align(words_a: str, at_a: str, words_b: str, at_b: str) -> Column:
@@ -328,13 +310,14 @@ def _may_align(words_a: str, at_a: str, words_b: str, at_b: str) -> Column:
     return _long_enough(a, b) & (F.abs(F.col(at_a) - F.col(at_b)) <= (1 - SIMILAR) * F.greatest(a, b) + 1e-9)
 
 
-def _rooted(rare: DataFrame, linked: DataFrame) -> DataFrame:
-    """The rare grams with the class of their text."""
-    return rare.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Rows of nodes with the class of their text."""
+    roots = components(linked).withColumnRenamed("node", "id")
+    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _rare_grams(texts: DataFrame) -> DataFrame:
-    """``node``, ``n_words``, and as many of its rarest pairs of words (``gram``, ``at``) that two similar texts have one in common.
+    """Of each text (id, by, n_words, root) as many of its rarest pairs of words (``gram``, ``at``) that two similar texts have one in common.
 
     Texts of n words or more that differ by d words have n - 1 - 2 d of their pairs of words
     in common, which is 0.6 n - 1 at the least similarity. So in any order that
@@ -353,10 +336,11 @@ def _rare_grams(texts: DataFrame) -> DataFrame:
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["bin", "n"])
 
-    texts = materialize(texts.select("node", "n_words", "terms"), "texts")
+    kept = ["id", "by", "n_words", "root"]
+    texts = materialize(texts.select(*kept, "terms"), "texts")
     totals = np.zeros(BINS, np.int64)
-    for bin_, n in map_arrow(texts.select("terms"), count, "bin int, n long").groupBy("bin").agg(F.sum("n")).collect():
-        totals[bin_] = n
+    found = map_arrow(texts.select("terms"), count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    totals[found.column("bin").to_numpy()] = found.column("n").to_numpy()
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -370,9 +354,9 @@ def _rare_grams(texts: DataFrame) -> DataFrame:
                     picked.append((grams[first].view(np.int64), first.astype(np.int32)))
                 owner = pa.array(np.repeat(np.arange(len(picked)), [len(at) for _, at in picked]))
                 grams, at = (pa.array(np.concatenate(x)) for x in zip(*picked, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), batch.column("n_words").take(owner), grams, at], names=["node", "n_words", "gram", "at"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in kept), grams, at], names=[*kept, "gram", "at"])
 
-    return materialize(map_arrow(texts, pick, "node string, n_words int, gram long, at int"), "grams")
+    return materialize(map_arrow(texts, pick, "id long, by long, n_words int, root long, gram long, at int"), "grams")
 
 
 def keep_one(docs: DataFrame, text_column: str = "text") -> DataFrame:
