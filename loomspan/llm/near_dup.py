@@ -12,8 +12,8 @@ Equal texts are one node with a number. Within a bucket first every node is comp
 bucket's hub, another one for every sketch, and classes are formed; then, in buckets that still hold several
 classes, nodes of different classes are compared: all of them in small buckets.
 The nodes of large ones go through an exact prefix-filter join: any two that are
-similar have one of their rarest pairs of words in common, at places that an
-alignment allows. Only what shares such a pair of words and is still in different
+similar have one of their rarest threes of words in common, at places that an
+alignment allows. Only what shares such words and is still in different
 classes after a pass with hubs is compared, and none of that is left out.
 """
 
@@ -305,7 +305,7 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _may_align(words_a: str, at_a: str, words_b: str, at_b: str) -> Column:
-    """Whether texts of these lengths can be similar with a pair of words at both places."""
+    """Whether texts of these lengths can be similar with the same words at both places."""
     a, b = F.col(words_a), F.col(words_b)
     return _long_enough(a, b) & (F.abs(F.col(at_a) - F.col(at_b)) <= (1 - SIMILAR) * F.greatest(a, b) + 1e-9)
 
@@ -317,16 +317,19 @@ def _rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _rare_grams(texts: DataFrame) -> DataFrame:
-    """Of each text (id, by, n_words, root) as many of its rarest pairs of words (``gram``, ``at``) that two similar texts have one in common.
+    """Of each text (id, by, n_words, root) as many of its rarest threes of words (``gram``, ``at``) that two similar texts have one in common.
 
-    Texts of n words or more that differ by d words have n - 1 - 2 d of their pairs of words
-    in common, which is 0.6 n - 1 at the least similarity. So in any order that
-    is the same for all texts, the first 0.4 n + 1 of both have one in common. The
-    order is by a histogram of all pairs' hashes.
+    Texts of n words or more that differ by d words have n - 2 - 3 d of their threes of words
+    in common, which is 0.4 n - 2 at the least similarity. So in any order that
+    is the same for all texts, the first 0.6 n + 1 of both have one in common. The
+    order is by a histogram of all threes' hashes. Five words of which one differs may have no three in
+    common; so texts of up to five words give all their twos too.
     """
 
     def grams_of(terms: pa.ListScalar) -> np.ndarray:
-        return labelled_kmers(terms.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64), 2)
+        hashes = terms.values.to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64)
+        threes = labelled_kmers(hashes, 3)
+        return threes if len(hashes) > 5 else np.concatenate([threes, labelled_kmers(hashes, 2)])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros(BINS, np.int64)
@@ -350,8 +353,9 @@ def _rare_grams(texts: DataFrame) -> DataFrame:
                 for terms in batch.column("terms"):
                     grams = grams_of(terms)
                     order = np.lexsort((grams, totals[(grams % np.uint64(BINS)).astype(np.int64)]))
-                    first = order[: int(2 * (1 - SIMILAR) * len(terms.values) + 1 + 1e-9)]
-                    picked.append((grams[first].view(np.int64), first.astype(np.int32)))
+                    n = len(terms.values)
+                    first = order[: int(3 * (1 - SIMILAR) * n + 1 + 1e-9)] if n > 5 else order
+                    picked.append((grams[first].view(np.int64), (first % max(1, n - 2)).astype(np.int32) if n <= 5 else first.astype(np.int32)))
                 owner = pa.array(np.repeat(np.arange(len(picked)), [len(at) for _, at in picked]))
                 grams, at = (pa.array(np.concatenate(x)) for x in zip(*picked, strict=True))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in kept), grams, at], names=[*kept, "gram", "at"])
