@@ -30,6 +30,10 @@ LISTING_HINTS = (
     "titulaciones hay", "carreras hay", "lista de grados", "listado de grados", "todos los grados", "qué se imparte", "que se imparte",
     "qué ofrece", "que ofrece", "oferta académica", "oferta formativa", "todos los títulos", "todas las titulaciones",
 )
+#: The reply without any context, the complaint about an empty question, and the graph's name among sources.
+NO_CONTEXT = "No dispongo de suficiente contexto para responder a esa pregunta. Prueba a reformularla o consulta con la secretaría de la ETSI Informática."
+EMPTY_QUESTION = "La pregunta no puede estar vacía."
+GRAPH_SOURCE = "Grafo de Conocimiento ETSI"
 #: Characters that a question may have.
 LONGEST_QUESTION = 1000
 
@@ -156,3 +160,54 @@ def ask_outcome(proceed: Column, has_context: Column, answer: Column, tokens: Co
     name = F.when(~proceed, "router").when(~has_context, "none").otherwise(model)
     answered = proceed & has_context
     return F.struct(name.alias("model_name"), F.when(answered, answer).alias("answer"), F.when(answered, tokens).alias("tokens_used"), F.when(answered, score).alias("rerank_score"))
+
+
+def answered(question: Column, fragments: Column, graph: Column, answer: Column, tokens: Column) -> Column:
+    """An answer as a struct: ``error`` for an empty question, a fixed apology of no tokens without any context, else the model's."""
+    empty = F.coalesce(question, F.lit("")) == ""
+    bare = (F.coalesce(fragments, F.lit("")) == "") & (F.coalesce(graph, F.lit("")) == "")
+    return F.struct(
+        F.when(empty, EMPTY_QUESTION).alias("error"),
+        F.when(~empty, F.when(bare, NO_CONTEXT).otherwise(answer)).alias("answer"),
+        F.when(~empty, F.when(bare, 0).otherwise(tokens)).cast("long").alias("tokens_used"),
+    )
+
+
+def ask(questions: DataFrame, fragments: DataFrame, graph_of: DataFrame, model: str = "model", provider: ModelProvider | None = None) -> DataFrame:
+    """One row per question as it is logged, with the sources to show.
+
+    ``questions`` has question_id, question, label and safe (the router's model, nullable); ``fragments`` what
+    ``prompt_context`` and ``distinct_sources`` take, with a score; ``graph_of`` question_id and graph_context. A question that is not
+    let through gets no lookups and is logged under the router's name; one without context gets the apology; the others
+    the provider's answer, with tokens (words of prompt and answer) and best score. The graph stands first among sources.
+    """
+    provider = RuleProvider() if provider is None else provider
+    route = routed(F.col("question"), F.col("label"), F.col("safe"))
+    titles = F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: F.coalesce(x["title"], F.lit("")))
+    shown = distinct_sources(fragments).groupBy("question_id").agg(titles.alias("_titles"))
+    best = fragments.groupBy("question_id").agg(F.max("score").alias("_score"))
+    rows = questions.select("question_id", "question", route.alias("_route"))
+    for other in (prompt_context(fragments), graph_of, shown, best):
+        rows = rows.join(other, "question_id", "left")
+    prompt = F.concat_ws("\n\n", full_prompt(F.col("graph_context"), F.col("context")), "question")
+    reply = F.coalesce(provider.answer(prompt), F.lit(""))
+    words = (F.size(strings.split_words(prompt)) + F.size(strings.split_words(reply))).cast("long")
+    has_context = F.col("context").isNotNull() | F.col("graph_context").isNotNull()
+    proceed = F.col("_route.proceed")
+    none = F.array().cast("array<string>")
+    sources = F.concat(F.when(F.col("graph_context").isNotNull(), F.array(F.lit(GRAPH_SOURCE))).otherwise(none), F.coalesce("_titles", none))
+    return rows.withColumn("_out", ask_outcome(proceed, has_context, reply, words, F.col("_score"), model)).select(
+        "question_id",
+        F.col("_route.intent").alias("intent"),
+        F.col("_route.is_safe").alias("is_safe"),
+        "_out.model_name",
+        F.when(proceed & ~has_context, NO_CONTEXT).otherwise(F.col("_out.answer")).alias("answer"),
+        "_out.tokens_used",
+        "_out.rerank_score",
+        F.when(proceed & has_context, sources).otherwise(none).alias("sources"),
+    )
+
+
+def shown_sources(sources: DataFrame) -> DataFrame:
+    """Sources with anything to show: a title or an address."""
+    return sources.filter((F.coalesce("title", F.lit("")) != "") | (F.coalesce("url", F.lit("")) != ""))

@@ -75,15 +75,26 @@ def comparison(categories: DataFrame, plain: DataFrame, graph: DataFrame, scores
     return wide.select("category", rows.alias("_r")).select("category", "_r.*").withColumn("improvement_pct", improvement(F.col("plain"), F.col("graph")))
 
 
+def error_class(status: Column, message: Column) -> Column:
+    """What went wrong with a request as a struct: ``error`` (null if nothing did) and whether its latency still counts.
+
+    No status and no message: the server wasn't reached; a status from 400 on is named by its code;
+    any other message stands for itself, and such a result has no metrics at all.
+    """
+    refused = status.isNull() & message.isNull()
+    error = F.when(refused, "ConnectionError").when(status >= 400, F.concat(F.lit("HTTP "), status.cast("string"))).otherwise(message)
+    return F.struct(error.alias("error"), (refused | (F.coalesce(status, F.lit(0)) >= 400) | error.isNull()).alias("has_latency"))
+
+
 def last_by_id(results: DataFrame, order: str = "pos") -> DataFrame:
     """One row per id, the last in order."""
     return results.groupBy("id").agg(F.max_by(F.struct(*results.columns), order).alias("_r")).select("_r.*")
 
 
 def critical_successes(plain: DataFrame, graph: DataFrame, score: str = "correctness") -> DataFrame:
-    """Questions that the plain system fails and the other answers, by improvement."""
-    a = plain.select("id", F.col(score).alias("plain"))
-    b = graph.select("id", F.col(score).alias("graph"))
+    """Questions that the plain system fails and the other answers, by improvement. Of repeated ids the last counts, by ``pos`` if there is one."""
+    a, b = (last_by_id(x) if "pos" in x.columns else x for x in (plain, graph))
+    a, b = a.select("id", F.col(score).alias("plain")), b.select("id", F.col(score).alias("graph"))
     kept = a.join(b, "id").filter((F.col("plain") < PLAIN_BELOW) & (F.col("graph") > GRAPH_ABOVE))
     return kept.withColumn("improvement", F.round(F.col("graph") - F.col("plain"), 4)).orderBy(F.desc("improvement"), "id")
 

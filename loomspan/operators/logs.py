@@ -39,6 +39,29 @@ def page_count(log: DataFrame, page_size: int = 10, where: Column | None = None)
     return rows.agg(total.alias("total"), F.greatest(F.lit(1), F.ceil(total / page_size)).cast("long").alias("total_pages"))
 
 
+def page_object(log: DataFrame, page: int = 1, page_size: int = 10, where: Column | None = None) -> DataFrame:
+    """One row: the page's ``items`` in order, ``total``, ``page``, ``page_size``, ``total_pages``, and the first and last row's number (0 if none)."""
+    number = max(1, page)
+    rows = log_page(log, number, page_size, where).withColumn("rerank_score", F.round("rerank_score", 3))
+    # A page's rows are at most ``page_size``.
+    newest = F.reverse(F.array_sort(F.collect_list(F.struct("timestamp", "id", *[c for c in log.columns if c not in ("timestamp", "id")]))))
+    first = F.lit((number - 1) * page_size)
+    return rows.agg(newest.alias("items")).crossJoin(page_count(log, page_size, where)).select(
+        "items",
+        "total",
+        F.lit(number).cast("long").alias("page"),
+        F.lit(page_size).cast("long").alias("page_size"),
+        "total_pages",
+        F.when(F.size("items") > 0, first + 1).otherwise(0).cast("long").alias("from_row"),
+        F.when(F.size("items") > 0, first + F.size("items")).otherwise(0).cast("long").alias("to_row"),
+    )
+
+
+def feedback_percent(average: Column) -> Column:
+    """Mean feedback as it is shown: a whole percentage, a dash where there is none."""
+    return F.when(average.isNull(), "—").otherwise(F.concat(F.floor(average * 100 + 0.5).cast("string"), F.lit("%")))
+
+
 def log_stats(log: DataFrame) -> DataFrame:
     """Totals, mean feedback and the share of safe questions, in one pass; sums of nothing are 0."""
     total, safe = F.count(F.lit(1)), F.count_if(F.coalesce("is_safe", F.lit(False)))

@@ -47,10 +47,33 @@ def _plain(html: Column) -> Column:
     return strings.strip(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"(?U)\s+", " "))
 
 
+#: The named characters that are decoded, beside numbered ones; the ampersand comes last.
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "Ntilde": "Ñ", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ccedil": "ç", "egrave": "è", "agrave": "à", "ndash": "–", "mdash": "—", "hellip": "…", "copy": "©", "euro": "€", "amp": "&"}
+
+
+def unescaped(text: Column) -> Column:
+    """Text with named and numbered character references decoded."""
+    parts = F.split(text, r"&#")
+
+    def numbered(part: Column) -> Column:
+        code = F.regexp_extract(part, r"^([0-9]{1,6}|[xX][0-9a-fA-F]{1,5});", 1)
+        is_hex = F.lower(F.substring(code, 1, 1)) == "x"
+        value = F.when(is_hex, F.conv(F.substring(code, 2, 9), 16, 10)).otherwise(code).cast("int")
+        utf16 = F.unhex(F.lpad(F.hex(value), 4, "0"))
+        known = (code != "") & value.between(1, 0xFFFF) & ~value.between(0xD800, 0xDFFF)
+        rest = F.substr(part, F.length(code) + 2)
+        return F.when(known, F.concat(F.decode(utf16, "UTF-16BE"), rest)).otherwise(F.concat(F.lit("&#"), part))
+
+    out = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), numbered), ""))
+    for name, character in _ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(character))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+
+
 def page_title(html: Column, url: Column) -> Column:
     """The title, else the first first-level heading, else the address."""
-    title = strings.strip(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    heading = _plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))
+    title = strings.strip(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    heading = strings.strip(unescaped(_plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))))
     return strings.first_given(title, heading, url)
 
 

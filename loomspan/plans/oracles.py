@@ -64,6 +64,7 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 _HEADING = r"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')"
 _SHORT = r"""coalesce(CASE WHEN length(s) > 120 THEN substr(s, 1, 120) || '…' ELSE s END, '—')"""
+#: The same noise patterns as the engine's, written for this SQL.
 _NOISE = (
     r"^\s*[-–—]?\s*\d{1,4}\s*[-–—]?\s*$",
     r"^\s*[Pp][áa]gina\s+\d+\s*(de\s+\d+)?\s*$",
@@ -89,6 +90,17 @@ def _history(n: int, roles: str) -> str:
 
 _PAGE = 'SELECT id, "timestamp", user_id, intent, is_safe, tokens_used, feedback, rerank_score, model_name FROM log'
 
+_LISTED = """
+        WITH r AS (SELECT p_name || ' ' || (p_partkey % 97) AS title, p_size AS year, p_partkey % 5 AS d,
+                          CASE p_partkey % 5 WHEN 0 THEN 'Vigente' WHEN 1 THEN 'EnImplantacion' WHEN 2 THEN 'EnExtincion' WHEN 3 THEN 'Extinto' ELSE 'Otro' END AS state FROM part),
+             b AS (SELECT title, min(d) AS d FROM r GROUP BY title),
+             listed AS (SELECT title, any_value(state) AS state, max(year) AS year, CASE WHEN any_value(d) < 3 THEN 'active' ELSE 'extinct' END AS bucket,
+                               CASE WHEN any_value(d) < 2 THEN '' WHEN any_value(d) = 2 THEN '  [sin nueva admisión]' ELSE '  [EXTINTO]' END AS suffix, any_value(d) AS d
+                        FROM r SEMI JOIN b USING (title, d) GROUP BY title)"""
+
+#: Character references that the pages have.
+_DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+
 ORACLES: dict[str, str] = {
     "knn_cosine": _search(_COSINE),
     "knn_l2sq": _search("pow(list_distance(v.e, q.e), 2)"),
@@ -154,13 +166,33 @@ ORACLES: dict[str, str] = {
         SELECT p_partkey, p_name, p_type FROM part
         WHERE contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring') OR contains(lower(p_name), 'small') OR contains(lower(p_type), 'small')
     """,
-    "graph_listing": """
-        WITH r AS (SELECT p_name AS title, p_size AS year, p_partkey % 5 AS d,
-                          CASE p_partkey % 5 WHEN 0 THEN 'Vigente' WHEN 1 THEN 'EnImplantacion' WHEN 2 THEN 'EnExtincion' WHEN 3 THEN 'Extinto' ELSE 'Otro' END AS state FROM part),
-             b AS (SELECT title, min_by(d, d) AS d FROM r GROUP BY title)
-        SELECT title, any_value(state) AS state, max(year) AS year,
-               CASE WHEN any_value(d) < 2 THEN 'active' WHEN any_value(d) = 2 THEN 'closing' ELSE 'extinct' END AS bucket
-        FROM r SEMI JOIN b USING (title, d) GROUP BY title
+    "graph_listing": f"""
+        {_LISTED} SELECT title, state, year, bucket, suffix FROM listed
+    """,
+    "graph_listing_text": f"""
+        {_LISTED}, l AS (SELECT bucket, d, title, '  • ' || title || ' (Grado)' || CASE WHEN year % 2 = 0 AND year <> 0 THEN ' — ' || year || ' ECTS, 4 años' ELSE '' END || suffix AS line FROM listed)
+        SELECT 'TITULACIONES EN LA ETSII (UMA):' || chr(10) || string_agg(line, chr(10) ORDER BY d, title) FILTER (bucket = 'active') || chr(10) || chr(10)
+               || 'TITULACIONES YA EXTINTAS (planes antiguos):' || chr(10) || string_agg(line, chr(10) ORDER BY d, title) FILTER (bucket = 'extinct') AS listing FROM l
+    """,
+    "graph_degree_lookup": """
+        WITH o AS (SELECT s_nationkey AS k, string_agg(DISTINCT s_name, ', ' ORDER BY s_name) AS m FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+        SELECT 'c' || c_custkey AS plan_code,
+               'TITULACIÓN: ' || n_name || ' (Grado)' || chr(10) || '  PLAN: ' || c_name || chr(10) || '  ESTADO: ' || c_mktsegment || ' — ' || lower(c_mktsegment)
+               || CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 240 <> 0 THEN chr(10) || '  CRÉDITOS TOTALES: ' || (c_custkey % 240) || ' ECTS en ' || (c_custkey % 5) || ' año(s)' ELSE '' END
+               || CASE WHEN c_custkey % 3 = 0 AND c_custkey % 10 <> 9 THEN chr(10) || replace('  DISTRIBUCIÓN: # básica + # obligatorios + # optativos + # prácticas externas + # TFG', '#', CAST(c_custkey % 10 AS VARCHAR)) ELSE '' END
+               || coalesce(chr(10) || '  MENCIONES ACTIVAS EN UMA: ' || m, '')
+               || CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || '  IMPARTIDO CONJUNTAMENTE CON: ' || r_name ELSE '' END
+               || CASE WHEN n_nationkey % 5 = 0 THEN chr(10) || '  MÁS INFO: http://x/y' ELSE '' END AS text
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON o.k = n_nationkey
+    """,
+    "graph_search": """
+        WITH q AS (SELECT c_custkey AS question_id, lower('about ' || c_mktsegment || ' near NATION_' || c_nationkey) AS q FROM customer),
+             e AS (SELECT question_id, contains(q, 'household') AS whole, list_filter(['nation_1', 'nation_2'], lambda x: contains(q, x)) AS dw, list_filter(['building'], lambda x: contains(q, x)) AS rw FROM q),
+             d AS (SELECT question_id, string_agg('D ' || n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS t FROM e, nation WHERE len(list_filter(dw, lambda x: contains(lower(n_name), x))) > 0 GROUP BY 1),
+             r AS (SELECT question_id, string_agg('R ' || r_name, chr(10) || chr(10) ORDER BY r_regionkey) AS t FROM e, region
+                   WHERE len(list_filter(list_concat(rw, dw), lambda x: contains(lower(r_name) || ' building ' || CASE WHEN r_regionkey % 2 = 0 THEN 'nation_1' ELSE 'nation_2' END, x))) > 0 GROUP BY 1),
+             b AS (SELECT question_id, concat_ws(chr(10) || chr(10), '═══ TITULACIONES ═══' || chr(10) || d.t, '═══ NORMATIVA ═══' || chr(10) || r.t) AS block FROM e LEFT JOIN d USING (question_id) LEFT JOIN r USING (question_id))
+        SELECT question_id, CASE WHEN whole THEN 'HEAD' || chr(10) || chr(10) || 'all of it' WHEN block <> '' THEN 'HEAD' || chr(10) || chr(10) || block END AS graph_context FROM e JOIN b USING (question_id)
     """,
     "graph_counts": """
         SELECT 'node' AS kind, 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'nation', count(*) FROM nation
@@ -189,7 +221,7 @@ ORACLES: dict[str, str] = {
         FROM conversations
     """,
     "page_title": f"""
-        SELECT page_id, coalesce(nullif({_STRIP.format(_TITLE)}, ''), nullif({_STRIP.format(_HEADING)}, ''), url) AS title FROM pages
+        SELECT page_id, coalesce(nullif({_STRIP.format(_DECODED.format(_TITLE))}, ''), nullif({_STRIP.format(_DECODED.format(_HEADING))}, ''), url) AS title FROM pages
     """,
     "page_slug": r"""
         WITH n AS (SELECT page_id, trim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS p, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM pages),
@@ -243,9 +275,38 @@ ORACLES: dict[str, str] = {
         SELECT question_id, source_key, title, row_number() OVER (PARTITION BY question_id ORDER BY rank, source_key) AS place FROM g
     """,
     "keyword_overlap": r"""
-        WITH w AS (SELECT item_id, list_distinct(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) >= 4), lambda x: lower(x))) AS ws FROM benchmark),
-             d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id % 100 = 0)
-        SELECT doc_id, item_id, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: contains(t, x))) / len(ws), 3) ELSE 0.0 END AS overlap FROM d, w
+        WITH i AS (SELECT item_id % 40 AS k, min(item_id) AS item_id, arg_min(text, item_id) AS text FROM benchmark GROUP BY 1),
+             w AS (SELECT k, item_id, list_distinct(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) >= 4), lambda x: lower(x))) AS ws FROM i),
+             d AS (SELECT doc_id, doc_id % 40 AS k, lower(text) AS t FROM documents)
+        SELECT doc_id, item_id, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: contains(t, x))) / len(ws), 3) ELSE 0.0 END AS overlap FROM d JOIN w USING (k)
+    """,
+    "error_classes": """
+        SELECT error, error IS NULL OR error = 'ConnectionError' OR starts_with(error, 'HTTP') AS has_latency, count(*) AS n
+        FROM (SELECT CASE event_id % 7 WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'HTTP 500' WHEN 4 THEN 'bad ' || event_type WHEN 5 THEN 'bad ' || event_type WHEN 6 THEN 'ConnectionError' END AS error FROM events) GROUP BY 1, 2
+    """,
+    "log_page_object": f"""
+        WITH {_LOG}, f AS (SELECT id, "timestamp", feedback FROM log WHERE intent = 'academica' AND is_safe),
+             p AS (SELECT * FROM f ORDER BY "timestamp" DESC, id DESC LIMIT 7 OFFSET 14)
+        SELECT (SELECT string_agg(concat_ws(':', id, feedback), ',' ORDER BY "timestamp" DESC, id DESC) FROM p) AS items, (SELECT count(*) FROM f) AS total, CAST(3 AS BIGINT) AS page, CAST(7 AS BIGINT) AS page_size,
+               (SELECT greatest(1, CAST(ceil(count(*) / 7) AS BIGINT)) FROM f) AS total_pages, CAST(15 AS BIGINT) AS from_row, CAST(21 AS BIGINT) AS to_row
+    """,
+    "feedback_percent": f"""
+        WITH {_LOG} SELECT user_id, coalesce(CAST(floor(avg(feedback) * 100 + 0.5) AS BIGINT) || '%', '—') AS shown FROM log GROUP BY user_id
+    """,
+    "ask_outcomes": """
+        WITH q AS (SELECT conv_id AS question_id, CASE WHEN conv_id % 9 = 0 THEN '' ELSE trim(text) END AS question, conv_id % 11 = 0 AS bad FROM conversations WHERE turn = 0),
+             f AS (SELECT doc_id // 7 AS question_id, doc_id % 7 AS rank, lang, source, (n_chars % 100) / 10.0 AS score FROM documents WHERE n_chars < 2000 OR doc_id % 2 = 0),
+             s AS (SELECT question_id, source, min(rank) AS r, arg_min(lang, rank) AS t FROM f WHERE source <> '' GROUP BY 1, 2),
+             t AS (SELECT question_id, string_agg(t, '|' ORDER BY r) AS titles FROM s GROUP BY 1),
+             b AS (SELECT question_id, max(score) AS score FROM f GROUP BY 1),
+             a AS (SELECT question_id, CASE WHEN question = '' THEN 'saludo' WHEN bad THEN 'malicioso' ELSE 'academica' END AS intent, question = '' OR NOT bad AS is_safe,
+                          question_id % 10 = 0 AS g, b.score IS NOT NULL OR question_id % 10 = 0 AS ctx, b.score AS score, titles
+                   FROM q LEFT JOIN t USING (question_id) LEFT JOIN b USING (question_id))
+        SELECT question_id, intent, is_safe, CASE WHEN intent <> 'academica' THEN 'router' WHEN NOT ctx THEN 'none' ELSE 'model' END AS model_name,
+               CASE WHEN intent = 'academica' AND ctx THEN '' WHEN intent = 'academica' THEN 'No dispongo de suficiente contexto para responder a esa pregunta. Prueba a reformularla o consulta con la secretaría de la ETSI Informática.' END AS answer,
+               CASE WHEN intent = 'academica' AND ctx THEN true END AS has_tokens, CASE WHEN intent = 'academica' AND ctx THEN score END AS rerank_score,
+               CASE WHEN intent = 'academica' AND ctx THEN concat_ws('|', CASE WHEN g THEN 'Grafo de Conocimiento ETSI' END, titles) ELSE '' END AS sources
+        FROM a
     """,
     "no_context": r"""
         SELECT doc_id, contains(lower(text), 'the of') AS no_context, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n_words FROM documents

@@ -18,6 +18,7 @@ QUERIES: dict[str, Query] = {}
 HINTS = {"degrees": ["with", "une", "nicht"], "rules": ["that", "para"]}
 PART_WORDS = ["ring", "SMALL"]
 REQUESTS_A_DAY = 5
+SEARCH = {"listing": ["household"], "degrees": ["nation_1", "nation_2"], "rules": ["building"]}
 
 
 def query(run: Query) -> Query:
@@ -194,14 +195,70 @@ def graph_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.matching(table(spark, sf_dir, "part"), ["p_name", "p_type"], PART_WORDS).select("p_partkey", "p_name", "p_type")
 
 
-@query
-def graph_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names as titles, their brands' last digit as the plan's state, size as its year."""
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as titles, their keys' last digit as the plan's state, size as its year and credits."""
     parts = table(spark, sf_dir, "part")
     digit = F.col("p_partkey") % 5
     state = F.when(digit == 0, "Vigente").when(digit == 1, "EnImplantacion").when(digit == 2, "EnExtincion").when(digit == 3, "Extinto").otherwise("Otro")
-    rows = parts.select(F.col("p_name").alias("title"), state.alias("state"), F.col("p_size").alias("year"))
-    return graph.listing(rows)
+    # Names are shared by very many parts, so a title is a name and the key's hundred.
+    title = F.concat(F.col("p_name"), F.lit(" "), (F.col("p_partkey") % 97).cast("string"))
+    return parts.select(title.alias("title"), state.alias("state"), F.col("p_size").alias("year"))
+
+
+@query
+def graph_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.listing(_plans(spark, sf_dir)).select("title", "state", "year", "bucket", "suffix")
+
+
+@query
+def graph_listing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = graph.listing(_plans(spark, sf_dir)).withColumns({"kind": F.lit("Grado"), "ects": F.when(F.col("year") % 2 == 0, F.col("year")), "years": F.lit(4)})
+    return graph.listing_text(listed)
+
+
+@query
+def graph_degree_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as degrees, customers as their plans, segments as states, suppliers as options and regions as partners; every row as text."""
+    t = {name: table(spark, sf_dir, name) for name in ("nation", "customer", "supplier", "region")}
+    node, key = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    share = F.concat(F.lit("d"), (F.col("c_custkey") % 10).cast("string"))
+    edge = lambda rows, src, rel, dst: rows.select(src.alias("src"), F.lit(rel).alias("rel"), dst.alias("dst"))
+    nation = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    edges = [
+        edge(t["customer"], nation, "TIENE_PLAN", key), edge(t["customer"], key, "TIENE_ESTADO", F.col("c_mktsegment")),
+        edge(t["customer"].filter("c_custkey % 3 = 0"), key, "TIENE_DISTRIBUCION", share),
+        edge(t["supplier"], F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), "OFERTA_MENCION", F.col("s_name")),
+        edge(t["nation"].filter("n_nationkey % 2 = 0"), node, "IMPARTE_CON", F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))),
+    ]
+    every = edges[0]
+    for other in edges[1:]:
+        every = every.unionByName(other)
+    number = F.col("c_custkey") % 10
+    tables = {
+        "degrees": t["nation"].select(node.alias("code"), F.col("n_name").alias("titulo"), F.lit("Grado").alias("tipo"), F.when(F.col("n_nationkey") % 5 == 0, F.lit("http://x/y")).alias("url")),
+        "plans": t["customer"].select(key.alias("plan_code"), F.col("c_name").alias("plan"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_custkey") % 240).alias("ects"), (F.col("c_custkey") % 5).alias("anios"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 50).alias("anio_inicio")),
+        "states": t["customer"].select(F.col("c_mktsegment").alias("estado")).distinct().withColumn("descripcion_estado", F.lower("estado")),
+        "shares": t["customer"].select(share.alias("share_code"), number.alias("fb"), number.alias("ob"), number.alias("op"), F.when(number != 9, number).alias("pe"), number.alias("tfg")).distinct(),
+        "options": t["supplier"].select(F.col("s_name").alias("option_code"), F.col("s_name").alias("option"), (F.col("s_acctbal") > 5000).alias("active")),
+        "universities": t["region"].select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("uni_code"), F.col("r_name").alias("university")),
+        "edges": every,
+    }
+    return graph.degree_lookup(tables).select("plan_code", graph.degree_text().alias("text"))
+
+
+@query
+def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers ask for nations and segments; some ask for the whole listing."""
+    asked = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("question_id"), F.concat(F.lit("about "), F.col("c_mktsegment"), F.lit(" near NATION_"), F.col("c_nationkey").cast("string")).alias("question")
+    )
+    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    degrees = nations.select(F.col("n_nationkey").alias("place"), F.concat(F.col("n_name"), F.lit(" grado")).alias("haystack"), F.concat(F.lit("D "), F.col("n_name")).alias("text"))
+    rules = regions.select(F.col("r_regionkey").alias("place"), F.concat(F.col("r_name"), F.lit(" Building "), F.when(F.col("r_regionkey") % 2 == 0, "nation_1").otherwise("nation_2")).alias("haystack"), F.concat(F.lit("R "), F.col("r_name")).alias("text"))
+    listed = spark.createDataFrame([("all of it",)], "listing string")
+    return graph.search(
+        asked, degrees, rules, listed, models.asks_for_listing(F.col("question"), SEARCH["listing"]), models.entities(F.col("question"), SEARCH["degrees"], SEARCH["rules"]), "HEAD"
+    )
 
 
 @query
@@ -342,12 +399,53 @@ def source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every hundredth document as an answer to every benchmark item."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
-    answers = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 100 == 0).select("doc_id", F.col("text").alias("answer"))
-    # The stated query set against all items.
-    pairs = answers.crossJoin(items)
-    return pairs.select("doc_id", "item_id", evaluation.keyword_overlap(F.col("reference"), F.col("answer")).alias("overlap"))
+    """Every document as an answer to one benchmark item, dealt by their ids' remainders."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("_k"), F.col("text").alias("reference"))
+    reference = items.groupBy("_k").agg(F.min_by("item_id", "item_id").alias("item_id"), F.min_by("reference", "item_id").alias("reference"))
+    answers = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("_k"), F.col("text").alias("answer"))
+    return answers.join(reference, "_k").select("doc_id", "item_id", evaluation.keyword_overlap(F.col("reference"), F.col("answer")).alias("overlap"))
+
+
+@query
+def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests: of some the server wasn't reached, some have a status, some another message."""
+    k = F.col("event_id") % 7
+    status = F.when(k == 0, 200).when(k == 1, 404).when(k == 2, 500).when(k == 3, 200)
+    message = F.when(k == 3, F.lit(None)).when(k.isin(4, 5), F.concat(F.lit("bad "), F.col("event_type")))
+    got = table(spark, sf_dir, "events").select(evaluation.error_class(status, message).alias("_e")).select("_e.*")
+    return got.groupBy("error", "has_latency").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def log_page_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = logs.page_object(chat_log(spark, sf_dir), 3, 7, logs.log_filter(intent="academica", is_safe=True))
+    items = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["id"], x["feedback"])), ",")
+    return got.select(items.alias("items"), "total", "page", "page_size", "total_pages", "from_row", "to_row")
+
+
+@query
+def feedback_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by_user = chat_log(spark, sf_dir).groupBy("user_id").agg(F.avg("feedback").alias("_a"))
+    return by_user.select("user_id", logs.feedback_percent(F.col("_a")).alias("shown"))
+
+
+@query
+def ask_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' first turns as questions, documents as their fragments; every tenth has graph data."""
+    turns = table(spark, sf_dir, "conversations").filter("turn = 0")
+    questions = turns.select(
+        F.col("conv_id").alias("question_id"), F.when(F.col("conv_id") % 9 == 0, " ").otherwise(F.col("text")).alias("question"),
+        F.when(F.col("conv_id") % 11 == 0, "malicioso").alias("label"), F.lit(None).cast("boolean").alias("safe"),
+    )
+    docs = table(spark, sf_dir, "documents").filter("n_chars < 2000 OR doc_id % 2 = 0")
+    none = F.lit(None).cast("string")
+    fragments = docs.select(
+        F.floor(F.col("doc_id") / 7).alias("question_id"), (F.col("doc_id") % 7).alias("rank"), F.col("lang").alias("title"), none.alias("legacy_title"), F.col("source").alias("url"),
+        none.alias("source_file"), none.alias("source"), none.alias("section"), "text", (F.col("n_chars") % 100 / 10.0).alias("score"),
+    )
+    graph_of = questions.filter("question_id % 10 = 0").select("question_id", F.lit("graph").alias("graph_context"))
+    asked = models.ask(questions, fragments, graph_of)
+    return asked.select("question_id", "intent", "is_safe", "model_name", "answer", (F.col("tokens_used") > 0).alias("has_tokens"), "rerank_score", F.array_join("sources", "|").alias("sources"))
 
 
 @query

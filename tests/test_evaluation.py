@@ -45,3 +45,15 @@ def test_lists_zip_and_patch(spark):
     new = spark.createDataFrame([(1, 0.7, 0.8)], "id int, faithfulness double, correctness double")
     assert {r.id: tuple(r.ragas) for r in evaluation.patch_scores(results, new).collect()} == {1: (0.7, 0.8, 0.5, 0.6), 2: (0.1, 0.2, 0.3, 0.4)}
     assert {r.id: tuple(r.ragas) for r in evaluation.patch_scores(results, new, True).collect()}[1] == (0.7, 0.8, None, None)
+
+
+def test_repeated_ids_count_once_in_critical_successes(spark):
+    plain = spark.createDataFrame([(1, 0.9, 0), (1, 0.1, 1)], "id int, correctness double, pos int")
+    graph = spark.createDataFrame([(1, 0.1, 0), (1, 0.9, 1)], "id int, correctness double, pos int")
+    assert [(r.id, r.improvement) for r in evaluation.critical_successes(plain, graph).collect()] == [(1, 0.8)]
+
+
+def test_error_classes(spark):
+    rows = spark.createDataFrame([(None, None), (404, "x"), (200, None), (None, "odd"), (200, "late")], "status int, message string")
+    got = [tuple(r[0]) for r in rows.select(evaluation.error_class(F.col("status"), F.col("message"))).collect()]
+    assert got == [("ConnectionError", True), ("HTTP 404", True), (None, True), ("odd", False), ("late", False)]

@@ -58,3 +58,14 @@ def test_over_limit(spark):
     rows = spark.createDataFrame([(1, AT + dt.timedelta(seconds=10 * i)) for i in range(8)], "user_id int, ts timestamp_ntz")
     got = sorted((r.n, r.limited) for r in logs.over_limit(rows, 5).collect())
     assert got == [(2, False), (6, True)]
+
+
+def test_page_object_of_an_empty_log(spark):
+    log = spark.createDataFrame([], "id long, timestamp timestamp, intent string, feedback int, rerank_score double")
+    got = logs.page_object(log, 0, 10).first()
+    assert (got["items"], got.total, got.page, got.total_pages, got.from_row, got.to_row) == ([], 0, 1, 1, 0, 0)
+
+
+def test_feedback_percent(spark):
+    got = spark.createDataFrame([(0.666,), (0.0,), (None,)], "a double").select(logs.feedback_percent(F.col("a"))).collect()
+    assert [r[0] for r in got] == ["67%", "0%", "—"]

@@ -92,3 +92,10 @@ def test_chunks_and_facts(spark):
     assert {r.doc_id for r in got} == {1} and all(60 <= len(r.chunk) <= 1500 and r.section == "T" for r in got)
     facts = text.facts(spark.createDataFrame([("f", " a \n\n b\n")], "name string, value string"))
     assert [(r.chunk_index, r.text) for r in facts.collect()] == [(0, "a"), (1, "b")]
+
+
+def test_titles_are_decoded(spark):
+    cases = {"<title>A &amp; B</title>": "A & B", "<title>&#65;&#x42;&lt;c&gt;</title>": "AB<c>", "<h1>a &amp;amp; b</h1>": "a &amp; b", "<title>&#; &#999999; &unknown;</title>": "&#; &#999999; &unknown;", "<title> </title>": "u"}
+    rows = spark.createDataFrame([(h,) for h in cases], "h string")
+    got = {r.h: r.t for r in rows.select("h", text.page_title(F.col("h"), F.lit("u")).alias("t")).collect()}
+    assert got == cases
