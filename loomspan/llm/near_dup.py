@@ -15,6 +15,10 @@ The nodes of large ones go through an exact prefix-filter join: any two that are
 similar have one of their rarest threes of words in common, at places that an
 alignment allows. Only what shares such words and is still in different
 classes after a pass with hubs is compared, and none of that is left out.
+
+Before the texts of two candidates are fetched, their marks are compared: of each
+text 512 bits that its words turn over, of which d changed words change 2 d at most.
+Pairs that differ in more can't be similar, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from loomspan.session import materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
+#: Longs of a text's marks, which rule out most candidates before their texts are fetched.
+MARKS = 8
 #: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
 SMALL, BINS = 16, 1 << 18
 #: Words a worker remembers, rows of an output batch.
@@ -93,6 +99,15 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
     return _mix(out).view(np.int64).ravel()
 
 
+def marks(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * MARKS bins whether an odd number of the words falls into it, as bits.
+
+    A replaced word changes two bits at most, one put in or left out changes one.
+    """
+    odd = np.bincount((hashes % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def alignment_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Words to insert, delete or replace to turn ``a`` into ``b``; None if more than ``limit``.
 
@@ -150,7 +165,7 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | Non
 
 
 def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Per row with its key: doc_id, node (digest of its words), word count, sketches, and words as numbers."""
+    """Per row with its key: doc_id, node (digest of its words), word count, sketches, marks, and words as numbers."""
     narrow = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "_k1", "_k2", F.col(text_column).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,20 +173,38 @@ def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
         for whole in batches:
             for i in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(i, ROWS)
-                nodes, counts, prints_, terms = [], [], [], []
+                nodes, counts, prints_, marked, terms = [], [], [], [], []
                 for text in batch.column("_text").to_pylist():
                     found = word_bytes(text)
                     hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
                     nodes.append(hashlib.md5(b" ".join(found), usedforsecurity=False).hexdigest())
                     counts.append(len(found))
                     prints_.append(sketches(hashes))
+                    marked.append(marks(hashes))
                     terms.append((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prints_, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int32()))],
-                    names=["doc_id", "_k1", "_k2", "node", "n_words", "sketches", "terms"],
+                    [batch.column("doc_id"), batch.column("_k1"), batch.column("_k2"), pa.array(nodes), pa.array(counts, pa.int32()), pa.array(prints_, pa.list_(pa.int64())), pa.array(marked, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int32()))],
+                    names=["doc_id", "_k1", "_k2", "node", "n_words", "sketches", "marks", "terms"],
                 )
 
-    return map_arrow(narrow, run, "doc_id long, _k1 long, _k2 long, node string, n_words int, sketches array<long>, terms array<int>")
+    return map_arrow(narrow, run, "doc_id long, _k1 long, _k2 long, node string, n_words int, sketches array<long>, marks array<long>, terms array<int>")
+
+
+def _marks_allow(words_a: str, marks_a: str, words_b: str, marks_b: str) -> Column:
+    """Whether texts with these word counts and marks can be similar; true of all that are.
+
+    Of the d changes that the similarity allows at most, as many as the texts
+    differ in length put words in or leave them out.
+    """
+    a, b = F.col(words_a), F.col(words_b)
+    changed = sum((F.bit_count(F.get(marks_a, i).bitwiseXOR(F.get(marks_b, i))) for i in range(MARKS)), F.lit(0))
+    return changed <= 2 * F.floor((1 - SIMILAR) * F.greatest(a, b) + 1e-9) - F.abs(a - b)
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their marks don't rule out."""
+    ends = [nodes.select(F.col("id").alias(x), F.col("n_words").alias(f"_n{x}"), F.col("marks").alias(f"_m{x}")) for x in "ab"]
+    return pairs.join(ends[0], "a").join(ends[1], "b").filter(_marks_allow("_na", "_ma", "_nb", "_mb")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -241,7 +274,7 @@ def _placed(docs: DataFrame, text_column: str) -> DataFrame:
     """The rows of ``near_duplicates`` with their keys."""
     printed = materialize(prints(docs, text_column), "prints")
     nodes = materialize(
-        printed.filter("n_words > 0").select("node", "n_words", "sketches").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes"
+        printed.filter("n_words > 0").select("node", "n_words", "sketches", "marks").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes"
     )
     found = links(printed, nodes)
     degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_found"))
@@ -272,7 +305,7 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     hubs = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *_hub("band", "id", "n_words")).filter("_n > 1").drop("_n")
     shared = materialize(banded.join(hubs, bucket), "buckets")
     beside = shared.filter((F.col("id") != F.col("hub_id")) & _long_enough(F.col("n_words"), F.col("hub_n_words")))
-    first = materialize(beside.select(*_pair("hub_id", "id")).distinct(), "pairs")
+    first = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct(), nodes), "pairs")
     wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "node")
     texts = materialize(printed.select("node", "terms").join(wanted, "node").select("id", "terms").dropDuplicates(["id"]), "texts")
     linked = materialize(_verified(first, texts), "links")
@@ -280,7 +313,7 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     roots = materialize(components(linked).withColumnRenamed("node", "id"), "roots")
     rest = shared.select("id", "by", "n_words", *bucket).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     second, large = _pairs_within(rest, bucket)
-    second = materialize(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    second = materialize(_plausible(second.distinct().join(first, ["a", "b"], "left_anti"), nodes), "pairs")
     linked = materialize(linked.unionByName(_verified(second, texts)), "links")
     crowded = materialize(large.select("id", "by", "n_words").distinct(), "large")
     if crowded.isEmpty():
@@ -292,13 +325,14 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     shared_grams = materialize(rare.join(mixed, "gram"), "grams")
     # Hubs join most of what belongs together, so that few pairs of different classes are left.
     beside = shared_grams.filter((F.col("root") != F.col("hub_root")) & _may_align("n_words", "at", "hub_n_words", "hub_at"))
-    third = materialize(beside.select(*_pair("hub_id", "id")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    third = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct().join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
     linked = materialize(linked.unionByName(_verified(third, texts)), "links")
     rooted = materialize(_rooted(shared_grams.select("id", "n_words", "gram", "at"), linked), "grams")
     still = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
-    rooted = materialize(rooted.join(still, "gram"), "grams")
+    rooted = materialize(rooted.join(still, "gram").join(nodes.select("id", "marks"), "id"), "grams")
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    pairs = rooted.alias("x").join(rooted.alias("y"), on & _may_align("x.n_words", "x.at", "y.n_words", "y.at"))
+    on &= _may_align("x.n_words", "x.at", "y.n_words", "y.at") & _marks_allow("x.n_words", "x.marks", "y.n_words", "y.marks")
+    pairs = rooted.alias("x").join(rooted.alias("y"), on)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = materialize(pairs.join(tried.unionByName(third), ["a", "b"], "left_anti"), "pairs")
     return materialize(linked.unionByName(_verified(pairs, texts)), "links")

@@ -107,14 +107,35 @@ def test_large_bucket_of_distinct_classes_links_all_similar_texts(spark):
         spots = r.choice(len(own) - 60, int(0.15 * len(own)), replace=False)
         other[spots] = r.integers(0, 2**31, len(spots))
         texts[f"{i}a"], texts[f"{i}b"] = own, other
-    rows = [(i, name, len(t), [77], t.astype(int).tolist()) for i, (name, t) in enumerate(texts.items())]
-    printed = spark.createDataFrame(rows, "id long, node string, n_words int, sketches array<long>, terms array<int>")
+    rows = [(i, name, len(t), [77], near_dup.marks(t.astype(np.uint64)).tolist(), t.astype(int).tolist()) for i, (name, t) in enumerate(texts.items())]
+    printed = spark.createDataFrame(rows, "id long, node string, n_words int, sketches array<long>, marks array<long>, terms array<int>")
     names = list(texts)
     found = {(names[x.a], names[x.b]) for x in near_dup.links(printed, printed).collect()}
     assert found == {(a, b) for a in names for b in names if a < b and near_dup.similar(texts[a], texts[b]) is not None}
     assert len(found) == 40
 
 
+def test_marks_rule_out_no_similar_pair(spark):
+    """Edits of all kinds up to the limit, in few and in many distinct words, and pairs that have nothing in common."""
+    r = random.Random(3)
+    nodes, pairs = [], []
+    for n in [1, 2, 4, 5, 6, 10, 40, 200, 900] * 20:
+        words = r.choice([3, 50, 10**6])
+        a = [r.randrange(words) for _ in range(n)]
+        b = list(a)
+        for _ in range(r.randint(0, n // 5 + 1)):
+            kind, at = r.randrange(3), r.randint(0, len(b))
+            b[at : at + (kind > 0)] = [r.randrange(words)] * (kind < 2)
+        for t in (a, b, [r.randrange(10**6) for _ in range(n)]):
+            nodes.append((len(nodes), len(t), near_dup.marks(np.array(t, np.uint64)).tolist(), t))
+        pairs += [(len(nodes) - 3, len(nodes) - 2), (len(nodes) - 3, len(nodes) - 1)]
+    table = spark.createDataFrame([x[:3] for x in nodes], "id long, n_words int, marks array<long>")
+    kept = {tuple(x) for x in near_dup._plausible(spark.createDataFrame(pairs, "a long, b long"), table).collect()}
+    alike = {(a, b) for a, b in pairs if near_dup.similar(np.array(nodes[a][3]), np.array(nodes[b][3])) is not None}
+    assert alike <= kept and 100 < len(alike)
+    assert sum((a, b) in kept for a, b in pairs[1::2]) < 60  # most of those with nothing in common
+
+
 def test_found_links_span_their_class(spark):
     """``n_found`` counts found links only: of a class of m texts at least m - 1 have been found."""
     base = [f"w{i}" for i in range(100)]
