@@ -42,12 +42,12 @@ KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
 MARKS = 8
 #: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
 SMALL, BINS = 16, 1 << 18
-#: Words a worker remembers, rows of an output batch.
-REMEMBERED, ROWS = 300_000, 256
+#: Words a worker remembers, rows of an output batch, places that are put in order at once.
+REMEMBERED, ROWS, ORDERED = 300_000, 256, 1 << 16
 
 _SEEDS = np.random.default_rng(20240229).integers(1, 2**63, (SKETCHES, 2), dtype=np.uint64) | np.uint64(1)
 _STEP = np.random.default_rng(7).integers(1, 2**63, 32, dtype=np.uint64) | np.uint64(1)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(2**64 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -91,11 +91,16 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     kmers = labelled_kmers(hashes)
     out = np.empty((2, SKETCHES), np.uint64)
-    for i, (add, times) in enumerate(_SEEDS):
-        order = _mix((kmers ^ add) * times)
-        picked = np.argpartition(order, PICKED - 1)[:PICKED] if len(kmers) > PICKED else np.arange(len(kmers))
-        out[1, i] = kmers[picked[order[picked].argmin()]]
-        out[0, i] = (kmers[np.sort(picked)] * _STEP[: len(picked)]).sum(dtype=np.uint64)
+    at_once = max(1, ORDERED // len(kmers))
+    for i in range(0, SKETCHES, at_once):
+        orders = _SEEDS[i : i + at_once]
+        order = _mix((kmers ^ orders[:, :1]) * orders[:, 1:])
+        picked = np.empty((len(orders), min(PICKED, len(kmers))), np.int64)
+        for j in range(picked.shape[1]):
+            picked[:, j] = order.argmin(axis=1)
+            order[np.arange(len(orders)), picked[:, j]] = _LAST
+        out[1, i : i + at_once] = kmers[picked[:, 0]]
+        out[0, i : i + at_once] = (kmers[np.sort(picked, axis=1)] * _STEP[: picked.shape[1]]).sum(axis=1, dtype=np.uint64)
     return _mix(out).view(np.int64).ravel()
 
 
