@@ -17,8 +17,9 @@ alignment allows. Only what shares such words and is still in different
 classes after a pass with hubs is compared, and none of that is left out.
 
 Before the texts of two candidates are fetched, their marks are compared: of each
-text 512 bits that its words turn over, of which d changed words change 2 d at most.
-Pairs that differ in more can't be similar, so nothing is lost.
+text 512 bits or more, as many as it has words, that its words turn over, of which d
+changed words change 2 d at most. Before texts are aligned, their words are counted.
+Pairs that differ in more than a similarity of 0.8 allows go, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from loomspan.session import materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
-#: Longs of a text's marks, which rule out most candidates before their texts are fetched.
+#: Longs of a text's marks at least, which rule out most candidates before their texts are fetched.
 MARKS = 8
 #: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
 SMALL, BINS = 16, 1 << 18
@@ -105,11 +106,12 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
 
 
 def marks(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * MARKS bins whether an odd number of the words falls into it, as bits.
+    """For each of 64 * MARKS bins, doubled until there is one a word, whether an odd number of the words falls into it, as bits.
 
     A replaced word changes two bits at most, one put in or left out changes one.
     """
-    odd = np.bincount((hashes % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    bins = max(64 * MARKS, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    odd = np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -162,10 +164,21 @@ def alignment_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     return distance if distance <= limit else None
 
 
+def words_in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two texts share, whatever their order."""
+    (words_a, n_a), (words_b, n_b) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(words_a, words_b, assume_unique=True, return_indices=True)
+    return int(np.minimum(n_a[i], n_b[j]).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float | None:
-    """1 less the distance over the longer text's words, if that is ``least`` or more."""
+    """1 less the distance over the longer text's words, if that is ``least`` or more.
+
+    Every word of the longer text that the other lacks is a change, so words are counted first.
+    """
     longest = max(len(a), len(b))
-    distance = alignment_distance(a, b, int((1 - least) * longest + 1e-9))
+    limit = int((1 - least) * longest + 1e-9)
+    distance = alignment_distance(a, b, limit) if longest - words_in_common(a, b) <= limit else None
     return None if distance is None else 1 - distance / longest
 
 
@@ -195,25 +208,44 @@ def prints(docs: DataFrame, text_column: str = "text") -> DataFrame:
     return map_arrow(narrow, run, "doc_id long, _k1 long, _k2 long, node string, n_words int, sketches array<long>, marks array<long>, terms array<int>")
 
 
-def _marks_allow(words_a: str, marks_a: str, words_b: str, marks_b: str) -> Column:
-    """Whether texts with these word counts and marks can be similar; true of all that are.
+def _bits_allowed(words_a: str, words_b: str) -> Column:
+    """How many marks of similar texts with these word counts may differ.
 
     Of the d changes that the similarity allows at most, as many as the texts
     differ in length put words in or leave them out.
     """
     a, b = F.col(words_a), F.col(words_b)
+    return 2 * F.floor((1 - SIMILAR) * F.greatest(a, b) + 1e-9) - F.abs(a - b)
+
+
+def _folded(marks_: Column, longs: Column) -> Column:
+    """Marks as they are with fewer bins, which are bins put together."""
+
+    def put_together(i: Column) -> Column:
+        return F.aggregate(F.filter(marks_, lambda _, j: j % longs == i), F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
+
+    return F.when(F.size(marks_) <= longs, marks_).otherwise(F.transform(F.sequence(F.lit(0), longs - 1), put_together))
+
+
+def _marks_allow(words_a: str, marks_a: str, words_b: str, marks_b: str) -> Column:
+    """Whether texts with these word counts and MARKS longs of marks can be similar; true of all that are."""
     changed = sum((F.bit_count(F.get(marks_a, i).bitwiseXOR(F.get(marks_b, i))) for i in range(MARKS)), F.lit(0))
-    return changed <= 2 * F.floor((1 - SIMILAR) * F.greatest(a, b) + 1e-9) - F.abs(a - b)
+    return changed <= _bits_allowed(words_a, words_b)
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that their marks don't rule out."""
     ends = [nodes.select(F.col("id").alias(x), F.col("n_words").alias(f"_n{x}"), F.col("marks").alias(f"_m{x}")) for x in "ab"]
-    return pairs.join(ends[0], "a").join(ends[1], "b").filter(_marks_allow("_na", "_ma", "_nb", "_mb")).select("a", "b")
+    longs = F.least(F.size("_ma"), F.size("_mb"))
+    differing = F.zip_with(_folded(F.col("_ma"), longs), _folded(F.col("_mb"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    changed = F.aggregate(differing, F.lit(0), lambda x, y: x + y)
+    return pairs.join(ends[0], "a").join(ends[1], "b").filter(changed <= _bits_allowed("_na", "_nb")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose alignment is similar enough, with the similarity."""
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = texts.join(wanted, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("terms").alias("_ta"))
     right = texts.select(F.col("id").alias("b"), F.col("terms").alias("_tb"))
 
@@ -277,10 +309,8 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
 def _placed(docs: DataFrame, text_column: str) -> DataFrame:
     """The rows of ``near_duplicates`` with their keys."""
-    printed = materialize(prints(docs, text_column), "prints")
-    nodes = materialize(
-        printed.filter("n_words > 0").select("node", "n_words", "sketches", "marks").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes"
-    )
+    printed = materialize(prints(docs, text_column).withColumn("id", F.monotonically_increasing_id()), "prints")
+    nodes = materialize(printed.filter("n_words > 0").select("id", "node", "n_words", "sketches", "marks").dropDuplicates(["node"]), "nodes")
     found = links(printed, nodes)
     degree = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_found"))
     roots = components(found).withColumnRenamed("node", "id")
@@ -304,15 +334,17 @@ def _placed(docs: DataFrame, text_column: str) -> DataFrame:
 
 
 def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Verified links (a, b, similarity) between ids of ``nodes``, a < b, that join all similar texts which share a sketch."""
+    """Verified links (a, b, similarity) between ids of ``nodes``, a < b, that join all similar texts which share a sketch.
+
+    A node has the id of one of the rows of ``printed`` that have its words.
+    """
     bucket = ["band", "h"]
     banded = nodes.select("id", F.xxhash64("node").alias("by"), "n_words", F.posexplode("sketches").alias(*bucket))
     hubs = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *_hub("band", "id", "n_words")).filter("_n > 1").drop("_n")
     shared = materialize(banded.join(hubs, bucket), "buckets")
     beside = shared.filter((F.col("id") != F.col("hub_id")) & _long_enough(F.col("n_words"), F.col("hub_n_words")))
     first = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct(), nodes), "pairs")
-    wanted = nodes.join(shared.select("id").distinct(), "id", "left_semi").select("id", "node")
-    texts = materialize(printed.select("node", "terms").join(wanted, "node").select("id", "terms").dropDuplicates(["id"]), "texts")
+    texts = materialize(printed.select("id", "terms").join(shared.select("id").distinct(), "id", "left_semi"), "texts")
     linked = materialize(_verified(first, texts), "links")
 
     roots = materialize(components(linked).withColumnRenamed("node", "id"), "roots")
@@ -325,21 +357,23 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
         return linked
     tried = first.unionByName(second)
     rare = _rare_grams(_rooted(crowded.join(texts, "id"), linked))
-    mixed = rare.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), *_hub("gram", "id", "n_words", "at", "root"))
-    mixed = materialize(mixed.filter("_low < _high").drop("_low", "_high"), "mixed")
-    shared_grams = materialize(rare.join(mixed, "gram"), "grams")
+    # Most threes of words stand in one text, so first only they and the classes are shuffled.
+    mixed = rare.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
+    shared_grams = materialize(rare.join(mixed, "gram", "left_semi"), "grams")
+    gram_hubs = shared_grams.groupBy("gram").agg(*_hub("gram", "id", "n_words", "at", "root"))
     # Hubs join most of what belongs together, so that few pairs of different classes are left.
-    beside = shared_grams.filter((F.col("root") != F.col("hub_root")) & _may_align("n_words", "at", "hub_n_words", "hub_at"))
+    beside = shared_grams.join(gram_hubs, "gram").filter((F.col("root") != F.col("hub_root")) & _may_align("n_words", "at", "hub_n_words", "hub_at"))
     third = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct().join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
     linked = materialize(linked.unionByName(_verified(third, texts)), "links")
     rooted = materialize(_rooted(shared_grams.select("id", "n_words", "gram", "at"), linked), "grams")
     still = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
-    rooted = materialize(rooted.join(still, "gram").join(nodes.select("id", "marks"), "id"), "grams")
+    narrow = nodes.select("id", _folded(F.col("marks"), F.lit(MARKS)).alias("marks"))
+    rooted = materialize(rooted.join(still, "gram").join(narrow, "id"), "grams")
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
     on &= _may_align("x.n_words", "x.at", "y.n_words", "y.at") & _marks_allow("x.n_words", "x.marks", "y.n_words", "y.marks")
     pairs = rooted.alias("x").join(rooted.alias("y"), on)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = materialize(pairs.join(tried.unionByName(third), ["a", "b"], "left_anti"), "pairs")
+    pairs = materialize(_plausible(pairs.join(tried.unionByName(third), ["a", "b"], "left_anti"), nodes), "pairs")
     return materialize(linked.unionByName(_verified(pairs, texts)), "links")
 
 
