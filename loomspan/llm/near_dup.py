@@ -17,7 +17,7 @@ alignment allows. Only what shares such words and is still in different
 classes after a pass with hubs is compared, and none of that is left out.
 
 Before the texts of two candidates are fetched, their marks are compared: of each
-text 512 bits or more, as many as it has words, that its words turn over, of which d
+text 512 bits or more, at least two a word, that its words turn over, of which d
 changed words change 2 d at most. Before texts are aligned, their words are counted.
 Pairs that differ in more than a similarity of 0.8 allows go, so nothing is lost.
 """
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import map_arrow, packed, row_key, word_bytes
@@ -39,10 +39,12 @@ from loomspan.session import materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
-#: Longs of a text's marks at least, which rule out most candidates before their texts are fetched.
-MARKS = 8
+#: Longs of a text's marks at least, which rule out most candidates before their texts are fetched; and at most where they stand beside each three of words.
+MARKS, MARKS_BESIDE = 8, 32
 #: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
 SMALL, BINS = 16, 1 << 18
+#: Texts of one part, where many have a three of words in common.
+TOGETHER = 128
 #: Words a worker remembers, rows of an output batch, places that are put in order at once.
 REMEMBERED, ROWS, ORDERED = 300_000, 256, 1 << 16
 
@@ -106,11 +108,11 @@ def sketches(hashes: np.ndarray) -> np.ndarray:
 
 
 def marks(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * MARKS bins, doubled until there is one a word, whether an odd number of the words falls into it, as bits.
+    """For each of 64 * MARKS bins, doubled until there are two a word, whether an odd number of the words falls into it, as bits.
 
     A replaced word changes two bits at most, one put in or left out changes one.
     """
-    bins = max(64 * MARKS, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    bins = max(64 * MARKS, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0)
     odd = np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -228,18 +230,16 @@ def _folded(marks_: Column, longs: Column) -> Column:
 
 
 def _marks_allow(words_a: str, marks_a: str, words_b: str, marks_b: str) -> Column:
-    """Whether texts with these word counts and MARKS longs of marks can be similar; true of all that are."""
-    changed = sum((F.bit_count(F.get(marks_a, i).bitwiseXOR(F.get(marks_b, i))) for i in range(MARKS)), F.lit(0))
-    return changed <= _bits_allowed(words_a, words_b)
+    """Whether texts with these word counts and marks can be similar; true of all that are."""
+    longs = F.least(F.size(marks_a), F.size(marks_b))
+    differing = F.zip_with(_folded(F.col(marks_a), longs), _folded(F.col(marks_b), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differing, F.lit(0), lambda x, y: x + y) <= _bits_allowed(words_a, words_b)
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that their marks don't rule out."""
     ends = [nodes.select(F.col("id").alias(x), F.col("n_words").alias(f"_n{x}"), F.col("marks").alias(f"_m{x}")) for x in "ab"]
-    longs = F.least(F.size("_ma"), F.size("_mb"))
-    differing = F.zip_with(_folded(F.col("_ma"), longs), _folded(F.col("_mb"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    changed = F.aggregate(differing, F.lit(0), lambda x, y: x + y)
-    return pairs.join(ends[0], "a").join(ends[1], "b").filter(changed <= _bits_allowed("_na", "_nb")).select("a", "b")
+    return pairs.join(ends[0], "a").join(ends[1], "b").filter(_marks_allow("_na", "_ma", "_nb", "_mb")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -366,12 +366,23 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     third = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct().join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
     linked = materialize(linked.unionByName(_verified(third, texts)), "links")
     rooted = materialize(_rooted(shared_grams.select("id", "n_words", "gram", "at"), linked), "grams")
-    still = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
-    narrow = nodes.select("id", _folded(F.col("marks"), F.lit(MARKS)).alias("marks"))
-    rooted = materialize(rooted.join(still, "gram").join(narrow, "id"), "grams")
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    on &= _may_align("x.n_words", "x.at", "y.n_words", "y.at") & _marks_allow("x.n_words", "x.marks", "y.n_words", "y.marks")
-    pairs = rooted.alias("x").join(rooted.alias("y"), on)
+    # Threes of words that stand in the same texts, as those of a passage do, give the same pairs, so one of them is enough.
+    stands = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"_x{i}") for i in range(2)])
+    one_each = stands.filter("_low < _high").groupBy("_n", "_x0", "_x1").agg(F.min("gram").alias("gram")).select("gram", "_n")
+    # Where both texts have the same three before, the pair was met there; commonest first, as passages share those.
+    in_order = Window.partitionBy("id").orderBy(F.desc("_n"), "gram")
+    rooted = rooted.drop("at").join(one_each, "gram").withColumn("before", F.lag("gram").over(in_order))
+    beside = nodes.select("id", _folded(F.col("marks"), F.lit(MARKS_BESIDE)).alias("marks"))
+    rooted = materialize(rooted.join(beside, "id"), "grams")
+    # Texts of a common three are parted, and parts dealt out: few bytes can make many pairs, and tasks must not be joined by bytes.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = F.ceil(F.col("_n") / TOGETHER)
+    one = rooted.withColumn("part", F.pmod(F.xxhash64("id"), parts)).repartition(tasks, "gram", "part")
+    other = rooted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).repartition(tasks, "gram", "part")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
+    on &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
+    on &= _long_enough(F.col("x.n_words"), F.col("y.n_words")) & _marks_allow("x.n_words", "x.marks", "y.n_words", "y.marks")
+    pairs = one.alias("x").join(other.alias("y"), on)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = materialize(_plausible(pairs.join(tried.unionByName(third), ["a", "b"], "left_anti"), nodes), "pairs")
     return materialize(linked.unionByName(_verified(pairs, texts)), "links")
