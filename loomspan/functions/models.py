@@ -7,7 +7,7 @@ no model answers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +34,18 @@ LISTING_HINTS = (
 NO_CONTEXT = "No dispongo de suficiente contexto para responder a esa pregunta. Prueba a reformularla o consulta con la secretaría de la ETSI Informática."
 EMPTY_QUESTION = "La pregunta no puede estar vacía."
 GRAPH_SOURCE = "Grafo de Conocimiento ETSI"
+#: What stands before the fragments in a prompt, before all context and before the question, and who speaks in a history.
+FRAGMENTS_HEADER = (
+    "── FRAGMENTOS DE DOCUMENTOS (contexto de apoyo) ──────────────\n"
+    "Usa estos fragmentos para complementar la respuesta, pero en caso\n"
+    "de contradicción, los DATOS DEL GRAFO tienen prioridad absoluta.\n"
+    "───────────────────────────────────────────────────────────────"
+)
+CONTEXT_LABEL, QUESTION_LABEL = "Contexto relevante:\n\n", "Pregunta del usuario:\n"
+SPEAKERS = ("Usuario", "Asistente")
+#: Turns that the retriever and the graph look back, and roles that they take for the user's.
+RETRIEVER_TURNS, GRAPH_TURNS = 6, 4
+RETRIEVER_ROLES, GRAPH_ROLES = ("user", "human"), ("user",)
 #: Characters that a question may have.
 LONGEST_QUESTION = 1000
 
@@ -141,25 +153,69 @@ def prompt_context(fragments: DataFrame, key: str = "question_id") -> DataFrame:
     return fragments.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["block"]), "\n\n---\n\n").alias("context"))
 
 
+def histories(questions: DataFrame, turns: DataFrame, n: int = RETRIEVER_TURNS, user_roles: Sequence[str] = RETRIEVER_ROLES) -> DataFrame:
+    """What was said before each question: question_id and ``history``, a line for each of the last ``n`` turns, in order.
+
+    ``questions`` has question_id, conv_id and turn; ``turns`` conv_id, turn, role and text. It is a join as of the question's
+    turn: of the turns before it the last ``n`` count, its own and later ones don't. Without any the history is empty. Every turn
+    carries the ``n`` up to it, so that a question takes one row, and no conversation is collected.
+    """
+    speaker = F.when(F.col("role").isin(*user_roles), SPEAKERS[0]).otherwise(SPEAKERS[1])
+    line = F.concat(speaker, F.lit(": "), F.coalesce("text", F.lit("")))
+    in_order = Window.partitionBy("conv_id").orderBy("turn", "_line")
+    said = turns.select("conv_id", "turn", line.alias("_line"))
+    held = said.select("conv_id", "turn", F.collect_list("_line").over(in_order.rowsBetween(1 - n, 0)).alias("_lines"), F.lit(1).alias("_kind"), F.lit(None).cast(questions.schema["question_id"].dataType).alias("question_id"))
+    asked = questions.select("conv_id", "turn", F.lit(None).cast("array<string>").alias("_lines"), F.lit(0).alias("_kind"), "question_id")
+    before = Window.partitionBy("conv_id").orderBy("turn", "_kind", F.size(F.coalesce("_lines", F.array().cast("array<string>")))).rowsBetween(Window.unboundedPreceding, 0)
+    found = held.unionByName(asked).withColumn("_last", F.last("_lines", ignorenulls=True).over(before)).filter("_kind = 0")
+    return found.select("question_id", F.coalesce(F.array_join("_last", "\n"), F.lit("")).alias("history"))
+
+
+def rewritten(questions: DataFrame, history: DataFrame | None, rewrite: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Questions made to stand alone by what was said before; those without history, or with an empty result, as they are."""
+    if history is None or rewrite is None:
+        return questions
+    joined = questions.join(history.select("question_id", "history"), "question_id", "left")
+    new = strings.first_given(strings.strip(rewrite(F.col("history"), F.col("question"))), F.col("question"))
+    return joined.withColumn("question", F.when(F.coalesce("history", F.lit("")) != "", new).otherwise(F.col("question"))).drop("history")
+
+
 def full_prompt(graph: Column, documents: Column) -> Column:
-    """The graph's block before the documents'; either may be null."""
-    return F.concat_ws("\n\n", graph, documents)
+    """The graph's block before the documents', these under their header; either may be null."""
+    return F.concat_ws("\n\n", graph, F.concat(F.lit(FRAGMENTS_HEADER + "\n\n"), documents))
+
+
+def messages(system: Column, history: Column, context: Column, question: Column) -> Column:
+    """All that a model is told, in order: the system's prompt, the history, the context and the question."""
+    asked = F.concat(F.lit(CONTEXT_LABEL), context, F.lit("\n\n" + QUESTION_LABEL), question)
+    return F.concat_ws("\n\n", F.nullif(system, F.lit("")), F.nullif(history, F.lit("")), asked)
+
+
+def _given(rows: DataFrame, *names: str) -> Column:
+    """The first of the named columns that is given, of those that there are."""
+    there = [F.col(n) for n in names if n in rows.columns]
+    return strings.first_given(*there) if there else F.lit(None).cast("string")
 
 
 def distinct_sources(fragments: DataFrame, key: str = "question_id") -> DataFrame:
-    """Each question's sources, first seen first; fragments without one are left out."""
-    source = strings.first_given(F.col("url"), F.col("source_file"))
-    keyed = fragments.withColumn("source_key", source).filter(F.col("source_key").isNotNull())
-    first = keyed.groupBy(key, "source_key").agg(F.min_by("title", "rank").alias("title"), F.min("rank").alias("_rank"))
+    """Each question's sources, first seen first: source_key, title, url and place; fragments without one are left out.
+
+    A source's address is in ``source_url``, ``url`` or ``source``, its file in ``source_file``, ``source_path`` or ``source``, its
+    title in ``title`` or ``legacy_title``: the first that is given counts, and columns may be absent. The address, else the file, tells sources apart.
+    """
+    address, file = _given(fragments, "source_url", "url", "source"), _given(fragments, "source_file", "source_path", "source")
+    shown = F.struct(F.coalesce(_given(fragments, "title", "legacy_title"), F.lit("")).alias("title"), address.alias("url"))
+    keyed = fragments.select(key, "rank", F.coalesce(address, file).alias("source_key"), shown.alias("_s")).filter(F.col("source_key").isNotNull())
+    first = keyed.groupBy(key, "source_key").agg(F.min_by("_s", "rank").alias("_s"), F.min("rank").alias("_rank"))
     place = F.row_number().over(Window.partitionBy(key).orderBy("_rank", "source_key"))
-    return first.withColumn("place", place).drop("_rank")
+    return first.select(key, "source_key", "_s.title", "_s.url", place.alias("place"))
 
 
 def ask_outcome(proceed: Column, has_context: Column, answer: Column, tokens: Column, score: Column, model: str) -> Column:
     """What is logged for a question: the router's reply, no context, or an answer; only the last has tokens and score."""
     name = F.when(~proceed, "router").when(~has_context, "none").otherwise(model)
-    answered = proceed & has_context
-    return F.struct(name.alias("model_name"), F.when(answered, answer).alias("answer"), F.when(answered, tokens).alias("tokens_used"), F.when(answered, score).alias("rerank_score"))
+    logged = proceed & has_context
+    return F.struct(name.alias("model_name"), F.when(logged, answer).alias("answer"), F.when(logged, tokens).alias("tokens_used"), F.when(logged, score).alias("rerank_score"))
 
 
 def answered(question: Column, fragments: Column, graph: Column, answer: Column, tokens: Column) -> Column:
@@ -173,37 +229,60 @@ def answered(question: Column, fragments: Column, graph: Column, answer: Column,
     )
 
 
-def ask(questions: DataFrame, fragments: DataFrame, graph_of: DataFrame, model: str = "model", provider: ModelProvider | None = None) -> DataFrame:
+def ask(
+    questions: DataFrame,
+    fragments: DataFrame,
+    graph_of: DataFrame,
+    model: str = "model",
+    provider: ModelProvider | None = None,
+    history: DataFrame | None = None,
+    config: Mapping[str, str | None] | None = None,
+    system_prompt: str = "",
+) -> DataFrame:
     """One row per question as it is logged, with the sources to show.
 
-    ``questions`` has question_id, question, label and safe (the router's model, nullable); ``fragments`` what
-    ``prompt_context`` and ``distinct_sources`` take, with a score; ``graph_of`` question_id and graph_context. A question that is not
-    let through gets no lookups and is logged under the router's name; one without context gets the apology; the others
-    the provider's answer, with tokens (words of prompt and answer) and best score. The graph stands first among sources.
+    ``questions`` has question_id, question, and of the router's model label, safe and ``reply`` (all nullable; the last two may be
+    absent); ``fragments`` what ``prompt_context`` and ``distinct_sources`` take, with a score; ``graph_of`` question_id and graph_context;
+    ``history`` question_id and history; ``config`` overrides ``system_prompt`` and, in what the provider is asked by, ``model_name``. A question that is not
+    let through gets no lookups and is logged with the router's reply under the router's name; one without context gets the apology under none;
+    the others the provider's answer under ``model``, which stays the logged name where the configuration has another, with tokens (words of prompt and answer)
+    and best score. Sources are title and url, the graph first; an empty question that the router lets through has ``error``.
     """
-    provider = RuleProvider() if provider is None else provider
-    route = routed(F.col("question"), F.col("label"), F.col("safe"))
-    titles = F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: F.coalesce(x["title"], F.lit("")))
-    shown = distinct_sources(fragments).groupBy("question_id").agg(titles.alias("_titles"))
-    best = fragments.groupBy("question_id").agg(F.max("score").alias("_score"))
-    rows = questions.select("question_id", "question", route.alias("_route"))
-    for other in (prompt_context(fragments), graph_of, shown, best):
+    provider, config = RuleProvider() if provider is None else provider, config or {}
+    safe, reply = (F.col(c) if c in questions.columns else F.lit(None) for c in ("safe", "reply"))
+    routes = questions.select("question_id", "question", routed(F.col("question"), F.col("label"), safe.cast("boolean")).alias("_route"), reply.cast("string").alias("_reply"))
+    through = routes.filter("_route.proceed").select("question_id")
+    wanted = fragments.join(through, "question_id", "left_semi")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "title", "url"))), lambda x: F.struct(x["title"].alias("title"), x["url"].alias("url")))
+    shown = distinct_sources(wanted).groupBy("question_id").agg(ordered.alias("_sources"))
+    best = wanted.groupBy("question_id").agg(F.max("score").alias("_score"))
+    rows = routes
+    for other in (prompt_context(wanted), graph_of.join(through, "question_id", "left_semi"), shown, best):
         rows = rows.join(other, "question_id", "left")
-    prompt = F.concat_ws("\n\n", full_prompt(F.col("graph_context"), F.col("context")), "question")
-    reply = F.coalesce(provider.answer(prompt), F.lit(""))
-    words = (F.size(strings.split_words(prompt)) + F.size(strings.split_words(reply))).cast("long")
-    has_context = F.col("context").isNotNull() | F.col("graph_context").isNotNull()
+    rows = rows.withColumn("history", F.lit("")) if history is None else rows.join(history.select("question_id", "history"), "question_id", "left")
+    prompt = messages(F.lit(config.get("system_prompt") or system_prompt), F.col("history"), full_prompt(F.col("graph_context"), F.col("context")), F.col("question"))
+    rows = rows.withColumn("_prompt", prompt)
+    named = config.get("model_name")
+    answer = provider.answer(F.concat(F.lit(f"[{named}] "), F.col("_prompt"))) if named and named != model else provider.answer(F.col("_prompt"))
+    rows = rows.withColumn("_answer", F.coalesce(answer, F.lit("")))
+    words = (F.size(strings.split_words(F.col("_prompt"))) + F.size(strings.split_words(F.col("_answer")))).cast("long")
     proceed = F.col("_route.proceed")
-    none = F.array().cast("array<string>")
-    sources = F.concat(F.when(F.col("graph_context").isNotNull(), F.array(F.lit(GRAPH_SOURCE))).otherwise(none), F.coalesce("_titles", none))
-    return rows.withColumn("_out", ask_outcome(proceed, has_context, reply, words, F.col("_score"), model)).select(
+    has_context = F.col("context").isNotNull() | F.col("graph_context").isNotNull()
+    out = answered(F.col("question"), F.col("context"), F.col("graph_context"), F.col("_answer"), words)
+    none = F.array().cast("array<struct<title:string,url:string>>")
+    from_graph = F.array(F.struct(F.lit(GRAPH_SOURCE).alias("title"), F.lit(None).cast("string").alias("url")))
+    sources = F.concat(F.when(F.col("graph_context").isNotNull(), from_graph).otherwise(none), F.coalesce("_sources", none))
+    outcome = ask_outcome(proceed, has_context, F.col("_out.answer"), F.col("_out.tokens_used"), F.col("_score"), model)
+    return rows.withColumn("_out", out).withColumn("_logged", outcome).select(
         "question_id",
+        "question",
         F.col("_route.intent").alias("intent"),
         F.col("_route.is_safe").alias("is_safe"),
-        "_out.model_name",
-        F.when(proceed & ~has_context, NO_CONTEXT).otherwise(F.col("_out.answer")).alias("answer"),
-        "_out.tokens_used",
-        "_out.rerank_score",
+        "_logged.model_name",
+        F.when(~proceed, F.col("_reply")).otherwise(F.col("_out.answer")).alias("answer"),
+        "_logged.tokens_used",
+        "_logged.rerank_score",
+        F.when(proceed, F.col("_out.error")).alias("error"),
         F.when(proceed & has_context, sources).otherwise(none).alias("sources"),
     )
 

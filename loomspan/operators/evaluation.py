@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions.strings import split_words
+from loomspan.operators.keywords import containments
 
 #: Scores below and above which a question counts as a critical success.
 PLAIN_BELOW, GRAPH_ABOVE = 0.3, 0.8
+#: References whose keys are broadcast at most.
+BROADCAST_REFERENCES = 100_000
 #: The label of the row over all categories.
 ALL = "__global__"
 
@@ -20,6 +23,22 @@ def keyword_overlap(reference: Column, answer: Column, least: int = 4) -> Column
     return F.when(F.size(words) > 0, F.round(hits / F.size(words), 3)).otherwise(F.lit(0.0))
 
 
+def overlaps(answers: DataFrame, references: DataFrame, answer_key: str, reference_key: str, answer: str = "answer", reference: str = "reference", least: int = 4) -> DataFrame:
+    """``keyword_overlap`` of each answer of a stated set with each reference: both keys, which are unique, and ``overlap``.
+
+    Each distinct word is looked up once in the answers' index, and what is found is joined to the references that have the word.
+    """
+    words = F.array_distinct(F.transform(F.filter(split_words(F.col(reference)), lambda w: F.char_length(w) >= least), F.lower))
+    wanted = references.select(F.col(reference_key).alias("_r"), words.alias("_words"))
+    of_words = wanted.select("_r", F.explode("_words").alias("keyword"))
+    found = containments(answers, of_words.select("keyword").distinct(), answer_key, answer)
+    hits = found.join(of_words, "keyword").groupBy(F.col("text_id").alias("_a"), "_r").agg(F.count(F.lit(1)).alias("_hits"))
+    sizes = wanted.select("_r", F.coalesce(F.size("_words"), F.lit(0)).alias("_n"))
+    pairs = answers.select(F.col(answer_key).alias("_a")).join(F.broadcast(sizes) if sizes.limit(BROADCAST_REFERENCES + 1).count() <= BROADCAST_REFERENCES else sizes)
+    share = F.when(F.col("_n") > 0, F.round(F.coalesce("_hits", F.lit(0)) / F.col("_n"), 3)).otherwise(F.lit(0.0))
+    return pairs.join(hits, ["_a", "_r"], "left").select(F.col("_a").alias(answer_key), F.col("_r").alias(reference_key), share.alias("overlap"))
+
+
 def no_context(answer: Column, signal: str) -> Column:
     return F.contains(F.lower(answer), F.lit(signal.lower()))
 
@@ -46,7 +65,7 @@ def run_summary(results: DataFrame) -> DataFrame:
 
 def by_category(results: DataFrame) -> DataFrame:
     """Mean overlap per category over all results that have one."""
-    return results.groupBy("category").agg(F.count("overlap").alias("n"), F.round(F.avg("overlap"), 3).alias("avg_overlap"))
+    return results.groupBy("category").agg(F.count("overlap").alias("n"), F.round(F.avg("overlap"), 3).alias("avg_overlap")).orderBy("category")
 
 
 def score_stats(items: DataFrame, scores: tuple[str, ...] = ("faithfulness", "correctness")) -> DataFrame:
@@ -92,8 +111,8 @@ def last_by_id(results: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def critical_successes(plain: DataFrame, graph: DataFrame, score: str = "correctness") -> DataFrame:
-    """Questions that the plain system fails and the other answers, by improvement. Of repeated ids the last counts, by ``pos`` if there is one."""
-    a, b = (last_by_id(x) if "pos" in x.columns else x for x in (plain, graph))
+    """Questions that the plain system fails and the other answers, by improvement. Of repeated ids the last counts, by ``pos``, or as read where there is none."""
+    a, b = (last_by_id(x if "pos" in x.columns else x.withColumn("pos", F.monotonically_increasing_id())) for x in (plain, graph))
     a, b = a.select("id", F.col(score).alias("plain")), b.select("id", F.col(score).alias("graph"))
     kept = a.join(b, "id").filter((F.col("plain") < PLAIN_BELOW) & (F.col("graph") > GRAPH_ABOVE))
     return kept.withColumn("improvement", F.round(F.col("graph") - F.col("plain"), 4)).orderBy(F.desc("improvement"), "id")

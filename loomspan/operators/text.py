@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from functools import reduce
 from html.parser import HTMLParser
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions import strings, urls
+from loomspan.operators.isolation import good_rows, isolated
+from loomspan.sources.readers import with_url
 
 #: Elements that hold no content of a page.
 NOISE_ELEMENTS = ("nav", "header", "footer", "aside", "script", "style", "noscript", "iframe", "form")
@@ -28,71 +33,28 @@ MOST, OVERLAP, LEAST = 1500, 150, 60
 SEPARATORS = ("\n\n", "\n|", "\n", ". ", " ", "")
 
 
-def line_pattern(text: str) -> str:
-    """The noise pattern of a line that is only ``text``, whatever its case, for an institution's own headers."""
-    return r"(?miU)^\s*\Q" + text + r"\E\s*$"
+def line_pattern(text: str, more: bool = False) -> str:
+    """The noise pattern of a line that is only ``text``, or with ``more`` begins with it, whatever its case, for an institution's own headers."""
+    return r"(?miU)^\s*\Q" + text + r"\E" + (".*$" if more else r"\s*$")
 
 
-# ---------------------------------------------------------------- pages
-
-
-def without_noise(html: Column) -> Column:
-    """A page without the elements that hold no content."""
-    for name in NOISE_ELEMENTS:
-        html = F.regexp_replace(html, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", "")
-    return html
-
-
-def _plain(html: Column) -> Column:
-    return strings.strip(F.regexp_replace(F.regexp_replace(html, "<[^>]*>", ""), r"(?U)\s+", " "))
-
-
-#: The named characters that are decoded, beside numbered ones; the ampersand comes last.
-_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "aacute": "á", "eacute": "é", "iacute": "í", "oacute": "ó", "uacute": "ú", "ntilde": "ñ", "Ntilde": "Ñ", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ccedil": "ç", "egrave": "è", "agrave": "à", "ndash": "–", "mdash": "—", "hellip": "…", "copy": "©", "euro": "€", "amp": "&"}
+def body_pattern(body: str, any_case: bool = True) -> str:
+    """The noise pattern of a line that ``body``, a regular expression, describes between blanks."""
+    return ("(?miU)" if any_case else "(?mU)") + rf"^\s*{body}\s*$"
 
 
-def unescaped(text: Column) -> Column:
-    """Text with named and numbered character references decoded."""
-    parts = F.split(text, r"&#")
-
-    def numbered(part: Column) -> Column:
-        code = F.regexp_extract(part, r"^([0-9]{1,6}|[xX][0-9a-fA-F]{1,5});", 1)
-        is_hex = F.lower(F.substring(code, 1, 1)) == "x"
-        value = F.when(is_hex, F.conv(F.substring(code, 2, 9), 16, 10)).otherwise(code).cast("int")
-        utf16 = F.unhex(F.lpad(F.hex(value), 4, "0"))
-        known = (code != "") & value.between(1, 0xFFFF) & ~value.between(0xD800, 0xDFFF)
-        rest = F.substr(part, F.length(code) + 2)
-        return F.when(known, F.concat(F.decode(utf16, "UTF-16BE"), rest)).otherwise(F.concat(F.lit("&#"), part))
-
-    out = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), numbered), ""))
-    for name, character in _ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(character))
-    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
-
-
-def page_title(html: Column, url: Column) -> Column:
-    """The title, else the first first-level heading, else the address."""
-    title = strings.strip(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    heading = strings.strip(unescaped(_plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))))
-    return strings.first_given(title, heading, url)
-
+# ---------------------------------------------------------------- pages
 
-def page_links(pages: DataFrame, before_cleaning: bool = False) -> DataFrame:
-    """Distinct absolute links of each page, without files that are no pages.
 
-    Links are taken after the noise elements are gone, or before on demand.
-    """
-    html = F.col("html") if before_cleaning else without_noise(F.col("html"))
-    hrefs = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1))
-    found = pages.select("page_id", "url", F.explode(hrefs).alias("_href")).withColumn("_href", strings.strip(F.col("_href")))
-    link = urls.resolve(F.col("url"), F.col("_href"))
-    return found.filter(urls.is_page_link(F.col("_href"))).select("page_id", link.alias("link")).filter(~urls.is_skipped(F.col("link")) & (F.col("link") != "")).distinct()
+#: The elements that may be a page's main one, the first that is there counts.
+MAIN_ELEMENTS = ("main", "article", "#content", "#main-content", ".content", "body")
+#: The elements whose texts are blocks, with what stands before them.
+BLOCKS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "li": "- ", "p": "", "td": "", "th": ""}
 
 
-class _Outline(HTMLParser):
-    """Collects the texts of blocks in order of their beginning, within the main element."""
+class _Page(HTMLParser):
+    """Collects a page's title, its first heading, its links, and the texts of blocks in order of their beginning."""
 
-    BLOCKS = {"h1": "# ", "h2": "## ", "h3": "### ", "h4": "#### ", "li": "- ", "p": "", "td": "", "th": ""}
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
     def __init__(self) -> None:
@@ -102,17 +64,23 @@ class _Outline(HTMLParser):
         self.areas: list[str] = []
         self.seen: set[str] = set()
         self.skipping = 0
+        self.titles: list[list[str]] = []
+        self.plain_title = True
+        self.headings: list[list[str]] = []
+        self.links: list[str] = []
+        self.skipped_links: list[str] = []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        given = {name: value or "" for name, value in reversed(attrs)}  # the first of repeated attributes counts
+        if tag == "a" and "href" in given:
+            (self.skipped_links if self.skipping else self.links).append(given["href"])
+        if self.stack and self.stack[-1][0] == "title":
+            self.plain_title = False
         if tag in self.VOID:
             return
-        given = dict(attrs)
         area = None
-        for name, here in (
-            ("main", tag == "main"), ("article", tag == "article"), ("#content", given.get("id") == "content"),
-            ("#main-content", given.get("id") == "main-content"), (".content", "content" in (given.get("class") or "").split()), ("body", tag == "body"),
-        ):
-            if here and name not in self.seen:
+        for name, here in zip(MAIN_ELEMENTS, (tag == "main", tag == "article", given.get("id") == "content", given.get("id") == "main-content", "content" in given.get("class", "").split(), tag == "body"), strict=True):
+            if here and not self.skipping and name not in self.seen:
                 self.seen.add(name)
                 self.areas.append(name)
                 area = name if area is None else f"{area} {name}"
@@ -120,9 +88,15 @@ class _Outline(HTMLParser):
             self.handle_endtag(tag)
         texts: list[str] | None = None
         self.skipping += tag in NOISE_ELEMENTS
-        if tag in self.BLOCKS and not self.skipping:
-            texts = []
-            self.blocks.append((tag, texts, frozenset(self.areas)))
+        if not self.skipping:
+            if tag in BLOCKS:
+                texts = []
+                self.blocks.append((tag, texts, frozenset(self.areas)))
+            if tag == "h1":
+                self.headings.append(texts)
+            if tag == "title":
+                texts = []
+                self.titles.append(texts)
         self.stack.append((tag, texts, len((area or "").split())))
 
     def handle_endtag(self, tag: str) -> None:
@@ -142,27 +116,73 @@ class _Outline(HTMLParser):
                     texts.append(data.strip())
 
 
+def parsed(html: str | None) -> dict:
+    """A page in one pass: ``title``, ``heading`` (its first of level 1), ``links`` and ``noise_links`` (as written, outside and inside
+    of noise elements), and ``body``, the main element's blocks as Markdown lines.
+
+    Character references are decoded, comments and scripts hold no links, and a title with elements in it is none.
+    """
+    page = _Page()
+    page.feed(html or "")
+    page.close()
+    area = next((a for a in MAIN_ELEMENTS if a in page.seen), None)
+    lines = [BLOCKS[tag] + " ".join(texts) for tag, texts, areas in page.blocks if area in areas and texts]
+    return {
+        "title": " ".join(page.titles[0]) if page.titles and page.plain_title else "",
+        "heading": "".join(page.headings[0]) if page.headings else "",
+        "links": page.links,
+        "noise_links": page.skipped_links,
+        "body": "\n\n".join(lines).strip(),
+    }
+
+
 def outline(html: str) -> str:
     """A page's blocks as Markdown lines, from the first of the elements that may be its main one."""
-    parser = _Outline()
-    parser.feed(html or "")
-    parser.close()
-    area = next((a for a in ("main", "article", "#content", "#main-content", ".content", "body") if a in parser.seen), None)
-    lines = [_Outline.BLOCKS[tag] + " ".join(texts) for tag, texts, areas in parser.blocks if area in areas and texts]
-    return "\n\n".join(lines).strip()
+    return parsed(html)["body"]
+
+
+#: The type of what ``parsed`` gives.
+PARSED = "struct<title:string,heading:string,links:array<string>,noise_links:array<string>,body:string>"
+parsed_page = isolated(parsed, PARSED)
+
 
+def _title(page: Column, url: Column) -> Column:
+    return strings.first_given(strings.strip(page["title"]), strings.strip(page["heading"]), url)
 
-@F.pandas_udf(T.StringType())
-def _outlines(html: pd.Series) -> pd.Series:
-    return html.map(outline)
+
+def page_title(html: Column, url: Column) -> Column:
+    """The title, else the first first-level heading, else the address."""
+    return _title(parsed_page(html)["value"], url)
+
+
+def page_links(pages: DataFrame, before_cleaning: bool = False) -> DataFrame:
+    """Distinct absolute links of each page, without files that are no pages.
+
+    Links are those outside of noise elements, or all on demand.
+    """
+    page = pages.select("page_id", "url", parsed_page(F.col("html"))["value"].alias("_p"))
+    hrefs = F.concat("_p.links", "_p.noise_links") if before_cleaning else F.col("_p.links")
+    found = page.select("page_id", "url", F.explode(hrefs).alias("_href")).withColumn("_href", strings.strip(F.col("_href")))
+    link = urls.resolve(F.col("url"), F.col("_href"))
+    return found.filter(urls.is_page_link(F.col("_href"))).select("page_id", link.alias("link")).filter(~urls.is_skipped(F.col("link")) & (F.col("link") != "")).distinct()
+
+
+def page_results(pages: DataFrame, parse: Callable[[Column], Column] = parsed_page) -> DataFrame:
+    """Each page's title and Markdown, or the ``error`` that its parsing ended with; one page's failure leaves the others.
+
+    The Markdown begins with a first-level heading or is empty. ``parse`` gives a struct of value and error.
+    """
+    got = pages.select("page_id", "url", parse(F.col("html")).alias("_r"))
+    body = F.col("_r.value.body")
+    title = _title(F.col("_r.value"), F.col("url"))
+    headed = F.when((body == "") | F.startswith(body, F.lit("# ")), body).otherwise(F.concat(F.lit("# "), title, F.lit("\n\n"), body))
+    fine = F.col("_r.error").isNull()
+    return got.select("page_id", "url", F.when(fine, title).alias("title"), F.when(fine, headed).alias("markdown"), F.col("_r.error").alias("error"))
 
 
 def page_markdown(pages: DataFrame) -> DataFrame:
-    """Each page's title and Markdown; the Markdown begins with a first-level heading or is empty."""
-    title = page_title(without_noise(F.coalesce("html", F.lit(""))), F.col("url"))
-    body = pages.select("page_id", "url", title.alias("title"), _outlines(F.coalesce("html", F.lit(""))).alias("_md"))
-    headed = F.when((F.col("_md") == "") | F.startswith(F.col("_md"), F.lit("# ")), F.col("_md"))
-    return body.select("page_id", "url", "title", headed.otherwise(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("_md"))).alias("markdown"))
+    """Each page's title and Markdown; pages that can't be parsed are left out, ``page_results`` has them."""
+    return good_rows(page_results(pages))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -241,24 +261,53 @@ def heading_mark(line: Column, size: Column, median: Column) -> Column:
 def word_lines(words: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     """Words (page, text, x, top, bottom, size) gathered to lines by their height on the page.
 
-    Words within a table's box (page, x0, x1, top, bottom) are left out. Lines come
+    With a column ``doc`` in ``words``, and in ``boxes``, pages are told apart by document. Words whose middle lies within a table's
+    box (page, x0, x1, top, bottom) are left out; a word's right end is in ``x1``, or it ends where it begins. Lines come
     with their mean size and the gap to the line above.
     """
+    by = [c for c in ("doc", "page") if c in words.columns]
+    right = F.coalesce("x1", "x") if "x1" in words.columns else F.col("x")
+    middle = words.withColumns({"_mx": (F.col("x") + right) / 2, "_my": (F.col("top") + F.col("bottom")) / 2})
     if boxes is not None:
-        b = boxes.select(F.col("page").alias("_p"), "x0", "x1", F.col("top").alias("_t"), F.col("bottom").alias("_b"))
-        inside = (F.col("page") == F.col("_p")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("top").between(F.col("_t"), F.col("_b"))
-        words = words.join(b, inside, "left_anti")
+        b = boxes.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("top").alias("_t"), F.col("bottom").alias("_b"))
+        same = reduce(and_, [F.col(c) == F.col(f"_{c}") for c in by])
+        middle = middle.join(b, same & F.col("_mx").between(F.col("_x0"), F.col("_x1")) & F.col("_my").between(F.col("_t"), F.col("_b")), "left_anti")
     row = (F.bround(F.col("top") / 2) * 2).alias("row")
     placed = F.array_sort(F.collect_list(F.struct("x", "text")))
-    lines = words.groupBy("page", row).agg(
-        F.array_join(F.transform(placed, lambda w: w["text"]), " ").alias("line"), F.avg("size").alias("size"), F.max("bottom").alias("bottom")
+    lines = middle.groupBy(*by, row).agg(
+        F.array_join(F.transform(placed, lambda w: w["text"]), " ").alias("line"), F.avg("size").alias("size"), F.max_by("bottom", F.struct("x", "text")).alias("bottom")
     )
-    above = F.lag("bottom").over(Window.partitionBy("page").orderBy("row"))
+    above = F.lag("bottom").over(Window.partitionBy(*by).orderBy("row"))
     return lines.withColumn("gap", F.col("row") - above)
 
 
+#: What begins an item of a list: a bullet, or a marker.
+BULLET, MARKER = r"^[•·▪▸\-]\s", r"^(\w\)|\d+[.)])\s"
+
+
 def is_list_item(line: Column) -> Column:
-    return strings.strip(line).rlike(r"(?U)^([•·▪◦‣–-]\s+|[a-zA-Z]\)\s+|\d+[.)]\s+)")
+    text = strings.strip(line)
+    return text.rlike("(?U)" + BULLET) | text.rlike("(?U)" + MARKER)
+
+
+def list_line(line: Column) -> Column:
+    """A line as Markdown: an item begins with a hyphen, which takes a bullet's place and stands before a marker; others stay."""
+    text = strings.strip(line)
+    bare = F.concat(F.lit("- "), strings.strip(F.substr(text, F.lit(3))))
+    return F.when(text.rlike("(?U)" + BULLET), bare).when(text.rlike("(?U)" + MARKER), F.concat(F.lit("- "), text)).otherwise(line)
+
+
+def page_text(lines: DataFrame) -> DataFrame:
+    """Lines of ``word_lines`` as each page's Markdown in ``text``: headings by the document's or page's median size, items, and a blank
+    line where the gap is over one and a half median sizes."""
+    by = [c for c in ("doc", "page") if c in lines.columns]
+    medians = lines.groupBy(*by).agg(upper_median_of("size").alias("_median"))
+    rows = lines.join(medians, by)
+    mark = heading_mark(F.col("line"), F.col("size"), F.col("_median"))
+    shown = F.when(mark.isNotNull(), F.concat(F.lit("\n"), mark, F.lit(" "), strings.strip(F.col("line")), F.lit("\n"))).otherwise(list_line(F.col("line")))
+    spaced = F.concat(F.when(F.col("gap") > F.col("_median") * 1.5, F.lit("\n")).otherwise(F.lit("")), shown)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("row").alias("r"), spaced.alias("t"))))
+    return rows.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("text"))
 
 
 def joined_pages(pages: DataFrame, key: str = "doc", page: str = "page", text: str = "text") -> DataFrame:
@@ -278,13 +327,13 @@ def document_title(markdown: Column, stem: Column) -> Column:
     return strings.first_given(heading, strings.strip(F.regexp_replace(plain, "[_-]", " ")))
 
 
-def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A text cut at its headings of levels 1 to 3, each section with the headings above it.
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """A text cut at its headings of levels 1 to 3, each section with the headings above it, and with the ``carried`` columns of its text.
 
     Headings within fenced code are text. A heading's line stays in its section.
     """
     in_order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = docs.select(key, F.posexplode(strings.split_lines(F.col(text))).alias("pos", "line"))
+    lines = docs.select(key, *carried, F.posexplode(strings.split_lines(F.col(text))).alias("pos", "line"))
     fenced = F.sum(F.col("line").rlike(r"^\s*(```|~~~)").cast("int")).over(in_order) % 2 == 1
     level = F.when(~fenced, F.nullif(F.length(F.regexp_extract("line", r"^\s*(#{1,3})\s+\S", 1)), F.lit(0)))
     lines = lines.withColumn("_level", level)
@@ -302,7 +351,7 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     body = F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")
     return (
-        lines.groupBy(key, "_section")
+        lines.groupBy(key, "_section", *carried)
         .agg(*[F.first(f"header_{n}").alias(f"header_{n}") for n in (1, 2, 3)], strings.strip(body).alias("text"))
         .filter(F.col("text") != "")
         .withColumnRenamed("_section", "section_no")
@@ -356,22 +405,32 @@ def _cuts(text: pd.Series) -> pd.Series:
     return text.map(lambda t: cut(t or ""))
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Chunks of each text with their section and their place in it.
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """Chunks of each text with their section and their place in it, and with the ``carried`` columns, such as title, source_file and source_url.
 
     The place is given before short chunks go, so it may have gaps. Sections
     within the limit skip the splitter.
     """
-    parts = sections(docs, key, text).withColumn("section", section_path(*[F.col(f"header_{n}") for n in (1, 2, 3)]))
+    parts = sections(docs, key, text, carried).withColumn("section", section_path(*[F.col(f"header_{n}") for n in (1, 2, 3)]))
     pieces = F.when(F.char_length("text") > MOST, _cuts(F.col("text"))).otherwise(F.array("text"))
     return (
-        parts.select(key, "section_no", "section", F.posexplode(pieces).alias("chunk_index", "chunk"))
+        parts.select(key, *carried, "section_no", "section", F.posexplode(pieces).alias("chunk_index", "chunk"))
         .withColumn("chunk", strings.strip(F.col("chunk")))
         .filter(F.char_length("chunk") >= LEAST)
         .withColumn("id", F.sha2("chunk", 256))
     )
 
 
+def file_chunks(files: DataFrame, sources: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    """Chunks of Markdown files with title, source_file and source_url: the URL known for the PDF of the same stem, else for the file, else empty.
+
+    ``sources`` has name and url, as ``url_maps`` reads them.
+    """
+    titled = files.select(F.col(name).alias("name"), F.col(text).alias("text")).withColumn("title", document_title(F.col("text"), F.regexp_replace("name", r"\.md$", "")))
+    known = with_url(titled, sources).withColumnRenamed("name", "source_file")
+    return chunks(known, "source_file", "text", ("title", "source_url"))
+
+
 def facts(files: DataFrame, text: str = "value") -> DataFrame:
     """One chunk per line that isn't blank, numbered by its place among these."""
     kept = F.filter(F.transform(strings.split_lines(F.col(text)), strings.strip), lambda x: x != "")

@@ -57,14 +57,27 @@ def nearest(
     for i in range(parts):
         block = vectors if few else vectors.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) == i)
         pairs = collection.select(key, vector).join(F.broadcast(block)).select(*by, key, METRICS[metric](F.col(vector), F.col("_q")).alias("distance"))
-        sliced = pairs.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
-        partial = Window.partitionBy(*by, "_slice").orderBy(F.asc_nulls_last("distance"), key)
-        best = sliced.withColumn("_r", F.row_number().over(partial)).filter(F.col("_r") <= k).drop("_r", "_slice")
+        best = _in_slices(pairs, by, key, k, slices)
         found = best if found is None else found.unionByName(best)
+    return _ranked(found, by, key, k)
+
+
+def _in_slices(pairs: DataFrame, by: list[str], key: str, k: int, slices: int) -> DataFrame:
+    sliced = pairs.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
+    partial = Window.partitionBy(*by, "_slice").orderBy(F.asc_nulls_last("distance"), key)
+    return sliced.withColumn("_r", F.row_number().over(partial)).filter(F.col("_r") <= k).drop("_r", "_slice")
+
+
+def _ranked(found: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
     final = Window.partitionBy(*by).orderBy(F.asc_nulls_last("distance"), key)
     return found.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k)
 
 
+def best_of_slices(pairs: DataFrame, by: list[str], key: str, k: int, slices: int = 64) -> DataFrame:
+    """The ``k`` pairs of least distance per question, ties by key: the best of each slice, and of these the best."""
+    return _ranked(_in_slices(pairs, by, key, k, slices), by, key, k)
+
+
 def merge_queries(hits: DataFrame, most: float = 0.75, question: str = "question_id", content: str = "content_id") -> DataFrame:
     """Candidates of each question: hits of its queries within the distance, first seen per content.
 

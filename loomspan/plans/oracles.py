@@ -75,8 +75,12 @@ _NOISE = (
 )
 
 
-def _cleaned(text: str) -> str:
-    for pattern in _NOISE:
+#: The same lines of an institution as the query's.
+_OWN_NOISE = (r"(?i)^\s*Acme Institute\s*$", r"(?i)^\s*12 main street.*$", r"(?i)^\s*acme,?\s+\d{1,2} of \w+\s*$")
+
+
+def _cleaned(text: str, more: tuple[str, ...] = ()) -> str:
+    for pattern in (*_NOISE, *more):
         text = f"regexp_replace({text}, '(?m){pattern}', '', 'g')"
     return rf"regexp_replace({text}, '\n{{3,}}', chr(10) || chr(10), 'g')"
 
@@ -98,13 +102,35 @@ _LISTED = """
                                CASE WHEN any_value(d) < 2 THEN '' WHEN any_value(d) = 2 THEN '  [sin nueva admisión]' ELSE '  [EXTINTO]' END AS suffix, any_value(d) AS d
                         FROM r SEMI JOIN b USING (title, d) GROUP BY title)"""
 
+#: Orders' lines as plans, with their states and regulations.
+_CATALOGUE = """
+             p AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS line FROM lineitem),
+             s AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS line, l_linestatus AS estado FROM lineitem WHERE l_linestatus IN (SELECT o_orderstatus FROM orders)),
+             f AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS line, l_returnflag FROM lineitem WHERE l_returnflag <> 'N')"""
+
 #: Character references that the pages have.
 _DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
 
+#: What stands before the fragments in a prompt, as the engine has it.
+_FRAGMENTS = (
+    "── FRAGMENTOS DE DOCUMENTOS (contexto de apoyo) ──────────────\n"
+    "Usa estos fragmentos para complementar la respuesta, pero en caso\n"
+    "de contradicción, los DATOS DEL GRAFO tienen prioridad absoluta.\n"
+    "───────────────────────────────────────────────────────────────"
+)
+
 ORACLES: dict[str, str] = {
     "knn_cosine": _search(_COSINE),
     "knn_l2sq": _search("pow(list_distance(v.e, q.e), 2)"),
     "knn_ip": _search("1 - list_dot_product(v.e, q.e)"),
+    "knn_inverted_file": f"""
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+             c AS (SELECT v.vec_id, q.vec_id AS cell, row_number() OVER (PARTITION BY v.vec_id ORDER BY round({_COSINE}, 12), q.vec_id) AS place FROM v, v q WHERE q.vec_id % 50 = 0),
+             p AS (SELECT q.vec_id AS question_id, v.vec_id, {_COSINE} AS distance FROM v, v q WHERE q.vec_id % 100 = 0
+                   AND EXISTS (SELECT 1 FROM c a JOIN c b USING (cell) WHERE a.vec_id = q.vec_id AND a.place <= 6 AND b.vec_id = v.vec_id AND b.place = 1)),
+             r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, vec_id) AS rank FROM p)
+        SELECT question_id, vec_id, round(distance, 6) + 0.0 AS distance, rank FROM r WHERE rank <= 12
+    """,
     "retrieve_multiquery": f"WITH {_CANDIDATES} SELECT question_id, vec_id, round(distance, 6) + 0.0 AS distance, position FROM c",
     "retrieve_topk_cut": f"""
         WITH {_CANDIDATES},
@@ -186,14 +212,32 @@ ORACLES: dict[str, str] = {
         FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON o.k = n_nationkey
     """,
     "graph_search": """
-        WITH q AS (SELECT c_custkey AS question_id, lower('about ' || c_mktsegment || ' near NATION_' || c_nationkey) AS q FROM customer),
+        WITH a AS (SELECT c_custkey AS question_id, 'about ' || c_mktsegment || ' near NATION_' || c_nationkey AS about FROM customer),
+             q AS (SELECT question_id, lower(CASE WHEN question_id % 8 = 0 THEN 'more of it Usuario: ' || about WHEN question_id % 4 = 0 THEN 'more of it' ELSE about END) AS q FROM a),
+             w AS (SELECT 'HEAD' || chr(10) || chr(10) || 'TITULACIONES EN LA ETSII (UMA):' || chr(10) || string_agg('  • ' || n_name || ' (Grado) — 240 ECTS, 4 años', chr(10) ORDER BY n_name) AS listing FROM nation),
              e AS (SELECT question_id, contains(q, 'household') AS whole, list_filter(['nation_1', 'nation_2'], lambda x: contains(q, x)) AS dw, list_filter(['building'], lambda x: contains(q, x)) AS rw FROM q),
              d AS (SELECT question_id, string_agg('D ' || n_name, chr(10) || chr(10) ORDER BY n_nationkey) AS t FROM e, nation WHERE len(list_filter(dw, lambda x: contains(lower(n_name), x))) > 0 GROUP BY 1),
              r AS (SELECT question_id, string_agg('R ' || r_name, chr(10) || chr(10) ORDER BY r_regionkey) AS t FROM e, region
                    WHERE len(list_filter(list_concat(rw, dw), lambda x: contains(lower(r_name) || ' building ' || CASE WHEN r_regionkey % 2 = 0 THEN 'nation_1' ELSE 'nation_2' END, x))) > 0 GROUP BY 1),
              b AS (SELECT question_id, concat_ws(chr(10) || chr(10), '═══ TITULACIONES ═══' || chr(10) || d.t, '═══ NORMATIVA ═══' || chr(10) || r.t) AS block FROM e LEFT JOIN d USING (question_id) LEFT JOIN r USING (question_id))
-        SELECT question_id, CASE WHEN whole THEN 'HEAD' || chr(10) || chr(10) || 'all of it' WHEN block <> '' THEN 'HEAD' || chr(10) || chr(10) || block END AS graph_context FROM e JOIN b USING (question_id)
-    """,
+        SELECT question_id, CASE WHEN whole THEN listing WHEN block <> '' THEN 'HEAD' || chr(10) || chr(10) || block END AS graph_context FROM e JOIN b USING (question_id), w
+    """,
+    "graph_containment": """
+        WITH k AS (SELECT DISTINCT word AS keyword FROM (SELECT unnest(string_split_regex(text, '[^A-Za-z]+')) AS word FROM benchmark) WHERE length(word) >= 7)
+        SELECT conv_id, turn, keyword FROM conversations JOIN k ON contains(lower(text), lower(keyword))
+    """,
+    "graph_catalogue": f"""
+        WITH {_CATALOGUE}
+        SELECT 'node' AS kind, 'ETSI' AS name, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'node', 'Titulacion', count(*) FROM orders
+        UNION ALL SELECT 'node', 'PlanEstudio', count(*) FROM p UNION ALL SELECT 'node', 'DistribucionCreditos', count(*) FROM p WHERE line % 3 = 0
+        UNION ALL SELECT 'node', 'Mencion', count(*) FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT 'node', 'Estado', count(DISTINCT o_orderstatus) FROM orders
+        UNION ALL SELECT 'node', 'Universidad', count(*) FROM region UNION ALL SELECT 'node', 'Normativa', count(DISTINCT l_returnflag) FROM lineitem WHERE l_returnflag <> 'N'
+        UNION ALL SELECT 'edge', 'IMPARTE', count(*) FROM orders UNION ALL SELECT 'edge', 'TIENE_PLAN', count(*) FROM p UNION ALL SELECT 'edge', 'TIENE_ESTADO', count(*) FROM s
+        UNION ALL SELECT 'edge', 'TIENE_DISTRIBUCION', count(*) FROM p WHERE line % 3 = 0 UNION ALL SELECT 'edge', 'REGULADO_POR', count(*) FROM f
+        UNION ALL SELECT 'edge', 'APLICA_A', count(*) FROM f UNION ALL SELECT 'edge', 'OFERTA_MENCION', count(*) FROM orders WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT 'edge', 'IMPARTE_CON', count(*) FROM orders WHERE o_custkey % 7 < 5
+    """,
+    "graph_states": f"WITH {_CATALOGUE} SELECT o_orderpriority AS titulo, k || '-' || line AS plan, estado FROM s JOIN orders ON o_orderkey = k",
     "graph_counts": """
         SELECT 'node' AS kind, 'region' AS name, count(*) AS n FROM region UNION ALL SELECT 'node', 'nation', count(*) FROM nation
         UNION ALL SELECT 'node', 'customer', count(*) FROM customer UNION ALL SELECT 'node', 'supplier', count(*) FROM supplier
@@ -237,6 +281,18 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT page_id, link FROM r
         WHERE NOT regexp_matches(lower(link), '\.(jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|zip|rar|exe|css|js|xml|json)$')
     """,
+    "page_links_cleaned": r"""
+        WITH a AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS root, regexp_replace(url, '[?#].*$', '') AS base,
+                          trim(unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1))) AS href FROM pages WHERE page_id % 2 = 0),
+             r AS (SELECT page_id, regexp_replace(CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN starts_with(href, '/') THEN root || href
+                          WHEN starts_with(href, '#') OR starts_with(href, '?') THEN base ELSE regexp_replace(base, '[^/]*$', '') || href END, '[?#].*$', '') AS link
+                   FROM a WHERE href <> '' AND NOT regexp_matches(href, '^(mailto|javascript|tel):'))
+        SELECT DISTINCT page_id, link FROM r
+        WHERE NOT regexp_matches(lower(link), '\.(jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|zip|rar|exe|css|js|xml|json)$')
+    """,
+    "page_failures": """
+        SELECT CASE WHEN contains(url, '?') THEN 'ValueError' WHEN contains(url, '#') THEN 'LookupError' END AS error_class, count(*) AS n FROM pages GROUP BY 1
+    """,
     "line_runs": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS line, unnest(range(len(string_split(regexp_replace(text, '\n$', ''), chr(10))))) AS pos FROM documents),
              s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS st FROM l),
@@ -250,6 +306,16 @@ ORACLES: dict[str, str] = {
         WITH n AS (SELECT doc_id, text || chr(10) || '- ' || (doc_id % 97) || ' -' || repeat(chr(10), 4) || 'end' || chr(10) || 'https://example.org/x' || chr(10) || '=====' || chr(10) || 'last' AS t FROM documents)
         SELECT doc_id, sha256({_STRIP.format(_cleaned("t"))} || chr(10)) AS sha256 FROM n
     """,
+    "clean_own_noise": rf"""
+        WITH n AS (SELECT doc_id, text || chr(10) || '  ACME institute ' || chr(10) || '12 Main Street, ' || lang || chr(10) || 'acme,  3 of May' || chr(10) || 'Acme Institute stays' || chr(10) || 'last' AS t FROM documents)
+        SELECT doc_id, sha256({_STRIP.format(_cleaned("t", _OWN_NOISE))} || chr(10)) AS sha256 FROM n
+    """,
+    "word_lines": """
+        WITH w AS (SELECT p_brand AS doc, p_size AS page, p_name AS text, p_partkey % 7 * 50.0 AS x, p_partkey % 300 * 3.0 AS top, p_partkey % 300 * 3.0 + 10 AS bottom, p_partkey % 5 + 8.0 AS size FROM part),
+             o AS (SELECT *, round_even(CAST(top AS DOUBLE) / 2, 0) * 2 AS row FROM w WHERE NOT (x + 20 BETWEEN 90 AND 240 AND top + 5 BETWEEN 100 AND 500)),
+             l AS (SELECT doc, page, row, string_agg(text, ' ' ORDER BY x, text) AS line, avg(size) AS size, CAST(list(bottom ORDER BY x, text)[-1] AS DOUBLE) AS bottom FROM o GROUP BY 1, 2, 3)
+        SELECT doc, page, row, line, round(size, 6) AS size, round(row - lag(bottom) OVER (PARTITION BY doc, page ORDER BY row), 6) AS gap FROM l
+    """,
     "chunk_stats": """
         SELECT lang, count(*) AS n, CAST(floor(sum(length(text)) / count(*)) AS BIGINT) AS avg_len, max(length(text)) AS max_len, min(length(text)) AS min_len
         FROM documents GROUP BY lang
@@ -275,15 +341,20 @@ ORACLES: dict[str, str] = {
         SELECT question_id, source_key, title, row_number() OVER (PARTITION BY question_id ORDER BY rank, source_key) AS place FROM g
     """,
     "keyword_overlap": r"""
-        WITH i AS (SELECT item_id % 40 AS k, min(item_id) AS item_id, arg_min(text, item_id) AS text FROM benchmark GROUP BY 1),
-             w AS (SELECT k, item_id, list_distinct(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) >= 4), lambda x: lower(x))) AS ws FROM i),
-             d AS (SELECT doc_id, doc_id % 40 AS k, lower(text) AS t FROM documents)
-        SELECT doc_id, item_id, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: contains(t, x))) / len(ws), 3) ELSE 0.0 END AS overlap FROM d JOIN w USING (k)
+        WITH w AS (SELECT item_id, list_distinct(list_transform(list_filter(string_split_regex(text, '\s+'), lambda x: length(x) >= 4), lambda x: lower(x))) AS ws FROM benchmark),
+             d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE doc_id % 100 = 0)
+        SELECT doc_id, item_id, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: contains(t, x))) / len(ws), 3) ELSE 0.0 END AS overlap FROM d, w
     """,
     "error_classes": """
         SELECT error, error IS NULL OR error = 'ConnectionError' OR starts_with(error, 'HTTP') AS has_latency, count(*) AS n
         FROM (SELECT CASE event_id % 7 WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'HTTP 500' WHEN 4 THEN 'bad ' || event_type WHEN 5 THEN 'bad ' || event_type WHEN 6 THEN 'ConnectionError' END AS error FROM events) GROUP BY 1, 2
     """,
+    "log_times": f"""
+        WITH {_LOG}
+        SELECT id, strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("timestamp", '%f') = '000000' THEN '' ELSE '.' || strftime("timestamp", '%f') END AS iso,
+               strftime("timestamp", '%Y-%m-%d %H:%M:%S') AS shown, strftime("timestamp", '%Y%m%d_%H%M%S') AS stamp,
+               round((epoch_us("timestamp") - epoch_us(date_trunc('day', "timestamp"))) / 1e6, 2) AS elapsed_s FROM log
+    """,
     "log_page_object": f"""
         WITH {_LOG}, f AS (SELECT id, "timestamp", feedback FROM log WHERE intent = 'academica' AND is_safe),
              p AS (SELECT * FROM f ORDER BY "timestamp" DESC, id DESC LIMIT 7 OFFSET 14)
@@ -293,20 +364,26 @@ ORACLES: dict[str, str] = {
     "feedback_percent": f"""
         WITH {_LOG} SELECT user_id, coalesce(CAST(floor(avg(feedback) * 100 + 0.5) AS BIGINT) || '%', '—') AS shown FROM log GROUP BY user_id
     """,
-    "ask_outcomes": """
-        WITH q AS (SELECT conv_id AS question_id, CASE WHEN conv_id % 9 = 0 THEN '' ELSE trim(text) END AS question, conv_id % 11 = 0 AS bad FROM conversations WHERE turn = 0),
-             f AS (SELECT doc_id // 7 AS question_id, doc_id % 7 AS rank, lang, source, (n_chars % 100) / 10.0 AS score FROM documents WHERE n_chars < 2000 OR doc_id % 2 = 0),
-             s AS (SELECT question_id, source, min(rank) AS r, arg_min(lang, rank) AS t FROM f WHERE source <> '' GROUP BY 1, 2),
-             t AS (SELECT question_id, string_agg(t, '|' ORDER BY r) AS titles FROM s GROUP BY 1),
-             b AS (SELECT question_id, max(score) AS score FROM f GROUP BY 1),
-             a AS (SELECT question_id, CASE WHEN question = '' THEN 'saludo' WHEN bad THEN 'malicioso' ELSE 'academica' END AS intent, question = '' OR NOT bad AS is_safe,
-                          question_id % 10 = 0 AS g, b.score IS NOT NULL OR question_id % 10 = 0 AS ctx, b.score AS score, titles
-                   FROM q LEFT JOIN t USING (question_id) LEFT JOIN b USING (question_id))
-        SELECT question_id, intent, is_safe, CASE WHEN intent <> 'academica' THEN 'router' WHEN NOT ctx THEN 'none' ELSE 'model' END AS model_name,
-               CASE WHEN intent = 'academica' AND ctx THEN '' WHEN intent = 'academica' THEN 'No dispongo de suficiente contexto para responder a esa pregunta. Prueba a reformularla o consulta con la secretaría de la ETSI Informática.' END AS answer,
-               CASE WHEN intent = 'academica' AND ctx THEN true END AS has_tokens, CASE WHEN intent = 'academica' AND ctx THEN score END AS rerank_score,
-               CASE WHEN intent = 'academica' AND ctx THEN concat_ws('|', CASE WHEN g THEN 'Grafo de Conocimiento ETSI' END, titles) ELSE '' END AS sources
-        FROM a
+    "ask_outcomes": f"""
+        WITH t AS (SELECT *, CASE WHEN role IN ('user', 'human') THEN 'Usuario: ' ELSE 'Asistente: ' END || coalesce(text, '') AS line FROM conversations),
+             q AS (SELECT conv_id * 1000 + turn AS question_id, conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE text END AS question, conv_id % 11 = 0 AS bad,
+                          row_number() OVER (ORDER BY conv_id * 1000 + turn) + 100 AS log_id FROM t WHERE role = 'user'),
+             h AS (SELECT question_id, string_agg(line, chr(10) ORDER BY t.turn) AS history FROM q JOIN t ON t.conv_id = q.conv_id AND t.turn BETWEEN q.turn - 6 AND q.turn - 1 GROUP BY 1),
+             f AS (SELECT doc_id // 7 AS conv_id, doc_id % 7 AS rank, lang, CASE WHEN doc_id % 2 = 0 THEN nullif(source, '') END AS url, CASE WHEN doc_id % 3 = 0 THEN lang END AS file, (n_chars % 100) / 10.0 AS score,
+                          '[' || concat_ws(' | ', 'Documento: ' || nullif(lang, ''), 'Fuente: ' || CASE WHEN doc_id % 2 = 0 THEN nullif(source, '') END) || ']' || chr(10) || coalesce(text, '') AS block FROM documents),
+             c AS (SELECT conv_id, string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, max(score) AS score FROM f GROUP BY 1),
+             s AS (SELECT conv_id, coalesce(url, file) AS k, min(rank) AS r, arg_min(coalesce(lang, '') || '=' || coalesce(url, '-'), rank) AS shown FROM f WHERE coalesce(url, file) IS NOT NULL GROUP BY 1, 2),
+             l AS (SELECT conv_id, string_agg(shown, '|' ORDER BY r) AS shown FROM s GROUP BY 1),
+             a AS (SELECT q.*, CASE WHEN trim(question) = '' THEN 'saludo' WHEN bad THEN 'malicioso' ELSE 'academica' END AS intent, trim(question) = '' OR NOT bad AS is_safe,
+                          context, score, shown, history, CASE WHEN q.conv_id % 10 = 0 THEN 'graph' END AS graph FROM q LEFT JOIN c USING (conv_id) LEFT JOIN l USING (conv_id) LEFT JOIN h USING (question_id)),
+             m AS (SELECT *, intent = 'academica' AS go, context IS NOT NULL OR graph IS NOT NULL AS ctx,
+                          '[other] ' || concat_ws(chr(10) || chr(10), 'Be brief.', history, 'Contexto relevante:' || chr(10) || chr(10) || concat_ws(chr(10) || chr(10), graph, '{_FRAGMENTS}' || chr(10) || chr(10) || context)
+                                                  || chr(10) || chr(10) || 'Pregunta del usuario:' || chr(10) || question) AS prompt FROM a)
+        SELECT question_id, log_id, intent, is_safe, CASE WHEN NOT go THEN 'router' WHEN NOT ctx THEN 'none' ELSE 'model' END AS model_name,
+               CASE WHEN NOT go THEN 'reply to ' || turn WHEN ctx THEN sha256(prompt) ELSE 'No dispongo de suficiente contexto para responder a esa pregunta. Prueba a reformularla o consulta con la secretaría de la ETSI Informática.' END AS answer,
+               CASE WHEN go AND ctx THEN true END AS has_tokens, CASE WHEN go AND ctx THEN score END AS rerank_score, CAST(NULL AS VARCHAR) AS error,
+               CASE WHEN go AND ctx THEN concat_ws('|', CASE WHEN graph IS NOT NULL THEN 'Grafo de Conocimiento ETSI=-' END, shown) ELSE '' END AS sources
+        FROM m
     """,
     "no_context": r"""
         SELECT doc_id, contains(lower(text), 'the of') AS no_context, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n_words FROM documents

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomspan.functions import models, strings, urls
-from loomspan.operators import crawl, evaluation, graph, logs, text, vector
-from loomspan.plans.fixtures import chat_log, eval_results, judged, table
+from loomspan.functions import models, strings, times, urls
+from loomspan.operators import crawl, evaluation, graph, index, isolation, keywords, logs, text, vector
+from loomspan.plans.fixtures import chat_log, degrees_of_orders, eval_results, judged, table
+from loomspan.sources.writers import with_ids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +20,9 @@ HINTS = {"degrees": ["with", "une", "nicht"], "rules": ["that", "para"]}
 PART_WORDS = ["ring", "SMALL"]
 REQUESTS_A_DAY = 5
 SEARCH = {"listing": ["household"], "degrees": ["nation_1", "nation_2"], "rules": ["building"]}
+PROBES = 6
+#: Noise lines of the fixtures' own institution.
+OWN_LINES = (text.line_pattern("Acme Institute"), text.line_pattern("12 main street", more=True), text.body_pattern(r"acme,?\s+\d{1,2} of \w+"))
 
 
 def query(run: Query) -> Query:
@@ -78,6 +82,16 @@ def retrieve_topk_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("question_id", "vec_id", F.col("rank").cast("long").alias("rank"), "rerank_score")
 
 
+@query
+def knn_inverted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``knn_cosine``, in the ``PROBES`` nearest of the cells around every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    centroids = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("cell"), F.col("embedding").alias("centroid"))
+    asked = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query"))
+    found = index.nearest_in(index.indexed(vectors, centroids), centroids, asked, PROBES)
+    return found.select("question_id", "vec_id", (F.round("distance", 6) + 0.0).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 # ---------------------------------------------------------------- collections
 
 
@@ -248,17 +262,41 @@ def graph_degree_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers ask for nations and segments; some ask for the whole listing."""
-    asked = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("question_id"), F.concat(F.lit("about "), F.col("c_mktsegment"), F.lit(" near NATION_"), F.col("c_nationkey").cast("string")).alias("question")
-    )
-    nations, regions = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    """Customers ask for nations and segments, some for the whole listing; some ask for "it", which what they said before decides."""
+    customers, nations, regions = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    about = F.concat(F.lit("about "), F.col("c_mktsegment"), F.lit(" near NATION_"), F.col("c_nationkey").cast("string"))
+    asked = customers.select(F.col("c_custkey").alias("question_id"), F.when(F.col("c_custkey") % 4 == 0, "more of it").otherwise(about).alias("question"))
+    said = customers.filter("c_custkey % 8 = 0").select(F.col("c_custkey").alias("question_id"), F.concat(F.lit("Usuario: "), about).alias("history"))
     degrees = nations.select(F.col("n_nationkey").alias("place"), F.concat(F.col("n_name"), F.lit(" grado")).alias("haystack"), F.concat(F.lit("D "), F.col("n_name")).alias("text"))
     rules = regions.select(F.col("r_regionkey").alias("place"), F.concat(F.col("r_name"), F.lit(" Building "), F.when(F.col("r_regionkey") % 2 == 0, "nation_1").otherwise("nation_2")).alias("haystack"), F.concat(F.lit("R "), F.col("r_name")).alias("text"))
-    listed = spark.createDataFrame([("all of it",)], "listing string")
+    plans = nations.select(F.col("n_name").alias("title"), F.lit("Vigente").alias("state"), F.lit(2000).alias("year"), F.lit("Grado").alias("kind"), F.lit(240).alias("ects"), F.lit(4).alias("years"))
     return graph.search(
-        asked, degrees, rules, listed, models.asks_for_listing(F.col("question"), SEARCH["listing"]), models.entities(F.col("question"), SEARCH["degrees"], SEARCH["rules"]), "HEAD"
-    )
+        asked, degrees, rules, graph.listing_text(graph.listing(plans)), lambda q: models.asks_for_listing(q, SEARCH["listing"]), lambda q: models.entities(q, SEARCH["degrees"], SEARCH["rules"]), "HEAD",
+        history=said, rewrite=lambda history, question: F.concat(question, F.lit(" "), history),
+    )
+
+
+@query
+def graph_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which turns of conversations contain which of the longer words of the benchmark."""
+    turns = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("text_id"), "text")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("keyword")).filter(F.length("keyword") >= 7).distinct()
+    return keywords.containments(turns, words).select("text_id.*", "keyword")
+
+
+@query
+def graph_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as degrees and their lines as plans, by the declared kinds and relations: how many nodes and edges there are of each."""
+    made = graph.catalogue(*degrees_of_orders(spark, sf_dir))
+    edges = made.pop("edges")
+    nodes = graph.count_nodes(**made).select(F.lit("node").alias("kind"), F.col("label").alias("name"), "n")
+    return nodes.unionByName(graph.count_edges(edges).select(F.lit("edge").alias("kind"), F.col("rel").alias("name"), "n"))
+
+
+@query
+def graph_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's listing of states."""
+    return graph.plan_states(graph.catalogue(*degrees_of_orders(spark, sf_dir)))
 
 
 @query
@@ -329,6 +367,30 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.page_links(table(spark, sf_dir, "pages"), before_cleaning=True)
 
 
+@query
+def page_links_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that are left after cleaning, of pages whose menus of even id are no noise; one of the menu's links is commented out."""
+    opened = F.when(F.col("page_id") % 2 == 0, F.replace(F.replace("html", F.lit("<nav>"), F.lit("<div>")), F.lit("</nav>"), F.lit("</div>"))).otherwise(F.col("html"))
+    commented = F.regexp_replace(opened, '<li><a href="(/[A-Za-z]*)">(.*?)</a></li></ul>', "<!-- <a href=/gone>x</a> --><li><a href=$1>$2</a></li></ul>")
+    return text.page_links(table(spark, sf_dir, "pages").withColumn("html", commented))
+
+
+@query
+def page_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strict parser refuses pages whose address has a query or a fragment: how many fail, and of what; the others are parsed."""
+
+    def strict(page: str) -> dict:
+        url, html = page.split("\n", 1)
+        if "?" in url:
+            raise ValueError(f"a query in {url}")
+        if "#" in url:
+            raise LookupError(f"a fragment in {url}")
+        return text.parsed(html)
+
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("url", F.lit("\n"), "html"))
+    return isolation.failure_counts(text.page_results(pages, isolation.isolated(strict, text.PARSED)))
+
+
 @query
 def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.page_markdown(table(spark, sf_dir, "pages"))
@@ -336,8 +398,8 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = text.page_markdown(table(spark, sf_dir, "pages"))
-    return text.chunks(pages, "page_id", "markdown")
+    pages = text.page_markdown(table(spark, sf_dir, "pages")).withColumnRenamed("url", "source_url")
+    return text.chunks(pages, "page_id", "markdown", ("title", "source_url"))
 
 
 # ---------------------------------------------------------------- texts
@@ -356,6 +418,23 @@ def clean_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.finish(text.clean_noise(noisy)), 256).alias("sha256"))
 
 
+@query
+def clean_own_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``clean_noise``, with an institution's own lines."""
+    noisy = F.concat(F.col("text"), F.lit("\n  ACME institute \n12 Main Street, "), F.col("lang"), F.lit("\nacme,  3 of May\nAcme Institute stays\nlast"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.finish(text.clean_noise(noisy, (*text.NOISE_LINES, *OWN_LINES))), 256).alias("sha256"))
+
+
+@query
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names as words on the pages of their brand's document, a table's box in each: the lines outside of it."""
+    parts = table(spark, sf_dir, "part")
+    top = (F.col("p_partkey") % 300 * 3.0).alias("top")
+    words = parts.select(F.col("p_brand").alias("doc"), F.col("p_size").alias("page"), F.col("p_name").alias("text"), (F.col("p_partkey") % 7 * 50.0).alias("x"), (F.col("p_partkey") % 7 * 50.0 + 40).alias("x1"), top, (top + 10).alias("bottom"), (F.col("p_partkey") % 5 + 8.0).alias("size"))
+    boxes = words.groupBy("doc", "page").agg(F.lit(90.0).alias("x0"), F.lit(240.0).alias("x1"), F.lit(100.0).alias("top"), F.lit(500.0).alias("bottom"))
+    return text.word_lines(words, boxes).select("doc", "page", "row", "line", F.round("size", 6).alias("size"), F.round("gap", 6).alias("gap"))
+
+
 @query
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(*text.chunk_lengths(F.char_length("text")))
@@ -399,11 +478,10 @@ def source_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyword_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an answer to one benchmark item, dealt by their ids' remainders."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 40).alias("_k"), F.col("text").alias("reference"))
-    reference = items.groupBy("_k").agg(F.min_by("item_id", "item_id").alias("item_id"), F.min_by("reference", "item_id").alias("reference"))
-    answers = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 40).alias("_k"), F.col("text").alias("answer"))
-    return answers.join(reference, "_k").select("doc_id", "item_id", evaluation.keyword_overlap(F.col("reference"), F.col("answer")).alias("overlap"))
+    """Every hundredth document as an answer to each of the benchmark's items."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("reference"))
+    answers = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select("doc_id", F.col("text").alias("answer"))
+    return evaluation.overlaps(answers, items, "doc_id", "item_id")
 
 
 @query
@@ -416,6 +494,13 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("error", "has_latency").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def log_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interactions' times as they are logged and shown, and the seconds since the day's beginning."""
+    at = F.col("timestamp")
+    return chat_log(spark, sf_dir).select("id", times.iso_format(at).alias("iso"), times.shown_time(at).alias("shown"), times.stamp(at).alias("stamp"), times.elapsed(F.date_trunc("day", at), at).alias("elapsed_s"))
+
+
 @query
 def log_page_object(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = logs.page_object(chat_log(spark, sf_dir), 3, 7, logs.log_filter(intent="academica", is_safe=True))
@@ -429,23 +514,33 @@ def feedback_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_user.select("user_id", logs.feedback_percent(F.col("_a")).alias("shown"))
 
 
+class _Digests(models.RuleProvider):
+    """A model whose answer is the digest of all that it is told."""
+
+    def answer(self, prompt: Column) -> Column:
+        return F.sha2(prompt, 256)
+
+
 @query
 def ask_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' first turns as questions, documents as their fragments; every tenth has graph data."""
-    turns = table(spark, sf_dir, "conversations").filter("turn = 0")
-    questions = turns.select(
-        F.col("conv_id").alias("question_id"), F.when(F.col("conv_id") % 9 == 0, " ").otherwise(F.col("text")).alias("question"),
-        F.when(F.col("conv_id") % 11 == 0, "malicioso").alias("label"), F.lit(None).cast("boolean").alias("safe"),
+    """Conversations' user turns as questions, what was said before as their history, documents as fragments; every tenth conversation has graph data."""
+    turns = table(spark, sf_dir, "conversations")
+    questions = turns.filter("role = 'user'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "conv_id", "turn", F.when(F.col("conv_id") % 9 == 0, " ").otherwise(F.col("text")).alias("question"),
+        F.when(F.col("conv_id") % 11 == 0, "malicioso").alias("label"), F.concat(F.lit("reply to "), F.col("turn").cast("string")).alias("reply"),
     )
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 2000 OR doc_id % 2 = 0")
+    said = models.histories(questions, turns)
     none = F.lit(None).cast("string")
-    fragments = docs.select(
-        F.floor(F.col("doc_id") / 7).alias("question_id"), (F.col("doc_id") % 7).alias("rank"), F.col("lang").alias("title"), none.alias("legacy_title"), F.col("source").alias("url"),
-        none.alias("source_file"), none.alias("source"), none.alias("section"), "text", (F.col("n_chars") % 100 / 10.0).alias("score"),
-    )
-    graph_of = questions.filter("question_id % 10 = 0").select("question_id", F.lit("graph").alias("graph_context"))
-    asked = models.ask(questions, fragments, graph_of)
-    return asked.select("question_id", "intent", "is_safe", "model_name", "answer", (F.col("tokens_used") > 0).alias("has_tokens"), "rerank_score", F.array_join("sources", "|").alias("sources"))
+    # Documents go by their number's seventh part to the questions of that conversation.
+    fragments = table(spark, sf_dir, "documents").select(
+        F.floor(F.col("doc_id") / 7).alias("conv_id"), (F.col("doc_id") % 7).alias("rank"), F.col("lang").alias("title"), none.alias("legacy_title"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("url"),
+        none.alias("source_file"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("source_path"), none.alias("source"), none.alias("section"), "text", (F.col("n_chars") % 100 / 10.0).alias("score"),
+    ).join(questions.select("conv_id", "question_id"), "conv_id").drop("conv_id")
+    graph_of = questions.filter("conv_id % 10 = 0").select("question_id", F.lit("graph").alias("graph_context"))
+    asked = models.ask(questions, fragments, graph_of, provider=_Digests(), history=said, config={"system_prompt": "Be brief.", "model_name": "other"})
+    shown = F.array_join(F.transform("sources", lambda x: F.concat(x["title"], F.lit("="), F.coalesce(x["url"], F.lit("-")))), "|")
+    numbered = with_ids(asked, "question_id", last_id=100, name="log_id")
+    return numbered.select("question_id", "log_id", "intent", "is_safe", "model_name", "answer", (F.col("tokens_used") > 0).alias("has_tokens"), "rerank_score", "error", shown.alias("sources"))
 
 
 @query

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspan.functions.strings import first_given
+from loomspan.operators.isolation import isolated
+from loomspan.sources.snapshots import Snapshots
 
 
 def markdown_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +26,48 @@ def binary_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataF
     return read.select(F.col("_metadata.file_name").alias("name"), F.sha2("content", 256).alias("sha256"), "content")
 
 
+_PAGES = (
+    "array<struct<page:int,words:array<struct<text:string,x:double,x1:double,top:double,bottom:double,size:double>>,"
+    "tables:array<struct<x0:double,x1:double,top:double,bottom:double,rows:array<array<string>>>>>>"
+)
+
+
+def _pages(content: bytes) -> list[dict]:
+    """A landed document's pages: its words, with their size or none, and its tables with their boxes and cells."""
+    given = lambda x, *names: {n: float(x[n]) for n in names}
+    pages = []
+    for i, page in enumerate(json.loads(content)["pages"], 1):
+        words = [{"text": w["text"], "x": float(w["x0"]), "size": None if w.get("size") is None else float(w["size"]), **given(w, "x1", "top", "bottom")} for w in page.get("words") or []]
+        tables = [{**given(t, "x0", "x1", "top", "bottom"), "rows": [[None if c is None else str(c) for c in r] for r in t["rows"]]} for t in page.get("tables") or []]
+        pages.append({"page": i, "words": words, "tables": tables})
+    return pages
+
+
+def page_words(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+    """Landed documents (a JSON file each: ``pages``, each with ``words`` of text, x0, x1, top, bottom, size, and ``tables`` of a box
+    and rows) as ``doc`` (the file's stem), ``sha256``, ``pages`` and ``error``.
+
+    A file that can't be read as such is a row with an error. Files are split over tasks by size, and read by whatever store they are in.
+    """
+    files = binary_files(spark, folder, glob)
+    parsed = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("doc"), "sha256", isolated(_pages, _PAGES)(F.col("content")).alias("_r"))
+    return parsed.select("doc", "sha256", F.col("_r.value").alias("pages"), F.col("_r.error").alias("error"))
+
+
+def words_of(documents: DataFrame) -> DataFrame:
+    """The words of ``page_words``: doc, page, text, x, x1, top, bottom, size."""
+    return documents.select("doc", F.explode("pages").alias("_p")).select("doc", "_p.page", F.explode("_p.words").alias("_w")).select("doc", "page", "_w.*")
+
+
+def tables_of(documents: DataFrame) -> DataFrame:
+    """The tables of ``page_words``: doc, page, the box, and rows."""
+    return documents.select("doc", F.explode("pages").alias("_p")).select("doc", "_p.page", F.explode("_p.tables").alias("_t")).select("doc", "page", "_t.*")
+
+
+def boxes_of(documents: DataFrame) -> DataFrame:
+    return tables_of(documents).drop("rows")
+
+
 def url_maps(spark: SparkSession, pdf_map: str | None, web_map: str | None) -> DataFrame:
     """File name and URL from two JSON objects; the second, of plain strings, overrides the first."""
     value = T.MapType(T.StringType(), T.StringType())
@@ -98,7 +144,12 @@ def log_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def collection(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored collection, empty where none has been written yet."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """A stored collection's last version, empty where none has been written yet."""
+    return Snapshots(spark, path).read("rows", schema)
+
+
+def graph(spark: SparkSession, path: str, label: str | None = None) -> DataFrame:
+    """Nodes of a label, or the edges, of a stored graph's last version."""
+    store = Snapshots(spark, path)
+    name = "edges" if label is None else f"nodes_{label}"
+    return store.read(name, store.schema(name))

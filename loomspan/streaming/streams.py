@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomspan.operators.logs import over_limit
+from loomspan.sources.snapshots import Snapshots
 
 
 def rate_limited(requests: DataFrame, most: int, window: str = "1 minute", late: str = "2 minutes", key: str = "user_id", at: str = "ts") -> DataFrame:
@@ -41,6 +42,45 @@ def latest(updates: DataFrame, key: str = "id", order: str = "seq") -> DataFrame
     return updates.groupBy(key).agg(F.max_by(F.struct(*updates.columns), order).alias("_r")).select("_r.*")
 
 
+def converted_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
+    """A stream of a growing folder's files with their digests: name, sha256, content."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", glob).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def convert_new(path: str, convert: Callable[[DataFrame], DataFrame], force: bool = False) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that converts each content once and keeps a manifest of what it has converted.
+
+    ``convert`` takes rows of name, sha256 and content and returns rows with name and sha256 that have a null in ``error`` where they
+    were converted; its result goes to ``path/output``. The manifest (``path/manifest``: name, sha256, error) holds what a
+    batch has tried; a content with an error is tried again when its file comes again. Both have a folder per batch, the manifest's written last.
+    A batch that is run again after a failure replaces both, and doesn't take its own earlier try as done.
+    With ``force`` all files of a batch are converted.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        manifest = Snapshots(spark, f"{path}/manifest")
+        done = manifest.read("files", "name string, sha256 string, error string, batch long").filter(F.col("error").isNull() & (F.col("batch") != number))
+        first = batch.groupBy("sha256").agg(F.min_by(F.struct("name", "content"), "name").alias("_f")).select("_f.name", "sha256", "_f.content")
+        new = first if force else first.join(done.select("sha256").distinct(), "sha256", "left_anti")
+        made = convert(new)
+        made.write.mode("overwrite").parquet(f"{path}/output/batch={number}")
+        tried = spark.read.schema(made.schema).parquet(f"{path}/output/batch={number}").select("name", "sha256", "error", F.lit(number).cast("long").alias("batch"))
+        if manifest.read("files", tried.schema).filter(F.col("batch") == number).isEmpty():
+            manifest.write(more=True, files=tried)
+
+    return write
+
+
+def convert_folder(spark: SparkSession, folder: str, path: str, convert: Callable[[DataFrame], DataFrame], glob: str = "*.pdf", force: bool = False) -> None:
+    """Convert what is new in a folder and end; called again, it takes up what has come since, or what a killed run has left."""
+    files = converted_files(spark, folder, glob)
+    query = files.writeStream.foreachBatch(convert_new(path, convert, force)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def with_memory(turns: DataFrame, most: int = 6, dropped: int = 2, timeout_ms: int = 3_600_000) -> DataFrame:
     """Each conversation's memory after its latest turns: beyond ``most`` turns the oldest ``dropped`` go."""
 

@@ -42,11 +42,12 @@ def test_collections_and_logs(spark, tmp_path):
     path = str(tmp_path / "c")
     row = lambda *r: spark.createDataFrame(list(r), "text string, meta int, pos int")
     writers.upsert_collection(row(("x", 1, 0), ("x", 2, 1)), path)
-    writers.upsert_collection(row(("x", 3, 0), ("y", 4, 1)), path)
-    assert {r.text: r.meta for r in spark.read.parquet(path).collect()} == {"x": 3, "y": 4}
-    assert writers.upsert_collection(row(("z", 9, 0)), path, dry_run=True).count() == 1 and spark.read.parquet(path).count() == 2
-    writers.reset_collection(spark.read.parquet(path).limit(0), str(tmp_path / "d"))
-    assert spark.read.parquet(str(tmp_path / "d")).count() == 0
+    schema = writers.upsert_collection(row(("x", 3, 0), ("y", 4, 1)), path).schema
+    stored = lambda: readers.collection(spark, path, schema)
+    assert {r.text: r.meta for r in stored().collect()} == {"x": 3, "y": 4}
+    assert writers.upsert_collection(row(("z", 9, 0)), path, dry_run=True).count() == 1 and stored().count() == 2
+    writers.reset_collection(stored(), path)
+    assert stored().count() == 0
     log = spark.createDataFrame([(AT + dt.timedelta(seconds=i), f"q{i}") for i in range(20, 0, -1)], "timestamp timestamp_ntz, question string")
     out = writers.append_log(log, str(tmp_path / "log"), last_id=5)
     assert [r.question for r in out.orderBy("id").collect()] == [f"q{i}" for i in range(1, 21)] and sorted(r.id for r in out.collect()) == list(range(6, 26))

@@ -95,7 +95,69 @@ def test_chunks_and_facts(spark):
 
 
 def test_titles_are_decoded(spark):
-    cases = {"<title>A &amp; B</title>": "A & B", "<title>&#65;&#x42;&lt;c&gt;</title>": "AB<c>", "<h1>a &amp;amp; b</h1>": "a &amp; b", "<title>&#; &#999999; &unknown;</title>": "&#; &#999999; &unknown;", "<title> </title>": "u"}
+    cases = {"<title>A &amp; B</title>": "A & B", "<title>&#65;&#x42;&lt;c&gt;</title>": "AB<c>", "<h1>a &amp;amp; b</h1>": "a &amp; b", "<title>&#; &#999999; &unknown;</title>": f"&#; {chr(999999)} &unknown;", "<title>&Eacute;&laquo;&ordm;&iexcl;&#128512;&#38;lt;</title>": "É«º¡😀&lt;", "<title> </title>": "u"}
     rows = spark.createDataFrame([(h,) for h in cases], "h string")
     got = {r.h: r.t for r in rows.select("h", text.page_title(F.col("h"), F.lit("u")).alias("t")).collect()}
     assert got == cases
+
+
+def test_one_parse_gives_links_and_titles():
+    page = text.parsed("""<title>T</title><!-- <a href="gone.html">x</a> --><a href=bare.html>b</a><A HREF='two.html' href='three.html'>c</A><a>none</a><a href>empty</a>
+        <nav><a href="menu.html">m</a></nav><script>var a = '<a href="script.html">';</script><h1> One <b>two</b></h1>""")
+    assert page["links"] == ["bare.html", "two.html", ""] and page["noise_links"] == ["menu.html"] and (page["title"], page["heading"]) == ("T", "Onetwo")
+    assert text.parsed("<a href='a?b=1&amp;c=2'>x</a>")["links"] == ["a?b=1&c=2"]
+
+
+def test_every_reference_is_decoded_as_by_the_standard():
+    import html
+    from html.entities import html5
+
+    names = [n for n in html5 if n.endswith(";")]
+    page = text.parsed("<title>" + " ".join(f"x&{n}x" for n in names) + "</title>")
+    assert page["title"].split() == " ".join(f"x{html.unescape('&' + n)}x" for n in names).split()
+
+
+def test_open_ended_noise_lines(spark):
+    raw = "x\n 12 Main Street, y\nacme, 3 of May\nacme stays\nz"
+    patterns = (*text.NOISE_LINES, text.line_pattern("12 main street", more=True), text.body_pattern(r"acme,\s+\d+ of \w+"))
+    assert [x for x in one(spark, text.clean_noise(F.lit(raw), patterns)).split("\n") if x] == ["x", "acme stays", "z"]
+
+
+def test_items_and_boxes_by_document(spark):
+    items = {"• x": "- x", "▸ y": "- y", "- z": "- z", "a) y": "- a) y", "1) w": "- 1) w", "12. z": "- 12. z", "◦ no": "◦ no", "– no": "– no", "ab) no": "ab) no", "•no": "•no"}
+    assert {k: one(spark, text.list_line(F.lit(k))) for k in items} == items
+    words = spark.createDataFrame([("d", 1, "in", 10.0, 30.0, 10.0, 20.0, 9.0), ("e", 1, "out", 10.0, 30.0, 10.0, 20.0, 9.0), ("d", 1, "edge", 24.0, 60.0, 10.0, 20.0, 9.0)], "doc string, page int, text string, x double, x1 double, top double, bottom double, size double")
+    boxes = spark.createDataFrame([("d", 1, 0.0, 25.0, 0.0, 30.0)], "doc string, page int, x0 double, x1 double, top double, bottom double")
+    assert sorted((r.doc, r.line) for r in text.word_lines(words, boxes).collect()) == [("d", "edge"), ("e", "out")]  # a word's middle counts
+    assert [r.line for r in text.word_lines(words.filter("doc = 'd'")).collect()] == ["in edge"]
+
+
+def test_page_text(spark):
+    rows = [("d", 1, "Title", 5.0, 10.0, 20.0, 20.0), ("d", 1, "• item", 5.0, 30.0, 40.0, 10.0), ("d", 1, "plain", 5.0, 42.0, 52.0, 10.0), ("d", 1, "far", 5.0, 90.0, 100.0, 10.0)]
+    words = spark.createDataFrame(rows, "doc string, page int, text string, x double, top double, bottom double, size double")
+    assert text.page_text(text.word_lines(words)).first().text == "\n# Title\n\n- item\nplain\n\nfar"
+
+
+def test_chunks_carry_their_source(spark):
+    long = "word " * 20
+    files = spark.createDataFrame([("a.md", f"# Title A\n{long}"), ("web__b.md", long)], "name string, text string")
+    sources = spark.createDataFrame([("a.pdf", "https://a"), ("web__b.md", "https://b")], "name string, url string")
+    got = {r.source_file: (r.title, r.source_url, r.section) for r in text.file_chunks(files, sources).collect()}
+    assert got == {"a.md": ("Title A", "https://a", "Title A"), "web__b.md": ("web  b", "https://b", "")}
+
+
+def test_words_of_landed_files(spark, tmp_path):
+    import json
+
+    from loomspan.sources import readers
+
+    word = lambda t, x, top, size=10.0: {"text": t, "x0": x, "x1": x + 10, "top": top, "bottom": top + 10, "size": size}
+    table = {"x0": 0, "x1": 90, "top": 50, "bottom": 90, "rows": [["h", None], ["a", "b"]]}
+    (tmp_path / "one.json").write_text(json.dumps({"pages": [{"words": [word("b", 30, 10), word("a", 5, 10), word("t", 10, 60)], "tables": [table]}, {"words": []}]}))
+    (tmp_path / "two.json").write_text(json.dumps({"pages": [{"words": [word("c", 5, 10)]}]}))
+    (tmp_path / "bad.json").write_text("{")
+    results = readers.page_words(spark, str(tmp_path))
+    assert {r.doc: r.error for r in results.filter("error IS NOT NULL").collect()}.keys() == {"bad"} and results.count() == 3
+    words, boxes, tables = readers.words_of(results), readers.boxes_of(results), readers.tables_of(results)
+    assert sorted((r.doc, r.page, r.line) for r in text.word_lines(words, boxes).collect()) == [("one", 1, "a b"), ("two", 1, "c")]
+    assert [(r.doc, r.page, r.md) for r in tables.select("doc", "page", text.table_rows(F.col("rows")).alias("md")).collect()] == [("one", 1, "| h |  |\n| --- | --- |\n| a | b |")]
