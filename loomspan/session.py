@@ -54,7 +54,23 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/loomspan/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, of which all that depends on them has been written itself."""
+    for table in tables:
+        entry = (table.sparkSession, table._written_at)
+        if entry in _written:
+            _written.remove(entry)
+            _delete(*entry)
 
 
 def release() -> None:
@@ -62,9 +78,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone, and so is any way to reach its store
             pass
 
