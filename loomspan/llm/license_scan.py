@@ -29,7 +29,13 @@ from loomspan.session import materialize
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label -> opening words of a public licence or of its usual notice, and its mandatory key phrases.
+#: Labels and the words of their identifiers after "SPDX-License-Identifier:".
+SPDX = {
+    "agpl-3": "agpl 3 0", "apache-2.0": "apache 2 0", "bsd": "bsd", "cc-by-4.0": "cc by 4 0", "cc-by-nc-4.0": "cc by nc 4 0", "cc-by-sa-4.0": "cc by sa 4 0",
+    "gpl-2": "gpl 2 0", "gpl-3": "gpl 3 0", "lgpl-3": "lgpl 3 0", "mit": "mit", "mpl-2.0": "mpl 2 0", "unlicense": "unlicense",
+}
+
+#: Label -> opening words of a public licence or of its usual notice, and its mandatory key phrases. What follows a "#" is no part of the label.
 TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "agpl-3": ("this work is licensed under the gnu affero general public license version 3", ("affero general public license",)),
     "apache-2.0": ("licensed under the apache license version 2 0", ("apache license", "version 2")),
@@ -45,6 +51,7 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "mpl-2.0": ("this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     "proprietary": ("all rights reserved no part of this publication may be reproduced or distributed in any form without the prior written permission of the publisher", ("all rights reserved", "no part of")),
     "unlicense": ("this is free and unencumbered software released into the public domain", ("unencumbered software",)),
+    **{f"{label}#spdx": (f"spdx license identifier {name}", (f"spdx license identifier {name}",)) for label, name in SPDX.items()},
 }
 
 #: Words too common in any text to be worth a posting.
@@ -90,7 +97,7 @@ def scan(
 
     A null text is empty: no words, no labels, score 0. Rows that repeat an id
     and text get equal results; a null id stays null; columns other than id and
-    text are not kept; an empty table gives an empty result. ``score`` is the
+    text are not kept; an empty table gives an empty result. A text of any length is read whole. ``score`` is the
     greatest share of a template's weight found at one place, 1 where a base
     phrase stands. The index is as large as the templates, an argument that a
     caller writes down, so it is broadcast.
@@ -116,11 +123,11 @@ def scan(
         votes.withColumn("_share", share)
         .filter(F.col("_share") >= ENOUGH)
         .groupBy("_k1", "_k2")
-        .agg(F.collect_set("_label").alias("_labels"), F.max("_share").alias("_score"))
+        .agg(F.collect_set(F.substring_index("_label", "#", 1)).alias("_labels"), F.max("_share").alias("_score"))
     )
     has_base = F.size("_base") > 0
     every = F.array_union("_base", F.coalesce("_labels", F.array().cast("array<string>")))
-    score = F.when(has_base, 1.0).otherwise(F.coalesce(F.least(F.round("_score", 6), F.lit(1.0)), F.lit(0.0)))
+    score = F.when(has_base, 1.0).when(F.col("_score").isNotNull(), F.least(F.round("_score", 6), F.lit(1.0))).otherwise(0.0)
     return rows.join(labelled, ["_k1", "_k2"], "left").select(
         "doc_id",
         "n_words",
