@@ -11,7 +11,7 @@ diagonals that a similarity of 0.8 allows.
 Equal texts are one node with a number. Within a bucket first every node is compared with the
 bucket's hub, another one for every sketch, and classes are formed; then, in buckets that still hold several
 classes, nodes of different classes are compared: all of them in small buckets.
-The nodes of large ones go through an exact prefix-filter join: any two that are
+The nodes of large ones, and all short texts, go through an exact prefix-filter join: any two that are
 similar have one of their rarest threes of words in common, at places that an
 alignment allows. Only what shares such words and is still in different
 classes after a pass with hubs is compared, and none of that is left out.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import map_arrow, packed, row_key, word_bytes
 from loomspan.llm.components import components
-from loomspan.session import materialize
+from loomspan.session import discard, materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
@@ -43,6 +43,8 @@ KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
 MARKS, MARKS_BESIDE = 8, 32
 #: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
 SMALL, BINS = 16, 1 << 18
+#: Words of a text up to which it goes through the exact join whatever its buckets, as few changes leave a short text no k-mer in common.
+SHORT = 64
 #: Texts of one part, where many have a three of words in common.
 TOGETHER = 128
 #: Words a worker remembers, rows of an output batch, places that are put in order at once.
@@ -293,7 +295,9 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, n_found, kept.
 
     Rows are in one class if a chain of links joins them; a link is an alignment
-    similarity of 0.8 or more between texts that share a sketch. ``class_id`` is
+    similarity of 0.8 or more between texts that share a sketch or, where one has at most ``SHORT``
+    words or both are in buckets of over ``SMALL``, any of their rarest threes of words, which all such
+    texts that are similar do. ``class_id`` is
     the least doc_id of the class and ``kept`` marks the rows that have it;
     ``n_found`` counts
     the links found from the row's text to others, which join the class; as pairs that
@@ -344,36 +348,43 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = materialize(banded.join(hubs, bucket), "buckets")
     beside = shared.filter((F.col("id") != F.col("hub_id")) & _long_enough(F.col("n_words"), F.col("hub_n_words")))
     first = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct(), nodes), "pairs")
-    texts = materialize(printed.select("id", "terms").join(shared.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = printed.select("id", "terms")
     linked = materialize(_verified(first, texts), "links")
 
     roots = materialize(components(linked).withColumnRenamed("node", "id"), "roots")
-    rest = shared.select("id", "by", "n_words", *bucket).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = shared.select("id", "n_words", *bucket).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     second, large = _pairs_within(rest, bucket)
     second = materialize(_plausible(second.distinct().join(first, ["a", "b"], "left_anti"), nodes), "pairs")
-    linked = materialize(linked.unionByName(_verified(second, texts)), "links")
-    crowded = materialize(large.select("id", "by", "n_words").distinct(), "large")
+    linked = _with_more(linked, _verified(second, texts))
+    short = nodes.filter(F.col("n_words") <= SHORT / SIMILAR).select("id")
+    crowded = materialize(large.select("id").unionByName(short).distinct().join(nodes.select("id", F.xxhash64("node").alias("by"), "n_words"), "id"), "large")
+    discard(shared, roots)
     if crowded.isEmpty():
         return linked
     tried = first.unionByName(second)
-    rare = _rare_grams(_rooted(crowded.join(texts, "id"), linked))
-    # Most threes of words stand in one text, so first only they and the classes are shuffled.
-    mixed = rare.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("gram")
-    shared_grams = materialize(rare.join(mixed, "gram", "left_semi"), "grams")
+    rare = _rare_grams(crowded.select("id").join(texts, "id"))
+    # Most threes of words stand in one text, so first only they and their texts' ids are shuffled.
+    several = rare.groupBy("gram").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high").select("gram")
+    shared_grams = rare.join(several, "gram", "left_semi")
+    shared_grams = materialize(_rooted(shared_grams.join(crowded, "id"), linked), "grams")
+    discard(rare)
     gram_hubs = shared_grams.groupBy("gram").agg(*_hub("gram", "id", "n_words", "at", "root"))
     # Hubs join most of what belongs together, so that few pairs of different classes are left.
     beside = shared_grams.join(gram_hubs, "gram").filter((F.col("root") != F.col("hub_root")) & _may_align("n_words", "at", "hub_n_words", "hub_at"))
     third = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct().join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
-    linked = materialize(linked.unionByName(_verified(third, texts)), "links")
-    rooted = materialize(_rooted(shared_grams.select("id", "n_words", "gram", "at"), linked), "grams")
+    linked = _with_more(linked, _verified(third, texts))
+    rooted = materialize(_rooted(shared_grams.select("id", "n_words", "gram"), linked), "grams")
+    discard(shared_grams)
     # Threes of words that stand in the same texts, as those of a passage do, give the same pairs, so one of them is enough.
     stands = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"_x{i}") for i in range(2)])
     one_each = stands.filter("_low < _high").groupBy("_n", "_x0", "_x1").agg(F.min("gram").alias("gram")).select("gram", "_n")
     # Where both texts have the same three before, the pair was met there; commonest first, as passages share those.
     in_order = Window.partitionBy("id").orderBy(F.desc("_n"), "gram")
-    rooted = rooted.drop("at").join(one_each, "gram").withColumn("before", F.lag("gram").over(in_order))
+    met = rooted
+    rooted = rooted.join(one_each, "gram").withColumn("before", F.lag("gram").over(in_order))
     beside = nodes.select("id", _folded(F.col("marks"), F.lit(MARKS_BESIDE)).alias("marks"))
     rooted = materialize(rooted.join(beside, "id"), "grams")
+    discard(met)
     # Texts of a common three are parted, and parts dealt out: few bytes can make many pairs, and tasks must not be joined by bytes.
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = F.ceil(F.col("_n") / TOGETHER)
@@ -385,7 +396,16 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     pairs = one.alias("x").join(other.alias("y"), on)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     pairs = materialize(_plausible(pairs.join(tried.unionByName(third), ["a", "b"], "left_anti"), nodes), "pairs")
-    return materialize(linked.unionByName(_verified(pairs, texts)), "links")
+    linked = _with_more(linked, _verified(pairs, texts))
+    discard(first, second, third, pairs, rooted, crowded)
+    return linked
+
+
+def _with_more(linked: DataFrame, more: DataFrame) -> DataFrame:
+    """Links with further ones, in place of the table that they were in."""
+    grown = materialize(linked.unionByName(more), "links")
+    discard(linked)
+    return grown
 
 
 def _may_align(words_a: str, at_a: str, words_b: str, at_b: str) -> Column:
@@ -401,7 +421,7 @@ def _rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _rare_grams(texts: DataFrame) -> DataFrame:
-    """Of each text (id, by, n_words, root) as many of its rarest threes of words (``gram``, ``at``) that two similar texts have one in common.
+    """Of each text (id, terms) as many of its rarest threes of words (``gram``, ``at``) that two similar texts have one in common.
 
     Texts of n words or more that differ by d words have n - 2 - 3 d of their threes of words
     in common, which is 0.4 n - 2 at the least similarity. So in any order that
@@ -423,8 +443,6 @@ def _rare_grams(texts: DataFrame) -> DataFrame:
         used = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], names=["bin", "n"])
 
-    kept = ["id", "by", "n_words", "root"]
-    texts = materialize(texts.select(*kept, "terms"), "texts")
     totals = np.zeros(BINS, np.int64)
     found = map_arrow(texts.select("terms"), count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     totals[found.column("bin").to_numpy()] = found.column("n").to_numpy()
@@ -442,9 +460,9 @@ def _rare_grams(texts: DataFrame) -> DataFrame:
                     picked.append((grams[first].view(np.int64), (first % max(1, n - 2)).astype(np.int32) if n <= 5 else first.astype(np.int32)))
                 owner = pa.array(np.repeat(np.arange(len(picked)), [len(at) for _, at in picked]))
                 grams, at = (pa.array(np.concatenate(x)) for x in zip(*picked, strict=True))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in kept), grams, at], names=[*kept, "gram", "at"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), grams, at], names=["id", "gram", "at"])
 
-    return materialize(map_arrow(texts, pick, "id long, by long, n_words int, root long, gram long, at int"), "grams")
+    return materialize(map_arrow(texts, pick, "id long, gram long, at int"), "grams")
 
 
 def keep_one(docs: DataFrame, text_column: str = "text") -> DataFrame:

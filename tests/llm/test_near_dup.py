@@ -96,6 +96,32 @@ def test_recall_of_scattered_changes(length, changed):
     assert met >= 180
 
 
+def test_short_texts_at_the_least_similarity_are_all_found(spark):
+    """Pairs of 5 to 60 words that differ by as many words as 0.8 allows: replaced, left out and put in."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows, kinds = [], []
+    for length in (5, 8, 10, 12, 15, 20, 30, 60):
+        for kind in ("replaced", "left out", "put in"):
+            for _ in range(12):
+                one = [word() for _ in range(length)]
+                other = list(one)
+                d = int(0.2 * length + 1e-9) if kind != "put in" else int(0.25 * length + 1e-9)
+                for at in sorted(rng.sample(range(length), d), reverse=True):
+                    if kind == "replaced":
+                        other[at] = word()
+                    elif kind == "left out":
+                        del other[at]
+                    else:
+                        other.insert(at, word())
+                rows += [(2 * len(kinds), " ".join(one)), (2 * len(kinds) + 1, " ".join(other))]
+                kinds.append((length, kind))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [kinds[i] for i in range(len(kinds)) if got[2 * i] != got[2 * i + 1]]
+    assert missed == []
+    assert len(set(got.values())) == len(kinds)
+
+
 def test_large_bucket_of_distinct_classes_links_all_similar_texts(spark):
     """Forty pairs of near copies about a common passage that share one large bucket and nothing else."""
     r = np.random.default_rng(11)
