@@ -179,13 +179,13 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
     return zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
 
-def _join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of one node, sorted, as texts of at most ``TOGETHER`` ids."""
+def _join_ids(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.RecordBatch]:
+    """Ids of one node, sorted, as texts of at most ``together`` ids."""
     node, ids = None, []
     for batch in batches:
         done = []
         for *at, conv in _rows(batch):
-            if ids and (at != node or len(ids) == TOGETHER):
+            if ids and (at != node or len(ids) == together):
                 done.append((*node, ids[0], ",".join(map(str, ids))))
                 ids = []
             node = at
@@ -214,7 +214,7 @@ def _fold_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*node, state.hexdigest()), _DIGEST.types, strict=True)], schema=_DIGEST)
 
 
-def ends_digest(ends: DataFrame) -> DataFrame:
+def ends_digest(ends: DataFrame, together: int = TOGETHER) -> DataFrame:
     """``depth, k1, k2, ends_sha256``: the digest of the ids that end in a node, ascending, joined by commas.
 
     Ids are sorted and joined to pieces by ranges, however many end in one node, and a
@@ -222,12 +222,12 @@ def ends_digest(ends: DataFrame) -> DataFrame:
     """
     name = ["depth", "k1", "k2"]
     ends = materialize(ends, "ends")
-    pieces = map_arrow(ends.select(*name, "conv_id").repartitionByRange(*name, "conv_id").sortWithinPartitions(*name, "conv_id"), _join_ids, "depth long, k1 long, k2 long, first long, ids string")
+    pieces = map_arrow(ends.select(*name, "conv_id").repartitionByRange(*name, "conv_id").sortWithinPartitions(*name, "conv_id"), lambda batches: _join_ids(batches, together), "depth long, k1 long, k2 long, first long, ids string")
     return map_arrow(pieces.repartition(*name).sortWithinPartitions(*name, "first"), _fold_ids, "depth long, k1 long, k2 long, ends_sha256 string")
 
 
-def digest(trie: DataFrame, ends: DataFrame) -> DataFrame:
+def digest(trie: DataFrame, ends: DataFrame, together: int = TOGETHER) -> DataFrame:
     """The trie with ``ends_sha256`` in place of the nodes' names; of a node in which none ends, the digest of nothing."""
     none = F.lit(hashlib.sha256(b"").hexdigest())
     name = ["depth", "k1", "k2"]
-    return trie.join(ends_digest(ends), name, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", none)).drop("k1", "k2")
+    return trie.join(ends_digest(ends, together), name, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", none)).drop("k1", "k2")

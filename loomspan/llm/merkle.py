@@ -12,7 +12,7 @@ tree's size is ever in one task.
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,6 @@ from loomspan.session import materialize
 
 #: Nodes that are hashed together, and levels of a superblock.
 ARITY, LEVELS = 3, 6
-SPAN = ARITY**LEVELS
 #: Trees of one superblock at most are put together by so many in one group.
 SMALL_TREES = 27
 #: The columns that a leaf is made of, in order.
@@ -46,18 +45,18 @@ def node_hash(hashes: list[str]) -> str:
     return hashlib.sha256("".join(hashes).encode()).hexdigest()
 
 
-def levels_left(size: int) -> int:
+def levels_left(size: int, most: int = LEVELS) -> int:
     """Levels by which ``size`` nodes become one, a superblock's at most."""
     n = 0
-    while size > 1 and n < LEVELS:
+    while size > 1 and n < most:
         size, n = -(-size // ARITY), n + 1
     return n
 
 
-def reduced(hashes: list[str], size: int) -> list[list[str]]:
+def reduced(hashes: list[str], size: int, most: int = LEVELS) -> list[list[str]]:
     """The levels of one superblock of a tree of ``size`` nodes, from its nodes to its top."""
     rows = [hashes]
-    for _ in range(levels_left(size)):
+    for _ in range(levels_left(size, most)):
         now = rows[-1]
         rows.append([node_hash(now[i : i + ARITY]) for i in range(0, len(now), ARITY)])
     return rows
@@ -86,30 +85,31 @@ def _small(tree: Column) -> Column:
     return -1 - F.floor(tree / SMALL_TREES)
 
 
-def _superblock(df: DataFrame) -> DataFrame:
+def _superblock(df: DataFrame, levels: int) -> DataFrame:
     """Add the group (_g1, _g2) of a node: its tree and superblock, or some small trees together."""
-    group = F.when(F.col("size") <= SPAN, _small(F.col("tree"))).otherwise(F.col("tree"))
-    return df.withColumns({"_g1": group, "_g2": F.expr(f"place div {SPAN}")})
+    span = ARITY**levels
+    group = F.when(F.col("size") <= span, _small(F.col("tree"))).otherwise(F.col("tree"))
+    return df.withColumns({"_g1": group, "_g2": F.expr(f"place div {span}")})
 
 
-def _blocks_of(nodes: pd.DataFrame):
+def _blocks_of(nodes: pd.DataFrame, levels: int):
     """The superblocks of a group: (tree, number, size, nodes sorted by place)."""
-    for (tree, block), part in nodes.assign(_b=nodes["place"] // SPAN).groupby(["tree", "_b"], sort=True):
+    for (tree, block), part in nodes.assign(_b=nodes["place"] // ARITY**levels).groupby(["tree", "_b"], sort=True):
         yield int(tree), int(block), int(part["size"].iloc[0]), part.sort_values("place")
 
 
-def _tops(nodes: pd.DataFrame) -> pd.DataFrame:
-    made = [(tree, block, -(-size // SPAN), reduced(list(part["hash"]), size)[-1][0]) for tree, block, size, part in _blocks_of(nodes)]
+def _tops(nodes: pd.DataFrame, levels: int) -> pd.DataFrame:
+    made = [(tree, block, -(-size // ARITY**levels), reduced(list(part["hash"]), size, levels)[-1][0]) for tree, block, size, part in _blocks_of(nodes, levels)]
     return pd.DataFrame(made, columns=["tree", "place", "size", "hash"])
 
 
-def _climb(nodes: DataFrame, largest: int) -> list[DataFrame]:
+def _climb(nodes: DataFrame, largest: int, levels: int) -> list[DataFrame]:
     """Written tables of nodes, each of the tops of the one before, until every tree has one."""
     layers = [nodes]
     while largest > 1:
-        tops = _superblock(layers[-1].select("tree", "place", "size", "hash")).groupBy("_g1", "_g2").applyInPandas(_tops, _NODE)
+        tops = _superblock(layers[-1].select("tree", "place", "size", "hash"), levels).groupBy("_g1", "_g2").applyInPandas(lambda nodes: _tops(nodes, levels), _NODE)
         layers.append(materialize(tops, "tops"))
-        largest = math.ceil(largest / SPAN)
+        largest = -(-largest // ARITY**levels)
     return layers
 
 
@@ -117,22 +117,22 @@ def _outer_of(outer: pd.DataFrame) -> dict[tuple[int, int], tuple]:
     return {(int(t), int(p)): (list(a), list(b), s) for t, p, a, b, s in zip(outer["tree"], outer["place"], outer["lefts"], outer["rights"], outer["subroot"], strict=True)}
 
 
-def _hand_down(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _hand_down(nodes: pd.DataFrame, outer: pd.DataFrame, levels: int) -> pd.DataFrame:
     """Siblings up to the root of each node of some superblocks."""
     above, made = _outer_of(outer), []
-    for tree, block, size, part in _blocks_of(nodes):
-        rows, (lefts, rights, subroot) = reduced(list(part["hash"]), size), above[tree, block]
+    for tree, block, size, part in _blocks_of(nodes, levels):
+        rows, (lefts, rights, subroot) = reduced(list(part["hash"]), size, levels), above[tree, block]
         for i, place in enumerate(part["place"]):
             left, right = siblings(rows, i)
             made.append((tree, int(place), size, left + lefts, right + rights, subroot))
     return pd.DataFrame(made, columns=["tree", "place", "size", "lefts", "rights", "subroot"])
 
 
-def _finish(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _finish(nodes: pd.DataFrame, outer: pd.DataFrame, levels: int) -> pd.DataFrame:
     """Proof and folded root of each leaf of some superblocks."""
     above, made = _outer_of(outer), []
-    for tree, block, size, part in _blocks_of(nodes):
-        rows, (lefts, rights, subroot) = reduced(list(part["hash"]), size), above[tree, block]
+    for tree, block, size, part in _blocks_of(nodes, levels):
+        rows, (lefts, rights, subroot) = reduced(list(part["hash"]), size, levels), above[tree, block]
         outside = "".join(a + b for a, b in zip(lefts, rights, strict=True))
         for i, (doc_id, leaf, other) in enumerate(zip(part["doc_id"], part["hash"], part["tampered"], strict=True)):
             left, right = siblings(rows, i)
@@ -142,26 +142,30 @@ def _finish(nodes: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(made, columns=["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
 
 
-def _down(layers: list[DataFrame], outer: DataFrame, run, schema: str) -> DataFrame:
+def _with_levels(step: Callable, levels: int) -> Callable:
+    return lambda nodes, outer: step(nodes, outer, levels)
+
+
+def _down(layers: list[DataFrame], outer: DataFrame, run: Callable, schema: str, levels: int) -> DataFrame:
     """Cogroup each layer's superblocks with the outer siblings of their tops, from the last layer but one to the first; ``run`` takes the first."""
     for i in range(len(layers) - 2, -1, -1):
         # A tree whose layer above is its top alone has one superblock here, and so lies in a group of small trees.
         group = F.when(F.col("size") == 1, _small(F.col("tree"))).otherwise(F.col("tree"))
         above = outer.withColumns({"_g1": group, "_g2": F.col("place")}).groupBy("_g1", "_g2")
-        below = _superblock(layers[i]).groupBy("_g1", "_g2")
+        below = _superblock(layers[i], levels).groupBy("_g1", "_g2")
         step, kind = (run, schema) if i == 0 else (_hand_down, _OUTER)
-        outer = below.cogroup(above).applyInPandas(step, kind)
+        outer = below.cogroup(above).applyInPandas(_with_levels(step, levels), kind)
     return outer
 
 
-def manifest(docs: DataFrame, tampered_text: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, tampered_text: Column | None = None, levels: int = LEVELS) -> DataFrame:
     """One row per row: ``doc_id, leaf, subroot, root, proof_sha256, folded_root, verified``.
 
     A leaf is ``leaf_hash`` of doc_id, source, lang, n_chars and text. Per source leaves
     ascend by doc_id (null first), rows of one doc_id by their leaf; sources ascend by their UTF-8
     bytes, null first. ``tampered_text`` is an expression over the columns of ``docs`` whose value stands for the text of the
     leaf that is folded with the original siblings; absent, it is the text itself, and
-    every row verifies. Texts and sources are of any length; an empty table gives an
+    every row verifies. A superblock has 3^``levels`` nodes. Texts and sources are of any length; an empty table gives an
     empty result; extra columns are ignored; repeated rows are leaves of their own.
     """
     given = {name: F.col(f"`{name}`") for name in FIELDS}
@@ -181,16 +185,16 @@ def manifest(docs: DataFrame, tampered_text: Column | None = None) -> DataFrame:
     if not bounds[1]:
         return docs.sparkSession.createDataFrame([], docs.select("doc_id").withColumns({c: F.lit("") for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")}).withColumn("verified", F.lit(True)).schema)
     # Every tree takes the same number of layers, one at least; the tops of one-node trees are themselves.
-    layers = _climb(sized, max(2, bounds[0]))
+    layers = _climb(sized, max(2, bounds[0]), levels)
     subroots = layers[-1].select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("place"), F.lit(bounds[1]).cast("long").alias("size"), "hash")
-    above = _climb(subroots, max(2, bounds[1]))
+    above = _climb(subroots, max(2, bounds[1]), levels)
     root = above[-1].first()["hash"]
     none = F.array().cast("array<string>")
     top = above[-1].select("tree", "place", "size", none.alias("lefts"), none.alias("rights"), F.lit("").alias("subroot"))
-    of_sources = _down(above, top, _hand_down, _OUTER).select(F.col("place").alias("tree"), "lefts", "rights")
+    of_sources = _down(above, top, _hand_down, _OUTER, levels).select(F.col("place").alias("tree"), "lefts", "rights")
     tops = layers[-1].select("tree", "place", "size", F.col("hash").alias("subroot"))
     outer = materialize(tops.join(of_sources, "tree"), "outer")
-    proofs = _down(layers, outer, _finish, "doc_id string, leaf string, subroot string, proof_sha256 string, folded_root string")
+    proofs = _down(layers, outer, _finish, "doc_id string, leaf string, subroot string, proof_sha256 string, folded_root string", levels)
     return proofs.select(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified")
     )
