@@ -128,3 +128,8 @@ def over_limit(requests: DataFrame, most: int, window: str = "1 minute", key: st
     """Requests per key and fixed window, and whether they exceed the limit."""
     counted = requests.groupBy(key, F.window(at, window).alias("_w")).agg(F.count(F.lit(1)).alias("n"))
     return counted.select(key, F.col("_w.start").alias("window_start"), "n", (F.col("n") > most).alias("limited"))
+
+
+def by_id(log: DataFrame, log_id: int) -> DataFrame:
+    """The interaction of an id, or none."""
+    return log.filter(F.col("id") == log_id)

@@ -195,22 +195,29 @@ def clean_noise(text: Column, patterns: tuple[str, ...] = NOISE_LINES) -> Column
     return F.regexp_replace(text, r"\n{3,}", "\n\n")
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once a row however often it is used: functions of arrays would otherwise
+    take it in, and compute it anew for every element."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def keep_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2) -> DataFrame:
     """Each text with at most ``most`` of a run of equal lines, and how many lines stay and go.
 
     Lines are compared without surrounding white space; blank lines always stay
-    and end a run. A text is one group, so a group is bounded by its text.
+    and end a run. A line goes if it equals each of the ``most`` lines before it, which takes no shuffle. A null text has no lines and stays empty.
     """
-    lines = docs.select(key, F.posexplode(strings.split_lines(F.col(text))).alias("pos", "line")).withColumn("_s", strings.strip(F.col("line")))
-    in_order = Window.partitionBy(key).orderBy("pos")
-    starts = (F.col("_s") == "") | (~F.col("_s").eqNullSafe(F.lag("_s").over(in_order)))
-    numbered = lines.withColumn("_run", F.sum(starts.cast("int")).over(in_order))
-    place = F.row_number().over(Window.partitionBy(key, "_run").orderBy("pos"))
-    marked = numbered.withColumn("_keep", (F.col("_s") == "") | (place <= most))
-    kept = F.transform(F.array_sort(F.collect_list(F.when(F.col("_keep"), F.struct("pos", "line")))), lambda x: x["line"])
-    return marked.groupBy(key).agg(
-        F.count_if("_keep").alias("n_kept"), F.count_if(~F.col("_keep")).alias("n_dropped"), F.array_join(kept, "\n").alias("text")
-    )
+    none = F.array().cast("array<string>")
+    lines = _once(docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")), "_lines", F.coalesce(strings.split_lines(F.col("_text")), none))
+    bare = _once(lines, "_bare", F.transform("_lines", strings.strip))
+
+    def stays(line: Column, i: Column) -> Column:
+        equal = reduce(and_, [F.coalesce(F.get("_bare", i - k) == F.get("_bare", i), F.lit(False)) for k in range(1, most + 1)])
+        return (F.get("_bare", i) == "") | ~equal
+
+    kept = _once(bare, "_kept", F.filter("_lines", stays))
+    n_kept = F.size("_kept").cast("long")
+    return kept.select(key, n_kept.alias("n_kept"), (F.size("_lines") - n_kept).alias("n_dropped"), F.array_join("_kept", "\n").alias("text"))
 
 
 def finish(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,16 @@ def upsert(rows: DataFrame, text: str = "text", call: str = "call", position: st
     return last.select("id", "_row.*")
 
 
+def size(collection: DataFrame) -> DataFrame:
+    """How many rows a collection has."""
+    return collection.agg(F.count(F.lit(1)).alias("n"))
+
+
+def scored_pairs(questions: DataFrame, candidates: DataFrame, score: Callable[[Column, Column], Column], question: str = "question_id") -> DataFrame:
+    """Each question's candidates with the score of question and text, as ``top_scored`` takes them; a question without candidates has none."""
+    return candidates.join(questions.select(question, "question"), question).withColumn("score", score(F.col("question"), F.col("text"))).drop("question")
+
+
 def batches(position: Column, size: int = 200) -> Column:
     """The number of the batch a 0-based position falls in."""
     return F.floor(position / size).cast("long")

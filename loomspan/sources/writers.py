@@ -75,6 +75,10 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def write_texts(rows: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
-    """Texts under their names, one folder per name."""
+def write_texts(rows: DataFrame, path: str, name: str = "name", text: str = "text", dry_run: bool = False) -> DataFrame:
+    """Texts under their names, one folder per name; how many there are and their characters. ``dry_run`` only counts."""
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.char_length(text)), F.lit(0)).alias("chars"))
+    if dry_run:
+        return counts
     rows.select(F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    return counts

@@ -53,7 +53,9 @@ def test_collections_and_logs(spark, tmp_path):
     assert [r.question for r in out.orderBy("id").collect()] == [f"q{i}" for i in range(1, 21)] and sorted(r.id for r in out.collect()) == list(range(6, 26))
     assert "rerank_score" in readers.log_rows(spark, str(tmp_path / "log")).columns
     writers.write_report(out.limit(1), str(tmp_path / "r"))
-    writers.write_texts(spark.createDataFrame([("n.md", "t")], "name string, text string"), str(tmp_path / "t"))
+    texts = spark.createDataFrame([("n.md", "t")], "name string, text string")
+    assert tuple(writers.write_texts(texts, str(tmp_path / "t"), dry_run=True).first()) == (1, 1) and not (tmp_path / "t").exists()
+    writers.write_texts(texts, str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "r")).count() == 1 and spark.read.text(str(tmp_path / "t")).first().value == "t"
 
 

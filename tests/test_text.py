@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +38,20 @@ def test_noise_lines(spark):
 def test_runs(spark):
     rows = spark.createDataFrame([(1, "a\n a\na\nb\na\na"), (2, "a\na\n\na\na"), (3, "")], "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_dropped) for r in text.keep_runs(rows).collect()}
-    assert got[1] == ("a\n a\nb\na\na", 1) and got[2] == ("a\na\n\na\na", 0)
+    assert got[1] == ("a\n a\nb\na\na", 1) and got[2] == ("a\na\n\na\na", 0) and got[3] == ("", 0)
+    rng = random.Random(2)
+    texts = ["\n".join(rng.choice(["a", " a", "b ", "", "  ", "c"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["x\n" * 500]
+    for most in (1, 2, 3):
+        want = {}
+        for i, text_ in enumerate(texts):
+            kept, last, run = [], None, 0
+            for line in text_.splitlines():
+                run = run + 1 if line.strip() == last and line.strip() else 1
+                last = line.strip()
+                kept += [line] if run <= most or not last else []
+            want[i] = "\n".join(kept)
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert {r.doc_id: r.text for r in text.keep_runs(frame, most=most).collect()} == want
 
 
 def test_tables_medians_headings(spark):
