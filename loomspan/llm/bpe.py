@@ -276,7 +276,8 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", to: str
 
     A null text counts as empty and gives an empty list. ``vocabulary`` is the
     path of the tokenizer's file, which every executor must be able to read.
-    A column already named ``to`` is replaced.
+    A column already named ``to`` is replaced. Repeated rows are encoded alike, a text of any length whole, and an
+    empty table stays empty.
     """
     docs = docs.drop(to)
     names = [*docs.columns, to]
@@ -298,7 +299,10 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", to: str
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
-    """All columns of ``encoded`` and the text its ids stand for; null ids give an empty text."""
+    """All columns of ``encoded`` and the text its ids stand for; null ids give an empty text.
+
+    Repeated rows are decoded alike, lists of any length whole; a column already named ``to`` is replaced, and an empty table stays empty.
+    """
     encoded = encoded.drop(to)
     names = [*encoded.columns, to]
     schema = T.StructType([*encoded.schema.fields, T.StructField(to, T.StringType(), False)])

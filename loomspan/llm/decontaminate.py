@@ -269,7 +269,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Null and empty texts stay. Rows go by id and text, so copies of a row go together and a
     row that repeats an id with another text is judged by its own. Columns of any name are kept as they are.
-    An empty table stays empty, and with an empty benchmark all rows stay.
+    A text of any length is read whole. An empty table stays empty, and with an empty benchmark all rows stay.
     """
     hit = digest(find_matches(docs, benchmark), "_k1", "_k2").filter("contaminated")
     return packed(docs).join(hit.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_anti").select("_row.*")

@@ -79,7 +79,8 @@ def remove_boilerplate(
     ``MIN_LENGTH`` are left alone. A null site is a site of its own, an absent
     site column makes all rows one site. A null text stays null and has no
     lines; repeated rows are treated alike, so a line that stands first in one
-    of them stays in all. An empty table gives an empty result.
+    of them stays in all. ``n_lines`` and ``n_removed`` of the input are replaced. A text of any length is
+    read whole. An empty table gives an empty result.
     """
     docs = docs.drop("n_lines", "n_removed")
     lines = _lines(docs, site_column, text_column)

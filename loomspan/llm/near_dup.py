@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     texts. Texts
     with the same words are equal. Texts without words, null ones too, are never
     duplicates: each is its own class. A text of fewer than five words is one
-    k-mer. Repeated rows are copies like any others. Other columns are not kept,
+    k-mer; a text of any length is compared whole. Repeated rows are copies like any others. Other columns are not kept,
     and an empty table gives an empty result.
     """
     return _placed(row_key(docs.select("doc_id", F.col(text_column).alias("_text")), "doc_id", "_text"), "_text").drop("_k1", "_k2")

@@ -159,8 +159,8 @@ def score(docs: DataFrame, forest: Forest, id_column: str = "doc_id", text_colum
     """Per row: doc_id, held_out, score and predicted.
 
     Only the text is read for the score; null and empty texts have all
-    statistics zero. Null ids aren't held out; repeated rows are scored alike;
-    other columns are not kept; an empty table gives an empty result.
+    statistics zero. Null ids aren't held out; repeated rows are scored alike; a text of any length is
+    read whole; other columns are not kept; an empty table gives an empty result.
     """
     narrow = docs.select(F.col(id_column).try_cast("long").alias("doc_id"), held_out(F.col(id_column), MODULUS, REMAINDER).alias("held_out"), F.col(text_column).alias("text"))
 
@@ -183,7 +183,10 @@ def _scores(batch: pa.RecordBatch, text_column: str, forest: Forest) -> np.ndarr
 
 
 def keep_good(docs: DataFrame, forest: Forest, least: float = GOOD, text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``least`` or more, with all their columns."""
+    """The rows of ``docs`` that score ``least`` or more, with all their columns, whatever their names.
+
+    A null text is scored as an empty one, null ids and repeated rows as any others, a text of any length whole; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

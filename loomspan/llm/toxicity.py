@@ -161,8 +161,8 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
     """Per row: doc_id, held_out, score and predicted.
 
     Only the text is read for the score. Null and empty texts get the score of
-    no terms at all. Null ids aren't held out; repeated rows are scored alike;
-    other columns are not kept; an empty table gives an empty result.
+    no terms at all. Null ids aren't held out; repeated rows are scored alike; a text of any length is
+    read whole; other columns are not kept; an empty table gives an empty result.
     """
     narrow = docs.select(
         F.col(id_column).try_cast("long").alias("doc_id"), held_out(F.col(id_column), MODULUS, REMAINDER).alias("held_out"), F.col(text_column).alias("text")
