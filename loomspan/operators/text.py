@@ -84,8 +84,6 @@ class _Page(HTMLParser):
                 self.seen.add(name)
                 self.areas.append(name)
                 area = name if area is None else f"{area} {name}"
-        if tag in ("p", "li") and any(t == tag for t, _, _ in self.stack[-1:]):
-            self.handle_endtag(tag)
         texts: list[str] | None = None
         self.skipping += tag in NOISE_ELEMENTS
         if not self.skipping:
@@ -120,7 +118,8 @@ def parsed(html: str | None) -> dict:
     """A page in one pass: ``title``, ``heading`` (its first of level 1), ``links`` and ``noise_links`` (as written, outside and inside
     of noise elements), and ``body``, the main element's blocks as Markdown lines.
 
-    Character references are decoded, comments and scripts hold no links, and a title with elements in it is none.
+    Character references are decoded, comments and scripts hold no links, and a title with elements in it is none. An element that isn't
+    closed holds what follows until one around it is, so blocks within blocks give their texts twice.
     """
     page = _Page()
     page.feed(html or "")

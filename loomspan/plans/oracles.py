@@ -109,7 +109,7 @@ _CATALOGUE = """
              f AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS line, l_returnflag FROM lineitem WHERE l_returnflag <> 'N')"""
 
 #: Character references that the pages have.
-_DECODED = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+_DECODED = "regexp_replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;?', '&', 'g')"
 
 #: What stands before the fragments in a prompt, as the engine has it.
 _FRAGMENTS = (
@@ -290,6 +290,18 @@ ORACLES: dict[str, str] = {
         SELECT DISTINCT page_id, link FROM r
         WHERE NOT regexp_matches(lower(link), '\.(jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|zip|rar|exe|css|js|xml|json)$')
     """,
+    "page_markdown": rf"""
+        WITH a AS (SELECT page_id, url, coalesce(nullif({_STRIP.format(_DECODED.format(_TITLE))}, ''), nullif({_STRIP.format(_DECODED.format(_HEADING))}, ''), url) AS title,
+                          regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
+             b AS (SELECT page_id, unnest(blocks) AS block, unnest(range(len(blocks))) AS pos
+                   FROM (SELECT page_id, regexp_extract_all(body, '<(?:h1|p)(?:\s[^>]*)?>(?:[^<]|</?br?(?:\s[^>]*)?/?>)*(?:</(?:h1|p)>)?') AS blocks FROM a)),
+             t AS (SELECT page_id, pos, CASE WHEN starts_with(block, '<h1') THEN '# ' ELSE '' END AS mark, regexp_matches(block, '</(h1|p)>$') AS closed,
+                          array_to_string(list_filter(list_transform(string_split_regex(block, '<[^>]*>'), lambda x: {_STRIP.format(_DECODED.format("x"))}), lambda x: x <> ''), ' ') AS text FROM b),
+             w AS (SELECT t.page_id, t.pos, t.mark, coalesce(string_agg(u.text, ' ' ORDER BY u.pos) FILTER (u.text <> ''), '') AS text
+                   FROM t JOIN t u ON t.page_id = u.page_id AND (u.pos = t.pos OR (u.pos > t.pos AND NOT t.closed)) GROUP BY 1, 2, 3),
+             m AS (SELECT page_id, string_agg(mark || text, chr(10) || chr(10) ORDER BY pos) AS md FROM w WHERE text <> '' GROUP BY page_id)
+        SELECT page_id, url, title, coalesce(CASE WHEN starts_with(md, '# ') THEN md ELSE '# ' || title || chr(10) || chr(10) || md END, '') AS markdown FROM a LEFT JOIN m USING (page_id)
+    """,
     "page_failures": """
         SELECT CASE WHEN contains(url, '?') THEN 'ValueError' WHEN contains(url, '#') THEN 'LookupError' END AS error_class, count(*) AS n FROM pages GROUP BY 1
     """,
