@@ -6,12 +6,12 @@ and keeps them in the order of the text; two documents share it if they have the
 k-mers in common and in the same order. As scattered changes leave few k-mers of
 five words in common, the least k-mer of each order is a further sketch on its own. Documents that share
 any of these sketches are candidates, and candidates are aligned word by word within the band of
-diagonals that a similarity of 0.8 allows.
+diagonals that a similarity of 0.8 allows. Short texts have sketches of k-mers of two words too.
 
 Equal texts are one node with a number. Within a bucket first every node is compared with the
 bucket's hub, another one for every sketch, and classes are formed; then, in buckets that still hold several
 classes, nodes of different classes are compared: all of them in small buckets.
-The nodes of large ones, and all short texts, go through an exact prefix-filter join: any two that are
+The nodes of large ones, and the shortest texts, go through an exact prefix-filter join: any two that are
 similar have one of their rarest threes of words in common, at places that an
 alignment allows. Only what shares such words and is still in different
 classes after a pass with hubs is compared, and none of that is left out.
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import map_arrow, packed, row_key, word_bytes
 from loomspan.llm.components import components
+from loomspan.llm.decontaminate import bit_set
 from loomspan.session import discard, materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
@@ -43,8 +44,9 @@ KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
 MARKS, MARKS_BESIDE = 8, 32
 #: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
 SMALL, BINS = 16, 1 << 18
-#: Words of a text up to which it goes through the exact join whatever its buckets, as few changes leave a short text no k-mer in common.
-SHORT = 64
+#: Words of a text up to which it also has sketches of k-mers of two words, as few changes leave a short text no longer one in common,
+#: and up to which it goes through the exact join whatever its buckets.
+SHORT, SHORTEST = 64, 12
 #: Texts of one part, where many have a three of words in common.
 TOGETHER = 128
 #: Words a worker remembers, rows of an output batch, places that are put in order at once.
@@ -91,10 +93,17 @@ def labelled_kmers(hashes: np.ndarray, k: int = KMER) -> np.ndarray:
 
 
 def sketches(hashes: np.ndarray) -> np.ndarray:
-    """The sketches of a document, given its words' hashes: per order first of the least k-mers as they stand in the text, then of the least alone."""
+    """The sketches of a document, given its words' hashes: per order first of the least k-mers as they stand in the text, then of the least alone;
+    of a short text also of its least k-mers of two words."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    kmers = labelled_kmers(hashes)
+    whole = _sketched(labelled_kmers(hashes))
+    if len(hashes) > SHORT / SIMILAR:
+        return whole
+    return np.concatenate([whole, _sketched(labelled_kmers(hashes, 2))[:SKETCHES]])
+
+
+def _sketched(kmers: np.ndarray) -> np.ndarray:
     out = np.empty((2, SKETCHES), np.uint64)
     at_once = max(1, ORDERED // len(kmers))
     for i in range(0, SKETCHES, at_once):
@@ -244,10 +253,26 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(ends[0], "a").join(ends[1], "b").filter(_marks_allow("_na", "_ma", "_nb", "_mb")).select("a", "b")
 
 
+def _those(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (id, terms) that a bit set of fixed size of the wanted ids lets pass: all wanted ones, and some others where it is crowded.
+
+    It keeps what isn't wanted out of the shuffle that follows.
+    """
+    bits = np.packbits(bit_set(wanted.select(F.xxhash64("id").alias("term"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.unpackbits(bits).astype(bool)
+        for batch in batches:
+            at = batch.column("at").to_numpy(zero_copy_only=False)
+            yield batch.select(["id", "terms"]).filter(pa.array(passes[at & (len(passes) - 1)]))
+
+    return map_arrow(texts.select("id", "terms", F.xxhash64("id").alias("at")), run, "id long, terms array<int>")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose alignment is similar enough, with the similarity."""
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = texts.join(wanted, "id", "left_semi")
+    texts = _those(texts, wanted).join(wanted, "id", "left_semi")
     left = texts.select(F.col("id").alias("a"), F.col("terms").alias("_ta"))
     right = texts.select(F.col("id").alias("b"), F.col("terms").alias("_tb"))
 
@@ -295,7 +320,7 @@ def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, n_found, kept.
 
     Rows are in one class if a chain of links joins them; a link is an alignment
-    similarity of 0.8 or more between texts that share a sketch or, where one has at most ``SHORT``
+    similarity of 0.8 or more between texts that share a sketch or, where one has at most ``SHORTEST``
     words or both are in buckets of over ``SMALL``, any of their rarest threes of words, which all such
     texts that are similar do. ``class_id`` is
     the least doc_id of the class and ``kept`` marks the rows that have it;
@@ -356,13 +381,13 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     second, large = _pairs_within(rest, bucket)
     second = materialize(_plausible(second.distinct().join(first, ["a", "b"], "left_anti"), nodes), "pairs")
     linked = _with_more(linked, _verified(second, texts))
-    short = nodes.filter(F.col("n_words") <= SHORT / SIMILAR).select("id")
+    short = nodes.filter(F.col("n_words") <= SHORTEST / SIMILAR).select("id")
     crowded = materialize(large.select("id").unionByName(short).distinct().join(nodes.select("id", F.xxhash64("node").alias("by"), "n_words"), "id"), "large")
     discard(shared, roots)
     if crowded.isEmpty():
         return linked
     tried = first.unionByName(second)
-    rare = _rare_grams(crowded.select("id").join(texts, "id"))
+    rare = _rare_grams(_those(texts, crowded.select("id")).join(crowded.select("id"), "id", "left_semi"))
     # Most threes of words stand in one text, so first only they and their texts' ids are shuffled.
     several = rare.groupBy("gram").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high").select("gram")
     shared_grams = rare.join(several, "gram", "left_semi")
