@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomspan.functions.vectors import METRICS
-
-#: Questions up to which their vectors are broadcast to all partitions of a collection.
+#: Questions up to which their vectors are broadcast to all partitions of a collection, or are held against a block of it together.
 BROADCAST_QUESTIONS = 10_000
+#: Rows of a block of a collection, and distances of a product of matrices that are in memory at once.
+BLOCK_ROWS, PRODUCT = 8192, 1 << 21
 
 
 def content_id(text: Column) -> Column:
@@ -53,27 +58,121 @@ def nearest(
     vector: str = "embedding",
     question: list[str] | None = None,
     question_vector: str = "query",
-    slices: int = 64,
+    block_rows: int | None = None,
 ) -> DataFrame:
-    """Exact search: per question the ``k`` rows of least distance, ties by key.
+    """Exact search: per question the ``k`` rows of least distance, ties by key, which is a number, text or time.
 
-    Every question is held against all rows, so a collection of any size is read
-    once per block of questions that fits a broadcast. Each slice of the
-    collection first keeps its own k best; only these are shuffled.
+    Every question is held against all rows, in blocks of both: a task takes one block of each, whatever the collection's size, and
+    gives its k best a question. Distances are those of ``functions.vectors``, to the last bit. They are null, and come last,
+    where a vector is null, has a null or another length, or by cosine is zero.
     """
     by = question or ["question_id"]
-    vectors = questions.select(*by, F.col(question_vector).alias("_q"))
-    few = vectors.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
-    parts = 1 if few else -(-vectors.count() // BROADCAST_QUESTIONS)
-    found = None
-    for i in range(parts):
-        block = vectors if few else vectors.filter(F.pmod(F.xxhash64(*by), F.lit(parts)) == i)
-        pairs = collection.select(key, vector).join(F.broadcast(block)).select(*by, key, METRICS[metric](F.col(vector), F.col("_q")).alias("distance"))
-        best = _in_slices(pairs, by, key, k, slices)
-        found = best if found is None else found.unionByName(best)
+    asked = questions.select(*by, F.col(question_vector).alias("_q"))
+    n_rows = max(1, -(-collection.count() // (block_rows or BLOCK_ROWS)))
+    n_asked = max(1, -(-asked.count() // BROADCAST_QUESTIONS))
+    left = collection.select(
+        F.col(key), F.col(vector).alias("_v"), F.pmod(F.xxhash64(key), F.lit(n_rows)).cast("int").alias("_rows"), F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("_asked")
+    )
+    right = asked.withColumns({"_asked": F.pmod(F.xxhash64(*by), F.lit(n_asked)).cast("int"), "_rows": F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))})
+    schema = T.StructType([*(asked.schema[c] for c in by), collection.schema[key], T.StructField("distance", T.DoubleType())])
+    shape = to_arrow_schema(schema)
+
+    def best(rows: pa.Table, some: pa.Table) -> pa.Table:
+        if not rows.num_rows or not some.num_rows:
+            return shape.empty_table()
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        which, found, distances, none = _block_best(rows["_v"], some["_q"], k, metric)
+        columns = [some[c].take(pa.array(which)) for c in by]
+        return pa.table([*columns, rows[key].take(pa.array(found)), pa.array(distances, mask=none)], names=shape.names)
+
+    found = left.groupBy("_rows", "_asked").cogroup(right.groupBy("_rows", "_asked")).applyInArrow(best, schema)
     return _ranked(found, by, key, k)
 
 
+def _matrix(vectors: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a width as the columns of a matrix, and the places that they stand at; those with a null are left out."""
+    array = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    fits = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(array), width), False))
+    flat = pc.list_flatten(array)
+    if flat.null_count:
+        fits[np.asarray(pc.list_parent_indices(array))[np.asarray(flat.is_null())]] = False
+    kept = pc.list_flatten(array.filter(pa.array(fits)))
+    return np.ascontiguousarray(np.asarray(kept, np.float64).reshape(int(fits.sum()), width).T), np.flatnonzero(fits)
+
+
+def _added(a: np.ndarray, b: np.ndarray, term: Callable, n: int) -> np.ndarray:
+    """The sum of terms dimension by dimension, in order, as the column functions take it."""
+    total = np.zeros(n)
+    for x, y in zip(a, b, strict=True):
+        total += term(x, y)
+    return total
+
+
+def _block_best(vectors: pa.ChunkedArray, asked: pa.ChunkedArray, k: int, metric: str) -> tuple[np.ndarray, ...]:
+    """The k nearest of a block's vectors, which are in order of key, for each vector asked: places of both, distances, and which are null.
+
+    A product of matrices gives distances with a rounding error of known bounds. Those that can be among the k least are taken again, exactly.
+    """
+    widths = np.asarray(pc.fill_null(pc.list_value_length(asked), -1))
+    parts = []
+    for width in np.unique(widths):
+        q, q_at = _matrix(asked, int(width)) if width >= 0 else (np.zeros((0, 0)), np.flatnonzero(widths < 0))
+        unfit = np.setdiff1d(np.flatnonzero(widths == width), q_at) if width >= 0 else q_at
+        first = np.arange(min(k, len(vectors)))
+        parts.append((np.repeat(unfit, len(first)), np.tile(first, len(unfit)), np.zeros(len(unfit) * len(first)), np.full(len(unfit) * len(first), 2)))
+        if width < 0 or not len(q_at):
+            continue
+        x, x_at = _matrix(vectors, int(width))
+        others = np.setdiff1d(np.arange(len(vectors)), x_at)[:k]
+        with np.errstate(all="ignore"):
+            lengths, q_lengths = (np.sqrt(_added(m, m, np.multiply, m.shape[1])) for m in (x, q))
+            longest = lengths.max(initial=0.0)
+            margin = 8.9e-16 * (width + 8) * {"cosine": np.ones_like(q_lengths), "ip": 1 + longest * q_lengths, "l2sq": (longest + q_lengths) ** 2}[metric]
+            step = max(1, PRODUCT // max(1, len(x_at)))
+            for start in range(0, len(q_at), step):
+                some, n = slice(start, start + step), len(q_at[start : start + step])
+                near = q[:, some].T @ x
+                if metric == "l2sq":
+                    near *= -2.0
+                    near += lengths**2
+                    near += q_lengths[some, None] ** 2
+                else:
+                    if metric == "cosine":
+                        scale = q_lengths[some, None] * lengths
+                        scale[scale < 1e-290] = np.nan
+                        near /= scale
+                    np.subtract(1.0, near, out=near)
+                if len(x_at) > k:
+                    most = np.partition(near, k - 1, axis=1)[:, k - 1] + margin[some]
+                    i, j = np.nonzero(~(near > most[:, None]))  # what isn't a number is taken again too
+                else:
+                    i, j = (a.ravel() for a in np.indices((n, len(x_at))))
+                a, b = ([m[d] for d in range(width)] for m in (x, q[:, some]))
+                if metric == "l2sq":
+                    exact = _added(a, b, lambda u, v: (u[j] - v[i]) ** 2, len(i))
+                else:
+                    exact = _added(a, b, lambda u, v: u[j] * v[i], len(i))
+                kind = np.zeros(len(i), np.int64)
+                if metric == "cosine":
+                    norms = lengths[j] * q_lengths[some][i]
+                    kind[norms == 0] = 2
+                    exact /= norms
+                exact = exact if metric == "l2sq" else 1.0 - exact
+                kind[(kind == 0) & np.isnan(exact)] = 1
+                parts.append(_least(q_at[some][i], x_at[j], exact, kind, k))
+        parts.append((np.repeat(q_at, len(others)), np.tile(others, len(q_at)), np.zeros(len(q_at) * len(others)), np.full(len(q_at) * len(others), 2)))
+    which, found, distances, kind = _least(*(np.concatenate(column) for column in zip(*parts, strict=True)), k)
+    return which, found, np.where(kind == 1, np.nan, distances), kind == 2
+
+
+def _least(which: np.ndarray, found: np.ndarray, distances: np.ndarray, kind: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The k first pairs of each vector asked: numbers by distance, then what isn't a number, then nulls, ties by place."""
+    order = np.lexsort((found, np.where(kind > 0, 0.0, distances), kind, which))
+    place = np.arange(len(order)) - np.searchsorted(which[order], which[order])
+    kept = order[place < k]
+    return which[kept], found[kept], distances[kept], kind[kept]
+
+
 def _in_slices(pairs: DataFrame, by: list[str], key: str, k: int, slices: int) -> DataFrame:
     sliced = pairs.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)))
     partial = Window.partitionBy(*by, "_slice").orderBy(F.asc_nulls_last("distance"), key)

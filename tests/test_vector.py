@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomspan.functions.vectors import METRICS
 from loomspan.operators import vector
 
 
@@ -20,6 +21,35 @@ def test_nearest_equals_numpy(spark, metric, monkeypatch):
     assert vector.nearest(rows.limit(3), asked, 5, metric).count() == 21
 
 
+def by_columns(rows, asked, k, metric):
+    """Search by the column functions over all pairs."""
+    pairs = rows.join(asked).select("question_id", "vec_id", METRICS[metric](F.col("embedding"), F.col("query")).alias("distance"))
+    return [tuple(map(str, r)) for r in vector.best_of_slices(pairs, ["question_id"], "vec_id", k).orderBy("question_id", "rank").collect()]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2sq", "ip"])
+def test_nearest_equals_the_column_functions(spark, metric, monkeypatch):
+    """Ties of copies, nulls, zeros, other lengths, infinities, and lengths far apart, to the last bit, in one block and in several."""
+    r = np.random.default_rng(1)
+    x = [v.tolist() for v in np.concatenate([r.normal(size=(120, 8)), np.repeat(r.normal(size=(3, 8)), 15, axis=0), 1e-3 * r.normal(size=(20, 8)), 1e9 * r.normal(size=(3, 8))])]
+    odd = [None, [0.0] * 8, [1.0] * 7, [1.0] * 7 + [None], [float("inf")] * 8, [float("nan")] * 8, [], [1e-200] * 8]
+    rows = spark.createDataFrame([(7919 * i % 1009, v) for i, v in enumerate(x + odd)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate([*x[:5], x[130], x[140], x[170], x[187], *odd])], "question_id long, query array<double>")
+    for k in (4, 250):
+        for block in (None, 40):
+            monkeypatch.setattr(vector, "BROADCAST_QUESTIONS", 10_000 if block is None else 5)
+            monkeypatch.setattr(vector, "PRODUCT", 1 << 21 if block is None else 100)
+            got = vector.nearest(rows, asked, k, metric, block_rows=block).orderBy("question_id", "rank").collect()
+            assert [tuple(map(str, g)) for g in got] == by_columns(rows, asked, k, metric)
+
+
+def test_nearest_makes_no_row_a_pair(spark):
+    """Pairs of vectors are the elements of products of matrices, not rows of a nested loop."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<double>")
+    plan = vector.nearest(rows, rows.selectExpr("vec_id AS question_id", "embedding AS query"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_upsert_first_in_a_call_last_over_calls(spark):
     rows = spark.createDataFrame([("x", 1, 0, 0), ("x", 2, 0, 1), ("x", 3, 1, 0), ("x", 4, 1, 5), ("y", 5, 0, 2)], "text string, meta int, call int, pos int")
     got = {r.text: r.meta for r in vector.upsert(rows).collect()}
