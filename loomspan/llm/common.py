@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomspan.session import bound_batches
+
 #: What separates words, in a lower-cased text.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,20 +71,7 @@ def word_bytes(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_BYTES).split()
 
 
-#: Rows and bytes of a batch that goes to a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-
-
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with batches that are small although rows hold whole texts.
-
-    Spark takes their bounds from the session, so larger ones that are set there
-    are lowered; smaller ones stay.
-    """
-    conf = df.sparkSession.conf
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
-        now = str(conf.get(key)).removesuffix("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            conf.set(key, str(most))
+    """``mapInArrow`` with batches that are small although rows hold whole texts, as ``session.bound_batches`` makes them."""
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

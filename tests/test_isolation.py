@@ -1,5 +1,7 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loomspan import session
 from loomspan.operators import isolation, text
 
 
@@ -30,3 +32,24 @@ def test_a_failing_page_leaves_the_others(spark):
     got = {r.page_id: (r.markdown, r.error) for r in text.page_results(pages, isolation.isolated(strict, text.PARSED)).collect()}
     assert got[1] == ("# u1\n\nx", None) and got[2] == (None, "ValueError: bad page") and got[3][1].startswith("TypeError")
     assert {r.page_id for r in text.page_markdown(pages).collect()} == {1, 2, 3}
+
+
+def test_batches_are_of_few_rows(spark, monkeypatch):
+    """However many rows a partition has, a worker gets at most ``BATCH_ROWS`` together; a smaller bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    pages = spark.range(2500, numPartitions=1).select(F.col("id").alias("page_id"), F.lit("<p>a</p>").alias("html"), F.lit("http://a/").alias("url"))
+    seen = []
+    try:
+        for most in (session.BATCH_ROWS, 7):
+            monkeypatch.setattr(session, "BATCH_ROWS", most)
+            text.page_title(F.col("html"), F.col("url"))
+            sizes = pages.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+            seen.append(max(r.n for r in sizes.collect()))
+        monkeypatch.setattr(session, "BATCH_ROWS", 1000)
+        text.page_markdown(pages)
+        seen.append(int(spark.conf.get(key)))
+    finally:
+        spark.conf.set(key, before)
+    assert seen == [1000, 7, 7]
