@@ -24,8 +24,6 @@ LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 0.5, 3
 BINS = 1 << 14
 #: Count that is added to each bin, spread by the other multinomial.
 PRIOR = 0.5
-#: Labelled good documents that stand for trusted text at most: those of least hash of their id.
-TRUSTED_ROWS = 20_000
 #: Mean log-ratio (natural) from which a document stays.
 THRESHOLD = -0.1
 
@@ -95,19 +93,19 @@ def _bin(hashed: Column) -> Column:
     return hashed.bitwiseAND(F.lit(BINS - 1))
 
 
-def trusted_ids(labels: DataFrame, at_most: int = TRUSTED_ROWS) -> DataFrame:
-    """Ids of documents labelled good, ``at_most`` of them by hash of their id; an id with another label beside it, or null, is left out."""
+def trusted_ids(labels: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Ids of all documents labelled good, or on demand ``at_most`` of them by hash of their id; an id with another label beside it, or null, is left out."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most).select("doc_id")
+    return good.select("doc_id") if at_most is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most).select("doc_id")
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """For each bin, the logarithm of its probability in trusted texts over that in all texts.
 
-    ``trusted`` holds ids, at most ``TRUSTED_ROWS``. All texts are counted in one pass, whole. Without trusted
-    texts, or without any text, all ratios are 0.
+    ``trusted`` holds ids, however many: they are broadcast only where they are small. All texts are counted in one pass, whole. Without
+    trusted texts, or without any text, all ratios are 0.
     """
-    flagged = docs.select("doc_id", "text").join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("_t"))), "doc_id", "left")
+    flagged = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("_t")), "doc_id", "left")
     hashed = _hashed(flagged, text_or_empty("text"))
     bins = hashed.select("_t", F.explode(F.concat("_hashes", "_pairs")).alias("_h")).select("_t", _bin(F.col("_h")).alias("bin"))
     counts = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count("_t").alias("t")).collect()

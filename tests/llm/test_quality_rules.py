@@ -95,6 +95,17 @@ def test_trusted_ids_are_bounded_and_undisputed(spark):
     assert sorted(r.doc_id for r in rules.trusted_ids(labels).collect()) == [1, 5] and rules.trusted_ids(labels, 1).count() == 1
 
 
+def test_all_good_labels_are_counted(spark):
+    """More labels than a fixed number are all trusted, whatever the number."""
+    labels = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    ids = rules.trusted_ids(labels)
+    assert ids.count() == 30_000
+    docs = labels.select("doc_id", F.when(F.col("doc_id") < 29_000, "common words here").otherwise("rare terms there").alias("text"))
+    counts = Counter({b: 29_000 * n for b, n in Counter(grams("common words here")).items()}) + Counter({b: 1000 * n for b, n in Counter(grams("rare terms there")).items()})
+    raw = [counts[b] for b in range(rules.BINS)]
+    assert rules.fit(docs, ids) == pytest.approx(rules._ratios(raw, raw), abs=1e-9)
+
+
 def test_main_path_has_no_python(spark, awkward):
     plan = rules.rules(awkward, [0.0] * rules.BINS)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
