@@ -22,6 +22,8 @@ BLANKS, SYMBOLS = "\x20\x09\x0a\x0b\x0c\x0d", "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 0.5, 3
 #: Bins of the multinomials; the table of their ratios is all that the driver sees.
 BINS = 1 << 14
+#: Rows of 64 bits, at most, of the table that tells which documents may be trusted.
+SET_ROWS = 1 << 17
 #: Count that is added to each bin, spread by the other multinomial.
 PRIOR = 0.5
 #: Mean log-ratio (natural) from which a document stays.
@@ -99,20 +101,39 @@ def trusted_ids(labels: DataFrame, at_most: int | None = None) -> DataFrame:
     return good.select("doc_id") if at_most is None else good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(at_most).select("doc_id")
 
 
+def _that_may_be(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``text`` of the documents whose id is among ``ids``, with few others brought near them.
+
+    A table of the ids as bits, of ``SET_ROWS`` rows of 64 at most however many ids there are, is broadcast and keeps the other
+    documents' texts out of the join that decides. That join moves the trusted documents' texts, and others only as the bits fill up.
+    """
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(SET_ROWS * 64))
+    bit = F.expr("shiftleft(1L, cast(_place % 64 as int))")
+    placed = ids.filter("doc_id IS NOT NULL").select("doc_id", place.alias("_place"))
+    bits = placed.groupBy(F.floor(F.col("_place") / 64).alias("_row")).agg(F.bit_or(bit).alias("_bits"))
+    near = docs.select("doc_id", "text", place.alias("_place"))
+    near = near.withColumn("_row", F.floor(F.col("_place") / 64)).join(F.broadcast(bits), "_row").filter(F.col("_bits").bitwiseAND(bit) != 0)
+    # Not a semi-join, which Spark would move below the broadcast one, where all texts are shuffled for it.
+    return near.select("doc_id", "text").join(placed.select("doc_id").distinct(), "doc_id").select("text")
+
+
+def _counts(texts: DataFrame) -> list[int]:
+    """How many words and pairs of words of the texts fall into each bin."""
+    hashed = _hashed(texts.select("text"), text_or_empty("text"))
+    bins = hashed.select(F.explode(F.concat("_hashes", "_pairs")).alias("_h")).select(_bin(F.col("_h")).alias("bin"))
+    counts = [0] * BINS
+    for row in bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[row["bin"]] = row["n"]
+    return counts
+
+
 def fit(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """For each bin, the logarithm of its probability in trusted texts over that in all texts.
 
-    ``trusted`` holds ids, however many: they are broadcast only where they are small. All texts are counted in one pass, whole. Without
-    trusted texts, or without any text, all ratios are 0.
+    ``trusted`` holds ids, however many. All texts are counted where they lie, whole; those of trusted ids are counted once more,
+    and only they, and few others, are moved for that. Without trusted texts, or without any text, all ratios are 0.
     """
-    flagged = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("_t")), "doc_id", "left")
-    hashed = _hashed(flagged, text_or_empty("text"))
-    bins = hashed.select("_t", F.explode(F.concat("_hashes", "_pairs")).alias("_h")).select("_t", _bin(F.col("_h")).alias("bin"))
-    counts = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.count("_t").alias("t")).collect()
-    raw, good = [0] * BINS, [0] * BINS
-    for row in counts:
-        raw[row["bin"]], good[row["bin"]] = row["n"], row["t"]
-    return _ratios(raw, good)
+    return _ratios(_counts(docs), _counts(_that_may_be(docs, trusted)))
 
 
 def _ratios(raw: list[int], good: list[int]) -> list[float]:

@@ -109,3 +109,31 @@ def test_all_good_labels_are_counted(spark):
 def test_main_path_has_no_python(spark, awkward):
     plan = rules.rules(awkward, [0.0] * rules.BINS)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_many_trusted_ids_leave_the_other_texts_in_place(spark, tmp_path):
+    """Trusted ids beyond the broadcast threshold: texts of other documents aren't shuffled, and counts are those of loops."""
+    texts = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.sha2(F.col("id").cast("string"), 512)).alias("text"))
+    texts.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    ids = spark.range(0, 20_000, 10).select(F.col("id").alias("doc_id")).unionByName(spark.createDataFrame([(None,), (0,), (10**6,)], "doc_id long"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = rules._that_may_be(docs, ids)
+        got = sorted(r.text for r in near.collect())
+        executors = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        written = lambda: sum(executors().apply(i).totalShuffleWrite() for i in range(executors().size()))
+        start = written()
+        ratios = rules.fit(docs, ids)
+        moved = written() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    wanted = [r.text for r in docs.filter("doc_id % 10 = 0").collect()]
+    assert got == sorted(wanted) and moved < 20_000 * 64
+    raw, good = Counter(), Counter()
+    for r in docs.collect():
+        raw.update(grams(r.text))
+    for t in wanted:
+        good.update(grams(t))
+    assert ratios == pytest.approx(rules._ratios([raw[b] for b in range(rules.BINS)], [good[b] for b in range(rules.BINS)]), abs=1e-9)
