@@ -18,7 +18,7 @@ from __future__ import annotations
 import codecs
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -36,6 +36,8 @@ SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = rf"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"""
 #: Characters of a text split at a time, bytes fed at a time, rows of an output batch.
 SLICE, FEED, ROWS = 1 << 16, 1 << 10, 256
+#: Bytes of a run up to which it is fed whole.
+IN_VIEW = 256
 #: Pieces whose encoding a worker remembers, and their longest size in characters.
 REMEMBERED, REMEMBERED_LENGTH = 100_000, 48
 
@@ -47,6 +49,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Lengths(dict):
+    """Last three bytes (fewer at a run's beginning) -> sizes of the tokens that may end in them, longest first; remembers up to a bound."""
+
+    def __init__(self, tokens: Iterable[bytes]) -> None:
+        super().__init__()
+        self.of: dict[bytes, set[int]] = {}
+        for token in tokens:
+            self.of.setdefault(token[-3:], set()).add(len(token))
+
+    def __missing__(self, end: bytes) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        sizes = set().union(*[self.of.get(end[i:], ()) for i in range(len(end))])
+        found = self[end] = tuple(sorted(sizes, reverse=True))
+        return found
+
+
 class Merges:
     """Tables derived from a merge list: tokens by their bytes, and which tokens may stand together."""
 
@@ -72,6 +91,7 @@ class Merges:
             end = self.bytes_of[t][-1]
             self.reach[end] = max(self.reach[end], len(self.bytes_of[t]))
         self.token_of = {self.bytes_of[t]: t for t in vocab.values()}.get
+        self.lengths = Lengths(self.bytes_of[t] for t in vocab.values())
         self._apart: dict[int, bool] = {}
         self.known = self._apart.get
 
@@ -184,18 +204,67 @@ class Transducer:
         return self._back(len(self.data))
 
 
+def run_in_view(merges: Merges, data: bytes) -> list[int]:
+    """The tokens of a run that is fed whole and ends: what ``feed`` and ``finish`` give, by the same search from its end.
+
+    Most runs are a word, so positions are places of lists and no machine is made for them.
+    """
+    token_of, known, apart, lengths = merges.token_of, merges.known, merges.apart, merges.lengths
+    here = len(data)
+    if not here:
+        return []
+    last, begun, waiting = [-1, *[-2] * here], [0] * (here + 1), []
+    sizes, settled = iter(lengths[data[-3:]]), False
+    while not settled:
+        for size in sizes:
+            begin = here - size
+            if begin < 0:
+                continue
+            token = token_of(data[begin:here])
+            if token is None:
+                continue
+            before = last[begin]
+            if before == -2:
+                waiting.append((here, begin, token, sizes))
+                here, sizes = begin, iter(lengths[data[max(0, begin - 3) : begin]])
+                break
+            fits = before < 0 or known(before << 20 | token)
+            if fits is None:
+                fits = apart(before, token)
+            while fits:
+                last[here], begun[here] = token, begin
+                if not waiting:
+                    settled = True
+                    break
+                here, begin, token, sizes = waiting.pop()
+                before = last[begin]
+                fits = known(before << 20 | token)
+                if fits is None:
+                    fits = apart(before, token)
+            break  # go on with the sizes of the position that is looked at now
+        else:
+            raise ValueError("the vocabulary lacks a byte")
+    here = len(data)
+    out = []
+    while here:
+        out.append(last[here])
+        here = begun[here]
+    out.reverse()
+    return out
+
+
 class Pieces(dict):
-    """Piece of text -> ids. Short pieces are remembered, in two generations of bounded size."""
+    """Piece of text -> ids, as the bytes of 32-bit numbers. Short pieces are remembered, in two generations of bounded size."""
 
     def __init__(self, merges: Merges) -> None:
         super().__init__()
         self.merges = merges
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self._encode(piece)
+            ids = array("i", self._encode(piece)).tobytes()
         if len(piece) <= REMEMBERED_LENGTH:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -203,11 +272,14 @@ class Pieces(dict):
             self[piece] = ids
         return ids
 
-    def _encode(self, piece: str) -> tuple[int, ...]:
-        machine, data, out = Transducer(self.merges), piece.encode("utf-8", "replace"), []
+    def _encode(self, piece: str) -> list[int]:
+        data = piece.encode("utf-8", "replace")
+        if len(data) <= IN_VIEW:
+            return run_in_view(self.merges, data)
+        machine, out = Transducer(self.merges), []
         for i in range(0, len(data), FEED):
             out += machine.feed(data[i : i + FEED])
-        return tuple(out + machine.finish())
+        return out + machine.finish()
 
 
 class Tokenizer:
@@ -240,7 +312,7 @@ class Tokenizer:
         for m in chain(self.merges.special_pattern.finditer(text) if "<|" in text else (), (None,)):
             part = text[at : m.start() if m else len(text)] if at or m else text
             for run in self._runs(part):
-                out.extend(chain.from_iterable(map(self.pieces.__getitem__, run)))
+                out.frombytes(b"".join(map(self.pieces.__getitem__, run)))
             if m:
                 out.append(self.merges.special[m[0]])
                 at = m.end()
@@ -332,8 +404,24 @@ def round_trip(
     beyond the text and its ids doesn't grow with them.
     """
     narrow = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
-    encoded = encode(narrow, vocabulary).drop("text")
-    return decode(encoded, vocabulary).select(
+    schema = T.StructType([narrow.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = tokenizer(vocabulary)
+        for whole in batches:
+            for i in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(i, ROWS)
+                flat, ends, texts = array("i"), [0], []
+                for text in batch.column("text").to_pylist():
+                    ids = tool.encode(text)
+                    flat.extend(ids)
+                    ends.append(len(flat))
+                    texts.append(tool.decode(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
+
+    # Both ways in one worker: a second one would hold the tables and the remembered pieces once more.
+    return map_arrow(narrow, run, schema).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

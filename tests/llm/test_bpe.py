@@ -68,3 +68,19 @@ def test_awkward_rows_round_trip(awkward, empty):
     assert len(back) == awkward.count() and all(r.decoded == (r.text or "") for r in back)
     assert bpe.round_trip(awkward, PATH).filter("n_tokens = 0").count() == awkward.filter("coalesce(text, '') = ''").count()
     assert bpe.round_trip(empty, PATH).collect() == []
+
+
+def test_runs_in_view_equal_the_machine(tools):
+    """Short runs are searched without a machine, and give what it gives."""
+    own, library = tools
+    r = random.Random(23)
+    for n in [1, 2, 3, 9, 40, 127, 128, 255, 256]:
+        for letters in ("etaoinshr", "\x01\x02\x7f", "é\u1e9e中", " \n"):
+            data = "".join(r.choice(letters) for _ in range(n)).encode()[:256]
+            machine = bpe.Transducer(own.merges)
+            assert bpe.run_in_view(own.merges, data) == machine.feed(data) + machine.finish()
+
+
+def test_round_trip_takes_one_python_step(awkward):
+    plan = bpe.round_trip(awkward, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
