@@ -41,3 +41,14 @@ def test_overlaps_equal_the_column(spark):
     got = {(x.a, x.r): x.overlap for x in evaluation.overlaps(answers, references, "a", "r").collect()}
     pairs = answers.join(references).select("a", "r", evaluation.keyword_overlap(F.col("reference"), F.col("answer")).alias("o")).collect()
     assert got == {(x.a, x.r): x.o or 0.0 for x in pairs} and got[1, 7] == 0.667 and len(got) == 12
+
+
+def test_overlaps_shuffle_no_pairs(spark):
+    """Pairs come last: nothing above the join of answers with references shuffles, sorts or sums up."""
+    answers = spark.createDataFrame([(i, "grado ects tiene") for i in range(20)], "a int, answer string")
+    references = spark.createDataFrame([(i, "Grado tiene ECTS") for i in range(20)], "r int, reference string")
+    got = evaluation.overlaps(answers, references, "a", "r")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join Cross")]
+    assert "Aggregate" not in above and "Repartition" not in above and plan.count("Join Cross") == 1
+    assert {r.overlap for r in got.collect()} == {1.0} and got.count() == 400
