@@ -10,11 +10,10 @@ diagonals that a similarity of 0.8 allows. Short texts have sketches of k-mers o
 
 Equal texts are one node with a number. Within a bucket first every node is compared with the
 bucket's hub, another one for every sketch, and classes are formed; then, in buckets that still hold several
-classes, nodes of different classes are compared: all of them in small buckets.
-The nodes of large ones, and the shortest texts, go through an exact prefix-filter join: any two that are
-similar have one of their rarest threes of words in common, at places that an
-alignment allows. Only what shares such words and is still in different
-classes after a pass with hubs is compared, and none of that is left out.
+classes, all nodes of different classes are compared: in small buckets as they are.
+In large ones the marks of all nodes are compared, in blocks of two parts of the bucket, and only what
+they let pass is written. The shortest texts have their rarest threes of words as further
+sketches: any two that are similar have one of these in common.
 
 Before the texts of two candidates are fetched, their marks are compared: of each
 text 512 bits or more, at least two a word, that its words turn over, of which d
@@ -30,25 +29,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.common import map_arrow, packed, row_key, word_bytes
 from loomspan.llm.components import components
 from loomspan.llm.decontaminate import bit_set
-from loomspan.session import discard, materialize
+from loomspan.session import bound_batches, discard, materialize
 
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
-#: Longs of a text's marks at least, which rule out most candidates before their texts are fetched; and at most where they stand beside each three of words.
+#: Longs of a text's marks at least, which rule out most candidates before their texts are fetched; and at most in a block.
 MARKS, MARKS_BESIDE = 8, 32
-#: Nodes of a bucket that are compared in all pairs; the nodes of larger ones go through the exact join. Bins of its histogram.
+#: Nodes of a bucket that are compared in all pairs; the marks of larger ones' nodes are compared in blocks. Bins of the histogram of threes.
 SMALL, BINS = 16, 1 << 18
 #: Words of a text up to which it also has sketches of k-mers of two words, as few changes leave a short text no longer one in common,
-#: and up to which it goes through the exact join whatever its buckets.
+#: and words up to which a text is met by its rarest threes of words, with texts of any length.
 SHORT, SHORTEST = 64, 12
-#: Texts of one part, where many have a three of words in common.
-TOGETHER = 128
+#: Nodes of one part of a large bucket; a task compares two parts.
+TOGETHER = 1024
 #: Words a worker remembers, rows of an output batch, places that are put in order at once.
 REMEMBERED, ROWS, ORDERED = 300_000, 256, 1 << 16
 
@@ -88,7 +87,8 @@ def labelled_kmers(hashes: np.ndarray, k: int = KMER) -> np.ndarray:
         first = np.maximum.accumulate(np.where(same, 0, index))
         occurrence = np.empty(n, np.uint64)
         occurrence[order] = (index - first).astype(np.uint64)
-        kmers = _mix(kmers + occurrence * _STEP[31])
+        # A first occurrence has the same hash in a text with repeated k-mers as in one without.
+        kmers = np.where(occurrence > 0, _mix(kmers + occurrence * _STEP[31]), kmers)
     return kmers
 
 
@@ -121,9 +121,12 @@ def _sketched(kmers: np.ndarray) -> np.ndarray:
 def marks(hashes: np.ndarray) -> np.ndarray:
     """For each of 64 * MARKS bins, doubled until there are two a word, whether an odd number of the words falls into it, as bits.
 
-    A replaced word changes two bits at most, one put in or left out changes one.
+    Equal words are told apart by their occurrence number, as two of a kind would leave no mark. A replaced word
+    changes two bits at most, one put in or left out changes one: of a word's occurrences only the last one comes or goes.
     """
     bins = max(64 * MARKS, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0)
+    if len(hashes):
+        hashes = labelled_kmers(hashes, 1)
     odd = np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -316,13 +319,68 @@ def _pairs_within(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return pairs, sized.filter(F.col("_n") > SMALL)
 
 
+def _meeting(words: np.ndarray, marked: list[np.ndarray], roots: np.ndarray, parts: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which two of a block's texts, by place, have different classes and word counts and marks that similar texts can have.
+
+    With ``across``, only texts of different parts are paired.
+    """
+    order = np.argsort(words, kind="stable")
+    words, roots, parts = words[order], roots[order], parts[order]
+    longs = np.array([len(marked[i]) for i in order])
+    ends = np.searchsorted(words, words / SIMILAR + 1e-6, "right")
+    one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in np.unique(longs):  # no longer text has fewer marks
+        low, high = np.flatnonzero(longs == size)[[0, -1]] + [0, 1]
+        folded = np.stack([np.bitwise_xor.reduce(marked[i].view(np.uint64).reshape(-1, size), axis=0) for i in order[low : ends[high - 1]]])
+        for i in range(low, high, ROWS):
+            until = min(i + ROWS, high)
+            rows, columns = slice(i, until), slice(i, ends[until - 1])
+            differing = np.zeros((until - i, ends[until - 1] - i), np.int32)
+            for k in range(size):
+                differing += np.bitwise_count(folded[i - low : until - low, k, None] ^ folded[None, i - low : ends[until - 1] - low, k])
+            longest, shortest = words[None, columns], words[rows, None]
+            meets = differing <= 2 * np.floor((1 - SIMILAR) * longest + 1e-9) - (longest - shortest)
+            meets &= (shortest >= SIMILAR * longest - 1e-9) & (roots[rows, None] != roots[None, columns])
+            meets &= np.arange(i, until)[:, None] < np.arange(i, ends[until - 1])[None]
+            if across:
+                meets &= parts[rows, None] != parts[None, columns]
+            x, y = np.nonzero(meets)
+            one.append(order[x + i])
+            other.append(order[y + i])
+    return np.concatenate(one), np.concatenate(other)
+
+
+def _pairs_of_large(rows: DataFrame, keys: list[str], nodes: DataFrame) -> DataFrame:
+    """All pairs of different classes in large groups that word counts and marks don't rule out.
+
+    Groups are parted, and a task takes the marks of two parts: what is compared grows with a group's square,
+    what is written only with the pairs that can be similar.
+    """
+    parts = F.ceil(F.col("_n") / TOGETHER)
+    dealt = (
+        rows.withColumn("_part", F.pmod(F.xxhash64("id"), parts))
+        .withColumn("_met", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .select("id", "n_words", "root", "_part", *keys, F.least("_part", "_met").alias("_p"), F.greatest("_part", "_met").alias("_q"))
+        .join(nodes.select("id", _folded(F.col("marks"), F.lit(MARKS_BESIDE)).alias("marks")), "id")
+    )
+
+    def run(block: pa.Table) -> pa.Table:
+        words, ids, roots, part, p, q = (block.column(c).to_numpy() for c in ("n_words", "id", "root", "_part", "_p", "_q"))
+        marked = [x.values.to_numpy(zero_copy_only=False) for x in block.column("marks")]
+        one, other = _meeting(words, marked, roots, part, p[0] != q[0])
+        return pa.table({"a": np.minimum(ids[one], ids[other]), "b": np.maximum(ids[one], ids[other])})
+
+    bound_batches(rows.sparkSession)
+    return dealt.groupBy(*keys, "_p", "_q").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id, class_size, n_found, kept.
 
     Rows are in one class if a chain of links joins them; a link is an alignment
     similarity of 0.8 or more between texts that share a sketch or, where one has at most ``SHORTEST``
-    words or both are in buckets of over ``SMALL``, any of their rarest threes of words, which all such
-    texts that are similar do. ``class_id`` is
+    words, any of their rarest threes of words, which all such
+    texts that are similar do. Buckets of any size are compared whole. ``class_id`` is
     the least doc_id of the class and ``kept`` marks the rows that have it;
     ``n_found`` counts
     the links found from the row's text to others, which join the class; as pairs that
@@ -368,61 +426,25 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     A node has the id of one of the rows of ``printed`` that have its words.
     """
     bucket = ["band", "h"]
-    banded = nodes.select("id", F.xxhash64("node").alias("by"), "n_words", F.posexplode("sketches").alias(*bucket))
+    texts = printed.select("id", "terms")
+    short = nodes.filter(F.col("n_words") <= SHORTEST / SIMILAR).select("id")
+    rare = _rare_grams(printed.filter(F.col("n_words") <= SHORTEST / SIMILAR).select("id", "terms").join(short, "id", "left_semi"))
+    named = nodes.select("id", F.xxhash64("node").alias("by"), "n_words")
+    banded = named.join(rare.select("id", (3 * SKETCHES + F.pmod("gram", F.lit(SKETCHES))).cast("int").alias("band"), F.col("gram").alias("h")), "id")
+    banded = banded.unionByName(nodes.select("id", F.xxhash64("node").alias("by"), "n_words", F.posexplode("sketches").alias(*bucket)))
     hubs = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *_hub("band", "id", "n_words")).filter("_n > 1").drop("_n")
     shared = materialize(banded.join(hubs, bucket), "buckets")
     beside = shared.filter((F.col("id") != F.col("hub_id")) & _long_enough(F.col("n_words"), F.col("hub_n_words")))
     first = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct(), nodes), "pairs")
-    texts = printed.select("id", "terms")
     linked = materialize(_verified(first, texts), "links")
 
     roots = materialize(components(linked).withColumnRenamed("node", "id"), "roots")
     rest = shared.select("id", "n_words", *bucket).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     second, large = _pairs_within(rest, bucket)
-    second = materialize(_plausible(second.distinct().join(first, ["a", "b"], "left_anti"), nodes), "pairs")
+    second = second.unionByName(_pairs_of_large(large, bucket, nodes)).distinct()
+    second = materialize(_plausible(second.join(first, ["a", "b"], "left_anti"), nodes), "pairs")
     linked = _with_more(linked, _verified(second, texts))
-    short = nodes.filter(F.col("n_words") <= SHORTEST / SIMILAR).select("id")
-    crowded = materialize(large.select("id").unionByName(short).distinct().join(nodes.select("id", F.xxhash64("node").alias("by"), "n_words"), "id"), "large")
-    discard(shared, roots)
-    if crowded.isEmpty():
-        return linked
-    tried = first.unionByName(second)
-    rare = _rare_grams(_those(texts, crowded.select("id")).join(crowded.select("id"), "id", "left_semi"))
-    # Most threes of words stand in one text, so first only they and their texts' ids are shuffled.
-    several = rare.groupBy("gram").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).filter("_low < _high").select("gram")
-    shared_grams = rare.join(several, "gram", "left_semi")
-    shared_grams = materialize(_rooted(shared_grams.join(crowded, "id"), linked), "grams")
-    discard(rare)
-    gram_hubs = shared_grams.groupBy("gram").agg(*_hub("gram", "id", "n_words", "at", "root"))
-    # Hubs join most of what belongs together, so that few pairs of different classes are left.
-    beside = shared_grams.join(gram_hubs, "gram").filter((F.col("root") != F.col("hub_root")) & _may_align("n_words", "at", "hub_n_words", "hub_at"))
-    third = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct().join(tried, ["a", "b"], "left_anti"), nodes), "pairs")
-    linked = _with_more(linked, _verified(third, texts))
-    rooted = materialize(_rooted(shared_grams.select("id", "n_words", "gram"), linked), "grams")
-    discard(shared_grams)
-    # Threes of words that stand in the same texts, as those of a passage do, give the same pairs, so one of them is enough.
-    stands = rooted.groupBy("gram").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("_n"), *[F.bit_xor(F.xxhash64("id", F.lit(i))).alias(f"_x{i}") for i in range(2)])
-    one_each = stands.filter("_low < _high").groupBy("_n", "_x0", "_x1").agg(F.min("gram").alias("gram")).select("gram", "_n")
-    # Where both texts have the same three before, the pair was met there; commonest first, as passages share those.
-    in_order = Window.partitionBy("id").orderBy(F.desc("_n"), "gram")
-    met = rooted
-    rooted = rooted.join(one_each, "gram").withColumn("before", F.lag("gram").over(in_order))
-    beside = nodes.select("id", _folded(F.col("marks"), F.lit(MARKS_BESIDE)).alias("marks"))
-    rooted = materialize(rooted.join(beside, "id"), "grams")
-    discard(met)
-    # Texts of a common three are parted, and parts dealt out: few bytes can make many pairs, and tasks must not be joined by bytes.
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = F.ceil(F.col("_n") / TOGETHER)
-    one = rooted.withColumn("part", F.pmod(F.xxhash64("id"), parts)).repartition(tasks, "gram", "part")
-    other = rooted.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).repartition(tasks, "gram", "part")
-    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    on &= F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True))
-    on &= _long_enough(F.col("x.n_words"), F.col("y.n_words")) & _marks_allow("x.n_words", "x.marks", "y.n_words", "y.marks")
-    pairs = one.alias("x").join(other.alias("y"), on)
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    pairs = materialize(_plausible(pairs.join(tried.unionByName(third), ["a", "b"], "left_anti"), nodes), "pairs")
-    linked = _with_more(linked, _verified(pairs, texts))
-    discard(first, second, third, pairs, rooted, crowded)
+    discard(shared, roots, rare, first, second)
     return linked
 
 
@@ -433,18 +455,6 @@ def _with_more(linked: DataFrame, more: DataFrame) -> DataFrame:
     return grown
 
 
-def _may_align(words_a: str, at_a: str, words_b: str, at_b: str) -> Column:
-    """Whether texts of these lengths can be similar with the same words at both places."""
-    a, b = F.col(words_a), F.col(words_b)
-    return _long_enough(a, b) & (F.abs(F.col(at_a) - F.col(at_b)) <= (1 - SIMILAR) * F.greatest(a, b) + 1e-9)
-
-
-def _rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """Rows of nodes with the class of their text."""
-    roots = components(linked).withColumnRenamed("node", "id")
-    return rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-
 def _rare_grams(texts: DataFrame) -> DataFrame:
     """Of each text (id, terms) as many of its rarest threes of words (``gram``, ``at``) that two similar texts have one in common.
 

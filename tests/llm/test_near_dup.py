@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomspan.llm import near_dup
 from loomspan.llm.common import word_bytes
@@ -142,6 +143,35 @@ def test_large_bucket_of_distinct_classes_links_all_similar_texts(spark):
     assert len(found) == 40
 
 
+def test_large_bucket_is_compared_in_parts_and_writes_only_pairs_that_can_be_similar(spark, monkeypatch):
+    """Different texts of repeated words in one bucket, as stretched ones are: their pairs grow with the square, what is written doesn't."""
+    monkeypatch.setattr(near_dup, "TOGETHER", 16)
+    r = np.random.default_rng(4)
+    texts = [np.repeat(r.integers(0, 2**31, 10), 22)[: int(r.integers(150, 220))] for _ in range(120)]
+    texts += [np.concatenate([t[:-20], r.integers(0, 2**31, 20)]) for t in texts[:30]]
+    texts += [np.arange(600), np.arange(500), np.arange(300), np.arange(250)]  # marks of three sizes
+    rows = [(i, len(t), i, [0], near_dup.marks(t.astype(np.uint64)).tolist(), len(texts)) for i, t in enumerate(texts)]
+    nodes = spark.createDataFrame(rows, "id long, n_words int, root long, k array<int>, marks array<long>, _n long")
+    met = [tuple(x) for x in near_dup._pairs_of_large(nodes.select("id", "n_words", "root", F.lit(0).alias("k"), "_n"), ["k"], nodes).collect()]
+    alike = {(a, b) for b in range(len(texts)) for a in range(b) if near_dup.similar(texts[a], texts[b]) is not None}
+    assert len(met) == len(set(met)) and alike <= set(met) and len(alike) >= 32
+    assert len(met) < 2 * len(alike)  # of 11,781 pairs
+    same = nodes.withColumn("root", F.lit(7))
+    assert near_dup._pairs_of_large(same.select("id", "n_words", "root", F.lit(0).alias("k"), "_n"), ["k"], nodes).count() == 0
+
+
+def test_a_repeated_kmer_changes_no_other(spark):
+    """A first occurrence is the same k-mer whether or not others are repeated; short texts were not linked before."""
+    words = np.arange(1, 40, dtype=np.uint64)
+    for k in (1, 2, 3, 5):
+        once, twice = near_dup.labelled_kmers(words, k), near_dup.labelled_kmers(np.concatenate([words, words[:k]]), k)
+        assert set(once.tolist()) < set(twice.tolist()) and len(set(twice.tolist())) == len(twice)
+    rows = [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i a b c")]  # a b c twice
+    rows += [(i + 2, t.replace("a b c d", "x b c d")) for i, t in rows]
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 2}
+
+
 def test_marks_rule_out_no_similar_pair(spark):
     """Edits of all kinds up to the limit, in few and in many distinct words, and pairs that have nothing in common."""
     r = random.Random(3)
