@@ -9,14 +9,14 @@ any of these sketches are candidates, and candidates are aligned word by word wi
 diagonals that a similarity of 0.8 allows. Short texts have sketches of k-mers of two words too.
 
 Equal texts are one node with a number. Within a bucket first every node is compared with the
-bucket's hub, another one for every sketch, and classes are formed; then, in buckets that still hold several
+bucket's hub and classes are formed, in large buckets then with the node nearest to it; then, in buckets that still hold several
 classes, all nodes of different classes are compared: in small buckets as they are.
 In large ones the marks of all nodes are compared, in blocks of two parts of the bucket, and only what
 they let pass is written. The shortest texts have their rarest threes of words as further
 sketches: any two that are similar have one of these in common.
 
 Before the texts of two candidates are fetched, their marks are compared: of each
-text 512 bits or more, at least two a word, that its words turn over, of which d
+text 512 bits or more, at least four a word, that its words turn over, of which d
 changed words change 2 d at most. Before texts are aligned, their words are counted.
 Pairs that differ in more than a similarity of 0.8 allows go, so nothing is lost.
 """
@@ -40,14 +40,16 @@ from loomspan.session import bound_batches, discard, materialize
 #: Words of a k-mer, sketches of a document, k-mers of a sketch, least similarity.
 KMER, SKETCHES, PICKED, SIMILAR = 5, 16, 2, 0.8
 #: Longs of a text's marks at least, which rule out most candidates before their texts are fetched; and at most in a block.
-MARKS, MARKS_BESIDE = 8, 32
+MARKS, MARKS_BESIDE = 8, 128
+#: Bins of marks for each word, so that few changed words hide in the same ones.
+BINS_A_WORD = 4
 #: Nodes of a bucket that are compared in all pairs; the marks of larger ones' nodes are compared in blocks. Bins of the histogram of threes.
 SMALL, BINS = 16, 1 << 18
 #: Words of a text up to which it also has sketches of k-mers of two words, as few changes leave a short text no longer one in common,
 #: and words up to which a text is met by its rarest threes of words, with texts of any length.
 SHORT, SHORTEST = 64, 12
 #: Nodes of one part of a large bucket; a task compares two parts.
-TOGETHER = 1024
+TOGETHER = 2048
 #: Words a worker remembers, rows of an output batch, places that are put in order at once.
 REMEMBERED, ROWS, ORDERED = 300_000, 256, 1 << 16
 
@@ -119,12 +121,12 @@ def _sketched(kmers: np.ndarray) -> np.ndarray:
 
 
 def marks(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * MARKS bins, doubled until there are two a word, whether an odd number of the words falls into it, as bits.
+    """For each of 64 * MARKS bins, doubled until there are ``BINS_A_WORD``, whether an odd number of the words falls into it, as bits.
 
     Equal words are told apart by their occurrence number, as two of a kind would leave no mark. A replaced word
     changes two bits at most, one put in or left out changes one: of a word's occurrences only the last one comes or goes.
     """
-    bins = max(64 * MARKS, 1 << (2 * len(hashes) - 1).bit_length() if len(hashes) else 0)
+    bins = max(64 * MARKS, 1 << (BINS_A_WORD * len(hashes) - 1).bit_length() if len(hashes) else 0)
     if len(hashes):
         hashes = labelled_kmers(hashes, 1)
     odd = np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins) & 1
@@ -302,10 +304,9 @@ def _pair(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
-def _hub(of: str, *columns: str) -> list[Column]:
-    """The columns of a group's node that comes first by a hash of its words and ``of``."""
-    by = F.xxhash64("by", of)
-    return [F.min_by(c, by).alias(f"hub_{c}") for c in columns]
+def _hub(*columns: str) -> list[Column]:
+    """The columns of a group's node that comes first by a hash of its words, so that near copies have one hub in most of their groups."""
+    return [F.min_by(c, "by").alias(f"hub_{c}") for c in columns]
 
 
 def _pairs_within(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -319,16 +320,17 @@ def _pairs_within(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     return pairs, sized.filter(F.col("_n") > SMALL)
 
 
-def _meeting(words: np.ndarray, marked: list[np.ndarray], roots: np.ndarray, parts: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
+def _meeting(words: np.ndarray, marked: list[np.ndarray], roots: np.ndarray, parts: np.ndarray, across: bool, nearest: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Which two of a block's texts, by place, have different classes and word counts and marks that similar texts can have.
 
-    With ``across``, only texts of different parts are paired.
+    With ``across``, only texts of different parts are paired. With ``nearest``, each text is paired only with
+    the one whose marks leave most room.
     """
     order = np.argsort(words, kind="stable")
     words, roots, parts = words[order], roots[order], parts[order]
     longs = np.array([len(marked[i]) for i in order])
     ends = np.searchsorted(words, words / SIMILAR + 1e-6, "right")
-    one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    one, other, room = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for size in np.unique(longs):  # no longer text has fewer marks
         low, high = np.flatnonzero(longs == size)[[0, -1]] + [0, 1]
         folded = np.stack([np.bitwise_xor.reduce(marked[i].view(np.uint64).reshape(-1, size), axis=0) for i in order[low : ends[high - 1]]])
@@ -339,19 +341,25 @@ def _meeting(words: np.ndarray, marked: list[np.ndarray], roots: np.ndarray, par
             for k in range(size):
                 differing += np.bitwise_count(folded[i - low : until - low, k, None] ^ folded[None, i - low : ends[until - 1] - low, k])
             longest, shortest = words[None, columns], words[rows, None]
-            meets = differing <= 2 * np.floor((1 - SIMILAR) * longest + 1e-9) - (longest - shortest)
-            meets &= (shortest >= SIMILAR * longest - 1e-9) & (roots[rows, None] != roots[None, columns])
+            left = 2 * np.floor((1 - SIMILAR) * longest + 1e-9) - (longest - shortest) - differing
+            meets = (left >= 0) & (shortest >= SIMILAR * longest - 1e-9) & (roots[rows, None] != roots[None, columns])
             meets &= np.arange(i, until)[:, None] < np.arange(i, ends[until - 1])[None]
             if across:
                 meets &= parts[rows, None] != parts[None, columns]
             x, y = np.nonzero(meets)
             one.append(order[x + i])
             other.append(order[y + i])
-    return np.concatenate(one), np.concatenate(other)
+            room.append(left[x, y])
+    one, other, room = map(np.concatenate, (one, other, room))
+    if nearest:
+        most = np.argsort(-room, kind="stable")
+        most = most[np.unique(np.concatenate([np.unique(end[most], return_index=True)[1] for end in (one, other)]))]
+        one, other = one[most], other[most]
+    return one, other
 
 
-def _pairs_of_large(rows: DataFrame, keys: list[str], nodes: DataFrame) -> DataFrame:
-    """All pairs of different classes in large groups that word counts and marks don't rule out.
+def _pairs_of_large(rows: DataFrame, keys: list[str], nodes: DataFrame, nearest: bool = False) -> DataFrame:
+    """All pairs of different classes in large groups that word counts and marks don't rule out, or only each text's nearest of its own part.
 
     Groups are parted, and a task takes the marks of two parts: what is compared grows with a group's square,
     what is written only with the pairs that can be similar.
@@ -359,7 +367,7 @@ def _pairs_of_large(rows: DataFrame, keys: list[str], nodes: DataFrame) -> DataF
     parts = F.ceil(F.col("_n") / TOGETHER)
     dealt = (
         rows.withColumn("_part", F.pmod(F.xxhash64("id"), parts))
-        .withColumn("_met", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        .withColumn("_met", F.col("_part") if nearest else F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         .select("id", "n_words", "root", "_part", *keys, F.least("_part", "_met").alias("_p"), F.greatest("_part", "_met").alias("_q"))
         .join(nodes.select("id", _folded(F.col("marks"), F.lit(MARKS_BESIDE)).alias("marks")), "id")
     )
@@ -367,7 +375,7 @@ def _pairs_of_large(rows: DataFrame, keys: list[str], nodes: DataFrame) -> DataF
     def run(block: pa.Table) -> pa.Table:
         words, ids, roots, part, p, q = (block.column(c).to_numpy() for c in ("n_words", "id", "root", "_part", "_p", "_q"))
         marked = [x.values.to_numpy(zero_copy_only=False) for x in block.column("marks")]
-        one, other = _meeting(words, marked, roots, part, p[0] != q[0])
+        one, other = _meeting(words, marked, roots, part, p[0] != q[0], nearest)
         return pa.table({"a": np.minimum(ids[one], ids[other]), "b": np.maximum(ids[one], ids[other])})
 
     bound_batches(rows.sparkSession)
@@ -432,22 +440,34 @@ def links(printed: DataFrame, nodes: DataFrame) -> DataFrame:
     named = nodes.select("id", F.xxhash64("node").alias("by"), "n_words")
     banded = named.join(rare.select("id", (3 * SKETCHES + F.pmod("gram", F.lit(SKETCHES))).cast("int").alias("band"), F.col("gram").alias("h")), "id")
     banded = banded.unionByName(nodes.select("id", F.xxhash64("node").alias("by"), "n_words", F.posexplode("sketches").alias(*bucket)))
-    hubs = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *_hub("band", "id", "n_words")).filter("_n > 1").drop("_n")
+    hubs = banded.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"), *_hub("id", "n_words")).filter("_n > 1").drop("_n")
     shared = materialize(banded.join(hubs, bucket), "buckets")
     beside = shared.filter((F.col("id") != F.col("hub_id")) & _long_enough(F.col("n_words"), F.col("hub_n_words")))
     first = materialize(_plausible(beside.select(*_pair("hub_id", "id")).distinct(), nodes), "pairs")
     linked = materialize(_verified(first, texts), "links")
 
-    roots = materialize(components(linked).withColumnRenamed("node", "id"), "roots")
-    rest = shared.select("id", "n_words", *bucket).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    second, large = _pairs_within(rest, bucket)
-    second = second.unionByName(_pairs_of_large(large, bucket, nodes)).distinct()
-    second = materialize(_plausible(second.join(first, ["a", "b"], "left_anti"), nodes), "pairs")
+    # Nearest texts first, which join most of what belongs together, so that few pairs of different classes are left.
+    _, large, roots = _rest(shared, bucket, linked)
+    nearest = materialize(_pairs_of_large(large, bucket, nodes, nearest=True).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    linked = _with_more(linked, _verified(nearest, texts))
+    discard(roots)
+    second, large, roots = _rest(shared, bucket, linked)
+    tried = first.unionByName(nearest)
+    # Large buckets' pairs have been held against marks in their blocks.
+    second = _plausible(second.distinct(), nodes).unionByName(_pairs_of_large(large, bucket, nodes)).distinct()
+    second = materialize(second.join(tried, ["a", "b"], "left_anti"), "pairs")
     linked = _with_more(linked, _verified(second, texts))
-    discard(shared, roots, rare, first, second)
+    discard(shared, roots, rare, first, nearest, second)
     return linked
 
 
+def _rest(shared: DataFrame, bucket: list[str], linked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``_pairs_within``, of the classes that the links make so far, and the table of these."""
+    roots = materialize(components(linked).withColumnRenamed("node", "id"), "roots")
+    rest = shared.select("id", "n_words", *bucket).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return *_pairs_within(rest, bucket), roots
+
+
 def _with_more(linked: DataFrame, more: DataFrame) -> DataFrame:
     """Links with further ones, in place of the table that they were in."""
     grown = materialize(linked.unionByName(more), "links")

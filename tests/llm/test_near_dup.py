@@ -156,6 +156,10 @@ def test_large_bucket_is_compared_in_parts_and_writes_only_pairs_that_can_be_sim
     alike = {(a, b) for b in range(len(texts)) for a in range(b) if near_dup.similar(texts[a], texts[b]) is not None}
     assert len(met) == len(set(met)) and alike <= set(met) and len(alike) >= 32
     assert len(met) < 2 * len(alike)  # of 11,781 pairs
+    rows = nodes.select("id", "n_words", "root", F.lit(0).alias("k"), "_n")
+    near = [tuple(x) for x in near_dup._pairs_of_large(rows, ["k"], nodes, nearest=True).collect()]
+    assert set(near) <= set(met) and 0 < len(near) < len(met)
+    assert "explode" not in near_dup._pairs_of_large(rows, ["k"], nodes, nearest=True)._jdf.queryExecution().toString()
     same = nodes.withColumn("root", F.lit(7))
     assert near_dup._pairs_of_large(same.select("id", "n_words", "root", F.lit(0).alias("k"), "_n"), ["k"], nodes).count() == 0
 
