@@ -365,17 +365,25 @@ def _pairs_of_large(rows: DataFrame, keys: list[str], nodes: DataFrame, nearest:
     what is written only with the pairs that can be similar.
     """
     parts = F.ceil(F.col("_n") / TOGETHER)
+    once = ["sketches"] if "band" in keys and not nearest else []
     dealt = (
         rows.withColumn("_part", F.pmod(F.xxhash64("id"), parts))
         .withColumn("_met", F.col("_part") if nearest else F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         .select("id", "n_words", "root", "_part", *keys, F.least("_part", "_met").alias("_p"), F.greatest("_part", "_met").alias("_q"))
-        .join(nodes.select("id", _folded(F.col("marks"), F.lit(MARKS_BESIDE)).alias("marks")), "id")
+        .join(nodes.select("id", _folded(F.col("marks"), F.lit(MARKS_BESIDE)).alias("marks"), *once), "id")
     )
 
     def run(block: pa.Table) -> pa.Table:
         words, ids, roots, part, p, q = (block.column(c).to_numpy() for c in ("n_words", "id", "root", "_part", "_p", "_q"))
         marked = [x.values.to_numpy(zero_copy_only=False) for x in block.column("marks")]
         one, other = _meeting(words, marked, roots, part, p[0] != q[0], nearest)
+        band = block.column("band")[0].as_py() if once else 3 * SKETCHES
+        if band < 3 * SKETCHES:  # a pair of several buckets is told in the first one, which is compared too
+            own = np.zeros((len(ids), 3 * SKETCHES), np.int64)
+            for i, x in enumerate(block.column("sketches")):
+                own[i, : len(x)] = x.values.to_numpy(zero_copy_only=False)
+            told = [np.zeros(0, bool)] + [(own[one[i : i + ORDERED]] == own[other[i : i + ORDERED]]).argmax(axis=1) == band for i in range(0, len(one), ORDERED)]
+            one, other = one[np.concatenate(told)], other[np.concatenate(told)]
         return pa.table({"a": np.minimum(ids[one], ids[other]), "b": np.maximum(ids[one], ids[other])})
 
     bound_batches(rows.sparkSession)
