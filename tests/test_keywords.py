@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomspan import session
 from loomspan.operators import evaluation, graph, keywords
 
 
@@ -22,6 +23,50 @@ def test_equals_a_search_of_every_text(spark):
     assert pairs(spark, texts, words) == wanted(texts, words)
 
 
+def long_texts():
+    rng = random.Random(7)
+    letters = "abAB😀ñ\n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["", None, "aaaaaaaaaaaaaaaaaaaaaaaa", "😀" * 20]
+    words = [t[i : i + n] for t in texts if t for n in range(1, 14) for i in [rng.randrange(0, max(len(t) - n, 1))]] + ["aaaaaaa", "AAAAAAAA", "😀" * 7, "", "aaaaaaaaab"]
+    return texts, words
+
+
+def test_pairs_of_all_lengths_come_once(spark):
+    """Keywords of every class of length, repeating and beyond the basic plane, at every place of a text."""
+    texts, words = long_texts()
+    assert pairs(spark, texts, words) == wanted(texts, words)
+
+
+def test_keywords_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(keywords, "BROADCAST_GRAMS", 0)
+    texts, words = long_texts()
+    assert pairs(spark, texts, words) == wanted(texts, words)
+
+
+def test_rows_that_repeat_have_pairs_each(spark):
+    texts = spark.createDataFrame([(1, "one needle"), (1, "one needle"), (1, "a needle, two needles")], "text_id int, text string")
+    words = spark.createDataFrame([("needle",), ("needle",), ("needles",)], "keyword string")
+    assert sorted(map(tuple, keywords.containments(texts, words).collect())) == [(1, "needle")] * 3 + [(1, "needles")]
+
+
+def test_no_index_of_texts_is_written(spark, monkeypatch):
+    """Only what is made from keywords is written, and a text's strings meet it in the task that cuts them."""
+    written = []
+    monkeypatch.setattr(keywords, "materialize", lambda df, name="table": written.append(df.count()) or session.materialize(df, name))
+    texts = spark.createDataFrame([(i, f"the needle number {i}") for i in range(50)], "text_id int, text string")
+    found = keywords.containments(texts, spark.createDataFrame([("needles",), ("number 7",)], "keyword string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == [(7, "number 7")]
+    assert sum(written) <= 6
+
+
+def test_keywords_are_looked_up_by_what_few_share(spark):
+    words = spark.createDataFrame([(f"product-{i:04d}", f"product-{i:04d}") for i in range(1000)], "keyword string, _word string")
+    shared = keywords._lookups(words).groupBy("_gram").count()
+    assert shared.agg(F.max("count")).first()[0] <= 100
+    assert {(r.n, r.k) for r in keywords._lookups(words).groupBy("keyword").agg(F.count("*").alias("n"), F.count_distinct(F.col("_at") % 3).alias("k")).collect()} == {(3, 3)}
+
+
 def test_of_nothing(spark):
     assert pairs(spark, ["a"], []) == pairs(spark, [], ["a"]) == pairs(spark, [None], [""]) == []
 
